@@ -25,16 +25,19 @@ def extract_text(pages: DataFrame, selector: str, all: bool = True) -> DataFrame
 
 def extract_links(pages: DataFrame, selector: str = "a", absolute: bool = False) -> DataFrame:
     """(page_id, url, pos, href, text); links without href or with an empty one are dropped."""
-    out = select(dom(pages, [selector]), selector, {"href": attr("href"), "text": text()}, ("page_id", "url")).where("href <> ''")
-    return out.withColumn("href", F.expr(url_join("url", "href"))) if absolute else out
+    href = let("ref", attr("href"), f"IF(coalesce(ref, '') = '', NULL, {url_join('url', 'ref')})") if absolute else attr("href")
+    return select(dom(pages, [selector]), selector, {"href": href, "text": text()}, ("page_id", "url")).where("href <> ''")
 
 
 def link_targets(pages: DataFrame) -> DataFrame:
-    """(page_id, url, pos, href) of every non-empty link, resolved; reads tags only, so no element list is built."""
-    anchors = "filter(transform(toks, (t, i) -> struct(i AS pos, t AS tok)), a -> a.tok RLIKE '(?i)^<a[\\\\s]')"
-    out = rows_of(with_tokens(pages), anchors, "page_id", "url")
-    out = out.withColumn("href", F.expr(H.attribute("tok", "href"))).where("href <> ''")
-    return out.select("page_id", "url", "pos", F.expr(url_join("url", "href")).alias("href"))
+    """(page_id, url, pos, href) of every non-empty link, resolved; reads tags only, so no element list is built.
+
+    The targets are complete before the explode, so that later filters on them cost no second evaluation.
+    """
+    anchors = "filter(transform(toks, (t, i) -> IF(lower(substr(t, 1, 2)) = '<a' AND t RLIKE '^..[\\\\s]', struct(i AS pos, t AS tok), NULL)), a -> a IS NOT NULL)"
+    target = let("ref", H.attribute("a.tok", "href"), f"IF(coalesce(ref, '') = '', NULL, {url_join('url', 'ref')})")
+    links = f"filter(transform({anchors}, a -> struct(a.pos AS pos, {target} AS href)), l -> l.href IS NOT NULL)"
+    return rows_of(with_tokens(pages), links, "page_id", "url")
 
 
 def extract_attr(pages: DataFrame, selector: str, name: str, all: bool = True) -> DataFrame:
