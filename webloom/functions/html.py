@@ -47,7 +47,7 @@ _IMPLIED = {
     9: (["optgroup"], ["optgroup", "option"], ["select"]),
     10: (["body"], ["head"], ["template"]),
 }
-_CHUNK = 256
+_CHUNK, _FAN = 16, 16
 
 
 def tokens(html: str) -> str:
@@ -91,25 +91,27 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     the end (the end tag itself when ``own``, else the token before which the element ends); void and
     raw-text elements end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
     descendant, so descendants are a slice of the list; ``anc`` holds the list positions of the ancestors, outermost first.
-    Tags are folded in chunks so that the appends stay cheap on very long pages.  Inline elements never change where
+    The fold is nested three deep (runs of 16 tags, 16 runs, all): each step copies its accumulator, so the accumulator
+    of the innermost one, which runs per tag, stays small.  Inline elements never change where
     other elements start or end, so with ``inline`` given all others of them are left out of the list.
     """
-    kept = "g.kind <> ''"
+    kept = "true"
     if inline is not None:
-        kept += f" AND {in_list('g.tag', sorted({*BLOCK, *SCOPE, *FOREIGN, 'button', 'select', 'option', 'optgroup', 'datalist', *inline}))}"
-    kind = (
-        "CASE WHEN NOT startswith(t, '<') OR t = '<' THEN '' WHEN startswith(t, '</') THEN 'c'"
-        f" WHEN startswith(t, '<!') OR startswith(t, '<?') THEN '' WHEN {_is_raw('t')} THEN 'r' ELSE 'o' END"
-    )
-    start_class = "CASE " + " ".join(f"WHEN {in_list('g.tag', r[0])} THEN {c}" for c, r in _IMPLIED.items()) + " ELSE 0 END"
+        kept = in_list("n", sorted({*BLOCK, *SCOPE, *FOREIGN, "button", "select", "option", "optgroup", "datalist", *inline}))
+    start_class = "CASE " + " ".join(f"WHEN {in_list('n', r[0])} THEN {c}" for c, r in _IMPLIED.items()) + " ELSE 0 END"
     end_class = (
-        f"CASE WHEN {in_list('g.tag', ['table', *_TABLE_PARTS])} THEN 1 WHEN g.tag = 'li' THEN 2 WHEN g.tag = 'p' THEN 3"
-        f" WHEN {in_list('g.tag', [*BLOCK, *SCOPE, 'button', 'select', 'svg'])} THEN 4 ELSE 5 END"
+        f"CASE WHEN {in_list('n', ['table', *_TABLE_PARTS])} THEN 1 WHEN n = 'li' THEN 2 WHEN n = 'p' THEN 3"
+        f" WHEN {in_list('n', [*BLOCK, *SCOPE, 'button', 'select', 'svg'])} THEN 4 ELSE 5 END"
+    )
+    tag = (
+        f"struct(i AS s, startswith(t, '</') AS closes, n AS tag, endswith(t, '/>') AS sc, IF(startswith(t, '</'), {end_class}, {start_class}) AS cls, "
+        f"{in_list('n', VOID)} OR (n IN ('script', 'style') AND {_is_raw('t')}) AS void)"
     )
+    no_tag = "NOT startswith(t, '<') OR t = '<' OR startswith(t, '<!') OR startswith(t, '<?')"
     tags = (
-        f"transform(filter(transform({toks}, (t, i) -> struct(i AS s, {kind} AS kind, {tag_name('t')} AS tag, "
-        f"endswith(t, '/>') AS sc)), g -> {kept}), g -> struct(g.s AS s, g.kind = 'c' AS closes, g.tag AS tag, "
-        f"g.sc AS sc, IF(g.kind = 'c', {end_class}, {start_class}) AS cls, g.kind = 'r' OR {in_list('g.tag', VOID)} AS void))"
+        f"filter(transform({toks}, (t, i) -> CASE WHEN {no_tag} THEN NULL ELSE "
+        + let("n", tag_name("t"), f"IF({kept}, {tag}, NULL)")
+        + " END), g -> g IS NOT NULL)"
     )
     opened_closes = "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list('z', r[1])}" for c, r in _IMPLIED.items()) + " ELSE false END"
     open_stops = "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list('%s', r[2])}" for c, r in _IMPLIED.items()) + " ELSE false END"
@@ -152,39 +154,47 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     base["ix"] = f"IF(k = {size}, a.ix, slice(a.ix, 1, k))"
     on_end = (
         f"struct({base['st']} AS st, {base['tg']} AS tg, {base['ix']} AS ix, a.n AS n, a.m AS m, a.op AS op, "
-        f"{ended} AS cl, a.ops AS ops, a.cls AS cls)"
+        f"{ended} AS cl)"
     )
     on_leaf = (
         f"struct({base['st']} AS st, {base['tg']} AS tg, {base['ix']} AS ix, a.n + 1 AS n, a.m AS m, "
         f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, -1 AS x, {base['st']} AS anc)) AS op, "
-        f"{ended} AS cl, a.ops AS ops, a.cls AS cls)"
+        f"{ended} AS cl)"
     )
     on_start = (
         f"struct(array_append({base['st']}, a.n) AS st, array_append({base['tg']}, t.tag) AS tg, "
         f"array_append({base['ix']}, a.m) AS ix, a.n + 1 AS n, a.m + 1 AS m, "
         f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, a.m AS x, {base['st']} AS anc)) AS op, "
-        f"{ended} AS cl, a.ops AS ops, a.cls AS cls)"
+        f"{ended} AS cl)"
     )
     step = let("k", keep, f"CASE WHEN t.closes THEN IF(k = {size}, a, {on_end}) WHEN {leaf} THEN {on_leaf} ELSE {on_start} END")
     opened, closed = "array<struct<i:int,s:int,tag:string,x:int,anc:array<int>>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
-    start = (
-        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, CAST(array() AS array<int>) AS ix, "
-        f"0 AS n, 0 AS m, CAST(array() AS {opened}) AS op, CAST(array() AS {closed}) AS cl, "
-        f"CAST(array() AS array<{opened}>) AS ops, CAST(array() AS array<{closed}>) AS cls)"
+
+    def state(v: str) -> str:
+        return f"{v}.st AS st, {v}.tg AS tg, {v}.ix AS ix, {v}.n AS n, {v}.m AS m"
+
+    def empty(depth: str) -> str:
+        return f"CAST(array() AS {depth.format(opened)}) AS op, CAST(array() AS {depth.format(closed)}) AS cl"
+
+    per_tag = (
+        f"aggregate(slice(g, u * {_CHUNK * _FAN} + w * {_CHUNK} + 1, {_CHUNK}), struct({state('c')}, {empty('{}')}), (a, t) -> {step}, "
+        f"f -> struct({state('f')}, array_append(c.op, f.op) AS op, array_append(c.cl, f.cl) AS cl))"
     )
-    next_chunk = (
-        f"struct(f.st AS st, f.tg AS tg, f.ix AS ix, f.n AS n, f.m AS m, CAST(array() AS {opened}) AS op, "
-        f"CAST(array() AS {closed}) AS cl, array_append(f.ops, f.op) AS ops, array_append(f.cls, f.cl) AS cls)"
+    runs = f"sequence(0, least({_FAN - 1}, greatest(size(g) - u * {_CHUNK * _FAN} - 1, 0) DIV {_CHUNK}))"
+    per_run = (
+        f"aggregate({runs}, struct({state('o')}, {empty('array<{}>')}), (c, w) -> {per_tag}, "
+        f"f -> struct({state('f')}, array_append(o.op, flatten(f.op)) AS op, array_append(o.cl, flatten(f.cl)) AS cl))"
     )
-    fold = (
-        f"aggregate(sequence(0, size(g) DIV {_CHUNK}), {start}, "
-        f"(o, x) -> aggregate(slice(g, x * {_CHUNK} + 1, {_CHUNK}), o, (a, t) -> {step}, f -> {next_chunk}))"
+    start = (
+        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, CAST(array() AS array<int>) AS ix, "
+        f"0 AS n, 0 AS m, {empty('array<{}>')})"
     )
-    ends = f"array_sort(concat(flatten(r.cls), transform(r.ix, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
+    fold = f"aggregate(sequence(0, greatest(size(g) - 1, 0) DIV {_CHUNK * _FAN}), {start}, (o, u) -> {per_run})"
+    ends = f"array_sort(concat(flatten(r.cl), transform(r.ix, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
     joined = let(
         "q",
         ends,
-        "transform(flatten(r.ops), o -> struct(o.i AS i, IF(o.x < 0, o.i + 1, q[o.x].z) AS z, o.s AS s, "
+        "transform(flatten(r.op), o -> struct(o.i AS i, IF(o.x < 0, o.i + 1, q[o.x].z) AS z, o.s AS s, "
         "IF(o.x < 0, o.s, q[o.x].e) AS e, o.x >= 0 AND q[o.x].own AS own, o.tag AS tag, o.anc AS anc))",
     )
     return let("g", tags, let("r", fold, joined))

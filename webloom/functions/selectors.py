@@ -29,13 +29,13 @@ class Step:
 
 def parse(selector: str) -> list[list[Step]]:
     """'nav > a.x, h1' -> [[nav, a.x (child)], [h1]]"""
-    return [[_step(w) for w in _words(path)] for path in selector.split(",")]
+    return [[_step(w) for w in _words(path)] for path in re.split(r",(?![^\[\]]*\])", selector)]
 
 
 def _words(path: str) -> list[str]:
     words = re.findall(r"""(?:>\s*)?(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>\[:])+""", path.strip())
-    if not words:
-        raise ValueError(f"empty selector: {path!r}")
+    if not words or re.sub(r"\s", "", "".join(words)) != re.sub(r"\s", "", path):
+        raise ValueError(f"unsupported selector: {path!r}")
     return words
 
 

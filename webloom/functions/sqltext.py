@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 
 def lit(value: str) -> str:
     """A SQL string literal; backslashes and quotes are escaped."""
@@ -21,3 +25,22 @@ def let(name: str, value: str, body: str) -> str:
     copy the result.
     """
     return f"aggregate(CAST(array() AS array<int>), {value}, (acc_, elem_) -> acc_, {name} -> {body})"
+
+
+_SLICED = re.compile(r"slice\((toks|txt|els),")
+
+
+def in_memory(text: str) -> str:
+    """Bind the parsed columns that ``text`` slices to plain arrays.
+
+    ``slice`` turns the whole stored array of a row into objects each time it is called; over a copy made once per row it costs
+    only its own length, which keeps pages with very many elements linear.
+    """
+    for name in sorted(set(_SLICED.findall(text))):
+        text = let(name, f"transform({name}, copy_ -> copy_)", text)
+    return text
+
+
+def doc_expr(text: str) -> Column:
+    """Column of SQL text over the parsed columns of a page."""
+    return F.expr(in_memory(text))

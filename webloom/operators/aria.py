@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, has_date, js_trim
 from webloom.functions import html as H
 from webloom.operators.dom import attr, dom, rows_of
@@ -33,7 +33,7 @@ def _role(x: str) -> str:
 
 def aria_snapshot(pages: DataFrame) -> DataFrame:
     """(page_id, snapshot): indented tree of roles; headings, links, buttons and images carry their name in quotes."""
-    doc = dom(pages).withColumn("roles", F.expr(f"transform(els, x -> {_role('x')})"))
+    doc = dom(pages).withColumn("roles", doc_expr(f"transform(els, x -> {_role('x')})"))
     indent = "repeat('  ', size(filter(x.anc, u -> roles[u] IS NOT NULL)))"
     name = js_trim(collapse_space(f"IF(x.tag = 'img', coalesce({attr('alt')}, ''), {H.text_content('x')})"))
     level = "IF(roles[x.i] = 'heading' AND x.tag RLIKE '^h[1-6]$', concat(' [level=', substr(x.tag, 2), ']'), '')"
@@ -44,7 +44,7 @@ def aria_snapshot(pages: DataFrame) -> DataFrame:
         f"WHEN roles[x.i] IN ('paragraph', 'cell', 'columnheader') THEN {let('n', name, 'concat(chr(58), chr(32), n)')} ELSE ':' END)"
     )
     lines = f"transform(filter(els, x -> roles[x.i] IS NOT NULL), x -> {line})"
-    return doc.select("page_id", F.expr(f"array_join({lines}, '\\n')").alias("snapshot"))
+    return doc.select("page_id", doc_expr(f"array_join({lines}, '\\n')").alias("snapshot"))
 
 
 def _indent(line: str) -> str:
@@ -67,7 +67,7 @@ def _blocks(lines: str, role: str) -> str:
 def aria_blocks(snapshots: DataFrame, role: str) -> DataFrame:
     """(page_id, block_no, lines ARRAY) of every block of a role; a nested start closes the outer block."""
     blocks = _blocks("split(snapshot, '\\n')", role)
-    out = snapshots.select("page_id", F.posexplode_outer(F.expr(blocks)).alias("block_no", "lines"))
+    out = snapshots.select("page_id", F.posexplode_outer(doc_expr(blocks)).alias("block_no", "lines"))
     return out.where("lines IS NOT NULL")
 
 
@@ -91,8 +91,8 @@ def container_blocks(snapshots: DataFrame, container: str = "article") -> DataFr
         f"AND array_join(bl, '\\n') RLIKE {lit(r'(?i)\bparagraph\b|\blink\b')})"
     )
     picks = [some(_blocks("lines", r), r) for r in tries] + [some(generic, "generic")]
-    doc = snapshots.withColumn("lines", F.expr("split(snapshot, '\\n')")).withColumn("c", F.expr(f"coalesce({', '.join(picks)})"))
-    out = doc.select("page_id", F.expr("c.container_used").alias("container_used"), F.posexplode_outer("c.blocks").alias("block_no", "lines"))
+    doc = snapshots.withColumn("lines", doc_expr("split(snapshot, '\\n')")).withColumn("c", doc_expr(f"coalesce({', '.join(picks)})"))
+    out = doc.select("page_id", doc_expr("c.container_used").alias("container_used"), F.posexplode_outer("c.blocks").alias("block_no", "lines"))
     return out.where("lines IS NOT NULL")
 
 
@@ -110,7 +110,7 @@ def smart_records(snapshots: DataFrame, container: str = "article", fields: list
         f"flatten(transform(lines, l -> concat(transform(regexp_extract_all(l, {quoted}, 1), q -> {js_trim('q')}), "
         f"filter(array(btrim({js_trim(plain)}, '\"')), q -> q <> ''))))"
     )
-    df = blocks.withColumn("texts", F.expr(texts))
+    df = blocks.withColumn("texts", doc_expr(texts))
 
     def first_line(pattern: str) -> str:
         return f"nullif({js_trim(f"regexp_extract(get(filter(lines, l -> l RLIKE {lit(pattern)} AND l RLIKE {quoted}), 0), {quoted}, 1)")}, '')"
@@ -140,12 +140,12 @@ def smart_records(snapshots: DataFrame, container: str = "article", fields: list
             values[short] = values.pop(full)
     captured = [f for f in wanted if f in values]
     for f in captured:
-        df = df.withColumn(f, F.expr(values[f]))
+        df = df.withColumn(f, doc_expr(values[f]))
     if "description" in wanted:
         taken = "array(" + ", ".join(f"`{f}`" for f in captured) + ")" if captured else "CAST(array() AS array<string>)"
         candidates = f"filter(texts, v -> length(v) > 30 AND NOT coalesce(array_contains({taken}, v), false))"
         longest = let("cs", candidates, "get(filter(cs, v -> length(v) = array_max(transform(cs, u -> length(u)))), 0)")
-        df = df.withColumn("description", F.expr(longest))
+        df = df.withColumn("description", doc_expr(longest))
     for f in wanted:
         if f not in captured and f != "description":
             df = df.withColumn(f, F.lit(None).cast("string"))

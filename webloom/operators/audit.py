@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.urls import scheme, url_join
 from webloom.operators.dom import attr, count_of, dom, first_of, has, rows_of, text, with_tokens
 from webloom.operators.extract import link_targets
@@ -85,25 +85,25 @@ def _issues() -> str:
 
 def a11y_issues(pages: DataFrame) -> DataFrame:
     """(page_id, pos, type, element, detail, message): one row per accessibility issue, five rules."""
-    return rows_of(dom(pages).withColumn("label_ids", F.expr(LABEL_IDS)), _issues(), "page_id")
+    return rows_of(dom(pages).withColumn("label_ids", doc_expr(LABEL_IDS)), _issues(), "page_id")
 
 
 def a11y_summary(pages: DataFrame) -> DataFrame:
     """(page_id, total_issues, one count per type, has_main, has_nav); clean pages kept."""
-    doc = dom(pages).withColumn("label_ids", F.expr(LABEL_IDS)).withColumn("kinds", F.expr(f"transform({_issues()}, r -> r.type)"))
-    counts = [F.expr(f"CAST(size(filter(kinds, k -> k = {lit(t)})) AS BIGINT)").alias(t) for t in ISSUE_TYPES]
+    doc = dom(pages).withColumn("label_ids", doc_expr(LABEL_IDS)).withColumn("kinds", doc_expr(f"transform({_issues()}, r -> r.type)"))
+    counts = [doc_expr(f"CAST(size(filter(kinds, k -> k = {lit(t)})) AS BIGINT)").alias(t) for t in ISSUE_TYPES]
     return doc.select(
         "page_id",
-        F.expr("CAST(size(kinds) AS BIGINT)").alias("total_issues"),
+        doc_expr("CAST(size(kinds) AS BIGINT)").alias("total_issues"),
         *counts,
-        F.expr(has("main, [role='main']")).alias("has_main"),
-        F.expr(has("nav, [role='navigation']")).alias("has_nav"),
+        doc_expr(has("main, [role='main']")).alias("has_main"),
+        doc_expr(has("nav, [role='navigation']")).alias("has_nav"),
     )
 
 
 def seo_audit(pages: DataFrame) -> DataFrame:
     """One row per page: title, meta, Open Graph and Twitter tags, canonical, headings, structured data and issues."""
-    doc = dom(pages, ["h1", "link", "title"]).withColumn("title", F.expr(H.title("toks"))).withColumn("metas", F.expr(_named_metas()))
+    doc = dom(pages, ["h1", "link", "title"]).withColumn("title", doc_expr(H.title("toks"))).withColumn("metas", doc_expr(_named_metas()))
 
     def meta(name: str) -> str:
         return f"get(filter(metas, m -> m.key = {lit(name)}), 0).content"
@@ -129,14 +129,14 @@ def seo_audit(pages: DataFrame) -> DataFrame:
         "h1_text": first_of("h1", f"substr({H.text_content('x')}, 1, 100)"),
         "structured_data": f"transform({jsonld}, v -> to_json(v))",
     }
-    out = doc.select("page_id", "url", "title", F.expr("CAST(length(title) AS BIGINT)").alias("title_length"), *[F.expr(e).alias(n) for n, e in columns.items()])
-    out = out.withColumn("description_length", F.expr("CAST(coalesce(length(description), 0) AS BIGINT)"))
+    out = doc.select("page_id", "url", "title", doc_expr("CAST(length(title) AS BIGINT)").alias("title_length"), *[doc_expr(e).alias(n) for n, e in columns.items()])
+    out = out.withColumn("description_length", doc_expr("CAST(coalesce(length(description), 0) AS BIGINT)"))
     issues = (
         "filter(array(IF(title_length < 10, 'Title too short or missing', NULL), "
         "IF(description_length < 50, 'Meta description too short or missing', NULL), IF(h1_count = 0, 'No H1 heading found', NULL), "
         "IF(h1_count > 1, 'Multiple H1 headings found', NULL), IF(canonical IS NULL, 'No canonical URL', NULL)), i -> i IS NOT NULL)"
     )
-    return out.withColumn("issues", F.expr(issues))
+    return out.withColumn("issues", doc_expr(issues))
 
 
 def _named_metas() -> str:
@@ -150,13 +150,13 @@ def _named_metas() -> str:
 
 def security_headers(responses: DataFrame) -> DataFrame:
     """(url, header columns, issues ARRAY, score) from (url, headers MAP): 20 points off per missing required header."""
-    lower = F.expr("transform_keys(headers, (k, v) -> lower(k))")
+    lower = doc_expr("transform_keys(headers, (k, v) -> lower(k))")
     out = responses.select("*", lower.alias("h_"))
     for name in SECURITY_HEADERS:
-        out = out.withColumn(name.replace("-", "_"), F.expr(f"h_[{lit(name)}]"))
+        out = out.withColumn(name.replace("-", "_"), doc_expr(f"h_[{lit(name)}]"))
     missing = ", ".join(f"IF(coalesce({n.replace('-', '_')}, '') = '', {lit(m)}, NULL)" for n, m in REQUIRED_HEADERS.items())
-    out = out.withColumn("issues", F.expr(f"filter(array({missing}), i -> i IS NOT NULL)"))
-    return out.withColumn("score", F.expr("CAST(greatest(0, 100 - size(issues) * 20) AS BIGINT)")).drop("h_", "headers")
+    out = out.withColumn("issues", doc_expr(f"filter(array({missing}), i -> i IS NOT NULL)"))
+    return out.withColumn("score", doc_expr("CAST(greatest(0, 100 - size(issues) * 20) AS BIGINT)")).drop("h_", "headers")
 
 
 def mixed_content(pages: DataFrame) -> DataFrame:
@@ -171,13 +171,13 @@ def mixed_content(pages: DataFrame) -> DataFrame:
         f"transform(filter(els, x -> {cond} AND startswith(coalesce({attr(a)}, ''), 'http://')), x -> struct({lit(k)} AS type, {attr(a)} AS src))"
         for k, (cond, a) in kinds.items()
     )
-    doc = dom(pages, ["img", "script", "link", "iframe"]).withColumn("is_https", F.expr(f"{scheme('url')} = 'https'"))
-    doc = doc.withColumn("resources", F.expr(f"CASE WHEN is_https THEN concat({found}) END"))
+    doc = dom(pages, ["img", "script", "link", "iframe"]).withColumn("is_https", doc_expr(f"{scheme('url')} = 'https'"))
+    doc = doc.withColumn("resources", doc_expr(f"CASE WHEN is_https THEN concat({found}) END"))
     return doc.select(
         "page_id",
         "is_https",
-        F.expr("CAST(IF(is_https, size(resources), NULL) AS BIGINT)").alias("count"),
-        F.expr("IF(is_https, size(resources) > 0, NULL)").alias("has_mixed_content"),
+        doc_expr("CAST(IF(is_https, size(resources), NULL) AS BIGINT)").alias("count"),
+        doc_expr("IF(is_https, size(resources) > 0, NULL)").alias("has_mixed_content"),
         "resources",
     )
 
@@ -192,10 +192,10 @@ def checked_links(pages: DataFrame, max_check: int = 50) -> DataFrame:
         f"transform(filter(els, x -> x.tag IN ('a', 'area') AND {attr('href')} IS NOT NULL), x -> "
         f"struct({let('ref', ref, url_join('url', 'ref'))} AS href, substr({H.text_content('x')}, 1, 50) AS text))"
     )
-    doc = dom(pages, ["a", "area"]).withColumn("links", F.expr(links)).withColumn("total_links", F.expr("CAST(size(links) AS BIGINT)"))
-    out = doc.select("page_id", "total_links", F.posexplode_outer(F.expr(f"slice(links, 1, {int(max_check)})")).alias("link_no", "l"))
+    doc = dom(pages, ["a", "area"]).withColumn("links", doc_expr(links)).withColumn("total_links", doc_expr("CAST(size(links) AS BIGINT)"))
+    out = doc.select("page_id", "total_links", F.posexplode_outer(doc_expr(f"slice(links, 1, {int(max_check)})")).alias("link_no", "l"))
     kept = "l IS NULL OR NOT (l.href = '' OR startswith(l.href, 'javascript:') OR startswith(l.href, 'mailto:') OR startswith(l.href, 'tel:'))"
-    return out.select("page_id", "total_links", "link_no", F.expr(f"IF({kept}, l.href, NULL)").alias("href"), "l.text")
+    return out.select("page_id", "total_links", "link_no", doc_expr(f"IF({kept}, l.href, NULL)").alias("href"), "l.text")
 
 
 def broken_links(pages: DataFrame, status: DataFrame, max_check: int = 50) -> DataFrame:
@@ -236,7 +236,7 @@ def image_audit(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
         "filter(array(IF(alt = '' AND aria = '', 'missing_alt', NULL), IF(coalesce(natural_width > 2 * display_width, false) "
         "OR coalesce(natural_height > 2 * display_height, false), 'oversized', NULL)), i -> i IS NOT NULL)"
     )
-    return images.withColumn("issues", F.expr(issues)).drop("aria")
+    return images.withColumn("issues", doc_expr(issues)).drop("aria")
 
 
 def _images(pages: DataFrame) -> DataFrame:
@@ -269,19 +269,19 @@ def web_vitals(timings: DataFrame) -> DataFrame:
     last = "try_element_at(lcp, -1)"
     return timings.select(
         "page_url",
-        F.expr("response_start - request_start").alias("ttfb"),
+        doc_expr("response_start - request_start").alias("ttfb"),
         "fcp",
-        F.expr(f"coalesce(nullif({last}.render_time, 0), {last}.load_time)").alias("lcp"),
-        F.expr("dcl_end - navigation_start").alias("dom_content_loaded"),
-        F.expr("load_end - navigation_start").alias("load_complete"),
+        doc_expr(f"coalesce(nullif({last}.render_time, 0), {last}.load_time)").alias("lcp"),
+        doc_expr("dcl_end - navigation_start").alias("dom_content_loaded"),
+        doc_expr("load_end - navigation_start").alias("load_complete"),
         "transfer_size",
-        F.expr("dom_interactive - navigation_start").alias("dom_interactive"),
+        doc_expr("dom_interactive - navigation_start").alias("dom_interactive"),
     )
 
 
 def resource_summary(requests: DataFrame) -> DataFrame:
     """(page_url, initiator_type, n, bytes); an empty initiator type counts as 'other'."""
-    kind = F.expr("coalesce(nullif(initiator_type, ''), 'other')")
+    kind = doc_expr("coalesce(nullif(initiator_type, ''), 'other')")
     return requests.groupBy("page_url", kind.alias("initiator_type")).agg(
         F.count("*").alias("n"), F.sum(F.coalesce("transfer_size", F.lit(0))).cast("bigint").alias("bytes")
     )
@@ -291,15 +291,15 @@ def page_checks(pages: DataFrame) -> DataFrame:
     """(page_id, url, image, link and node counts): the page part of the performance audit."""
     href = let("ref", f"coalesce({attr('href')}, '')", url_join("url", "ref"))
     links = f"transform(filter(els, x -> x.tag IN ('a', 'area') AND {attr('href')} IS NOT NULL), x -> {href})"
-    doc = dom(pages).withColumn("links", F.expr(links))
+    doc = dom(pages).withColumn("links", doc_expr(links))
     return doc.select(
         "page_id",
         "url",
-        F.expr(count_of("img")).alias("total_images"),
-        F.expr(f"CAST(size(filter(els, x -> x.tag = 'img' AND {_empty('alt')})) AS BIGINT)").alias("images_without_alt"),
-        F.expr("CAST(size(links) AS BIGINT)").alias("total_links"),
-        F.expr("CAST(size(filter(links, l -> startswith(l, 'https://'))) AS BIGINT)").alias("https_links"),
-        F.expr("CAST(size(els) AS BIGINT)").alias("node_count"),
+        doc_expr(count_of("img")).alias("total_images"),
+        doc_expr(f"CAST(size(filter(els, x -> x.tag = 'img' AND {_empty('alt')})) AS BIGINT)").alias("images_without_alt"),
+        doc_expr("CAST(size(links) AS BIGINT)").alias("total_links"),
+        doc_expr("CAST(size(filter(links, l -> startswith(l, 'https://'))) AS BIGINT)").alias("https_links"),
+        doc_expr("CAST(size(els) AS BIGINT)").alias("node_count"),
     )
 
 
@@ -310,15 +310,15 @@ def performance_scores(checks: DataFrame, vitals: DataFrame) -> DataFrame:
     ratio = "images_without_alt / greatest(total_images, 1)"
     return joined.select(
         "page_id",
-        F.expr(f"CAST(greatest(0, {performance}) AS BIGINT)").alias("performance"),
-        F.expr(f"CAST(greatest(0, 100 - CAST(floor({ratio} * 50) AS BIGINT)) AS BIGINT)").alias("accessibility"),
+        doc_expr(f"CAST(greatest(0, {performance}) AS BIGINT)").alias("performance"),
+        doc_expr(f"CAST(greatest(0, 100 - CAST(floor({ratio} * 50) AS BIGINT)) AS BIGINT)").alias("accessibility"),
     )
 
 
 def node_counts(pages: DataFrame) -> DataFrame:
     """(page_id, dom_nodes): start tags counted from the tokens alone."""
     starts = f"size(filter(toks, t -> {H.tag_name('t')} <> '' AND NOT startswith(t, '</')))"
-    return with_tokens(pages).select("page_id", F.expr(f"CAST({starts} AS BIGINT)").alias("dom_nodes"))
+    return with_tokens(pages).select("page_id", doc_expr(f"CAST({starts} AS BIGINT)").alias("dom_nodes"))
 
 
 def memory_report(samples: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import in_list, let, lit
+from webloom.functions.sqltext import doc_expr, in_list, let, lit
 from webloom.functions.text import collapse_space, decode_entities, js_trim, word_count
 from webloom.operators.dom import attr, count_of, dom, has, keep_pages, parsed, text
 
@@ -42,12 +42,12 @@ def _first_long(selectors: list[str]) -> str:
 def main_content(pages: DataFrame) -> DataFrame:
     """(page_id, url, selector_used, html): inner HTML of the main content, the whole page when none is long enough."""
     doc = _with_main(pages)
-    return doc.select("page_id", "url", "selector_used", F.expr(f"coalesce({H.inner_html('toks', 'main.x')}, array_join(toks, ''))").alias("html"))
+    return doc.select("page_id", "url", "selector_used", doc_expr(f"coalesce({H.inner_html('toks', 'main.x')}, array_join(toks, ''))").alias("html"))
 
 
 def _with_main(pages: DataFrame) -> DataFrame:
-    doc = dom(pages).withColumn("main", F.expr(_first_long(CONTENT_SELECTORS)))
-    return doc.withColumn("selector_used", F.expr("coalesce(main.sel, 'body')"))
+    doc = dom(pages).withColumn("main", doc_expr(_first_long(CONTENT_SELECTORS)))
+    return doc.withColumn("selector_used", doc_expr("coalesce(main.sel, 'body')"))
 
 
 # Text styles of the readable form and of Markdown.
@@ -116,20 +116,20 @@ def _main_text(style: str) -> str:
 
 def html_to_text(pages: DataFrame) -> DataFrame:
     """(page_id, content): readable text of the page, links and images kept, no wrapping."""
-    return dom(pages).select("page_id", F.expr(let("scope", _WHOLE, _rendered("text", "scope"))).alias("content"))
+    return dom(pages).select("page_id", doc_expr(let("scope", _WHOLE, _rendered("text", "scope"))).alias("content"))
 
 
 def html_to_markdown(pages: DataFrame) -> DataFrame:
     """(page_id, content): the page as Markdown with ATX headings."""
-    return dom(pages).select("page_id", F.expr(let("scope", _WHOLE, _rendered("markdown", "scope"))).alias("content"))
+    return dom(pages).select("page_id", doc_expr(let("scope", _WHOLE, _rendered("markdown", "scope"))).alias("content"))
 
 
 def smart_document(pages: DataFrame, style: str = "text") -> DataFrame:
     """(page_id, url, title, selector_used, content, content_length, word_count) of the main content."""
     out = _with_main(pages).select(
-        "page_id", "url", F.expr(H.title("toks")).alias("title"), "selector_used", F.expr(_main_text(style)).alias("content")
+        "page_id", "url", doc_expr(H.title("toks")).alias("title"), "selector_used", doc_expr(_main_text(style)).alias("content")
     )
-    return out.withColumn("content_length", F.length("content").cast("bigint")).withColumn("word_count", F.expr(word_count("content")))
+    return out.withColumn("content_length", F.length("content").cast("bigint")).withColumn("word_count", doc_expr(word_count("content")))
 
 
 def collapsible_census(pages: DataFrame) -> DataFrame:
@@ -137,9 +137,9 @@ def collapsible_census(pages: DataFrame) -> DataFrame:
 
     Only the main container is looked at; navigation areas are left out where the rule says so.
     """
-    doc = dom(pages).withColumn("main", F.expr(_first_long(EXPAND_CONTAINERS)))
+    doc = dom(pages).withColumn("main", doc_expr(_first_long(EXPAND_CONTAINERS)))
     body = f"coalesce(main.x, get(filter(els, x -> x.tag = 'body'), 0))"
-    doc = doc.withColumn("box", F.expr(body)).withColumn("scope", F.expr(f"IF(box IS NULL, els, {H.descendants('box')})"))
+    doc = doc.withColumn("box", doc_expr(body)).withColumn("scope", doc_expr(f"IF(box IS NULL, els, {H.descendants('box')})"))
     in_nav = f"({predicate(NAVIGATION)} OR exists(x.anc, u -> {predicate(NAVIGATION, 'els[u]')}))"
     in_link = "exists(x.anc, u -> els[u].tag = 'a' AND %s)" % f"{attr('href', 'els[u]')} IS NOT NULL"
     in_any_link = "exists(x.anc, u -> els[u].tag = 'a')"
@@ -165,8 +165,8 @@ def collapsible_census(pages: DataFrame) -> DataFrame:
             f"AND {attr('href')} IS NULL AND ({says_more})"
         ),
     }
-    out = doc.select("page_id", F.expr("coalesce(box.tag, 'body')").alias("container"), *[F.expr(e).alias(n) for n, e in rules.items()])
-    return out.withColumn("expanded", F.expr(" + ".join(rules)))
+    out = doc.select("page_id", doc_expr("coalesce(box.tag, 'body')").alias("container"), *[doc_expr(e).alias(n) for n, e in rules.items()])
+    return out.withColumn("expanded", doc_expr(" + ".join(rules)))
 
 
 def has_selector(pages: DataFrame, selector: str) -> DataFrame:
@@ -176,10 +176,10 @@ def has_selector(pages: DataFrame, selector: str) -> DataFrame:
 
 def has_text(pages: DataFrame, literal: str) -> DataFrame:
     """Pages whose body text, scripts and styles aside, contains the literal; case-sensitive."""
-    doc = pages.withColumn("toks", F.expr(H.tokens("html"))).withColumn("body", F.expr(H.body_text("toks")))
+    doc = pages.withColumn("toks", doc_expr(H.tokens("html"))).withColumn("body", doc_expr(H.body_text("toks")))
     return keep_pages(doc, f"contains(body, {lit(literal)})", pages.columns)
 
 
 def count_elements(pages: DataFrame, selector: str) -> DataFrame:
     """(page_id, n): number of matches, 0 kept."""
-    return dom(pages).select("page_id", F.expr(count_of(selector)).alias("n"))
+    return dom(pages).select("page_id", doc_expr(count_of(selector)).alias("n"))

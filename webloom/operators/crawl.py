@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import lit
+from webloom.functions.sqltext import doc_expr, lit
 from webloom.functions.text import js_trim
 from webloom.functions.urls import file_name, glob_match, netloc, url_join
 from webloom.operators.dom import attr, dom, text
@@ -30,11 +30,11 @@ def link_edges(pages: DataFrame, follow: str | None = None, exclude: str | None
     edges = link_targets(pages).select("page_id", "url", F.col("href").alias("dst_url"))
     edges = edges.where(~F.col("dst_url").startswith("javascript:") & ~F.col("dst_url").startswith("mailto:"))
     if follow:
-        edges = edges.where(F.expr(glob_match("dst_url", follow)))
+        edges = edges.where(doc_expr(glob_match("dst_url", follow)))
     if exclude:
-        edges = edges.where(~F.expr(glob_match("dst_url", exclude)))
+        edges = edges.where(~doc_expr(glob_match("dst_url", exclude)))
     if domain is not None:
-        edges = edges.where(F.expr(f"{netloc('dst_url')} IN ({lit(domain)}, '')"))
+        edges = edges.where(doc_expr(f"{netloc('dst_url')} IN ({lit(domain)}, '')"))
     return one_per_url(pages, edges.distinct()).select(F.col("url").alias("src_url"), "dst_url")
 
 
@@ -53,7 +53,7 @@ def crawl(
     one distinct and one anti join, and is written to the checkpoint folder.
     """
     spark = pages.sparkSession
-    domain = spark.range(1).select(F.expr(netloc(lit(seed))).alias("d")).first()["d"]
+    domain = spark.range(1).select(doc_expr(netloc(lit(seed))).alias("d")).first()["d"]
     edges = checkpointed(link_edges(pages, follow, exclude, domain))
     visited = spark.createDataFrame([(seed, 0)], "url string, depth int")
     frontier = visited
@@ -65,14 +65,14 @@ def crawl(
         visited = visited.unionByName(frontier)
     hits = dom(pages.join(visited, "url", "left_semi"), ["title"] if extract is None else [extract, "title"])
     texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = hits.select("page_id", "url", F.expr(H.title("toks")).alias("title"), F.expr(texts).alias("extracted"))
+    found = hits.select("page_id", "url", doc_expr(H.title("toks")).alias("title"), doc_expr(texts).alias("extracted"))
     out = visited.join(one_per_url(pages, found).drop("page_id"), "url", "left")
     return out.withColumn("error", F.when(F.col("title").isNull(), F.lit("page not stored")))
 
 
 def crawl_documents(crawled: DataFrame) -> DataFrame:
     """(file, url, depth, title, …): the document each file name ends up with; on a clash the last URL wins."""
-    named = crawled.withColumn("file", F.expr(file_name("url")))
+    named = crawled.withColumn("file", doc_expr(file_name("url")))
     row = F.struct(*[c for c in named.columns if c != "file"])
     return named.groupBy("file").agg(F.max_by(row, F.struct("depth", "url")).alias("r")).select("file", "r.*")
 
@@ -88,8 +88,8 @@ def paginate(pages: DataFrame, start: DataFrame, next_selector: str, extract: st
     disabled = "x.d IS NOT NULL OR array_contains(split(coalesce(x.c, ''), ' +'), 'disabled')"
     link = f"get(transform(array({nxt}), x -> IF(x IS NULL, NULL, struct({attr('disabled')} AS d, {attr('class')} AS c, {attr('href')} AS h))), 0)"
     items = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')"
-    doc = doc.select("page_id", "url", F.expr(items).alias("items"), F.expr(link).alias("x"))
-    doc = doc.withColumn("next_url", F.expr(f"IF(x IS NULL OR {disabled} OR x.h IS NULL, NULL, {url_join('url', 'x.h')})"))
+    doc = doc.select("page_id", "url", doc_expr(items).alias("items"), doc_expr(link).alias("x"))
+    doc = doc.withColumn("next_url", doc_expr(f"IF(x IS NULL OR {disabled} OR x.h IS NULL, NULL, {url_join('url', 'x.h')})"))
     doc = checkpointed(one_per_url(pages, doc).select("url", "items", "next_url"))
     at = start.select(F.col("url").alias("start_url"), "url").distinct()
     taken, steps = [], doc.select("url", "next_url")
@@ -117,7 +117,7 @@ def batch_urls(urls: DataFrame, pages: DataFrame, extract: str | None = None) ->
     asked = pages.join(urls.select("url").distinct(), "url", "left_semi")
     stored = dom(asked, [extract] if extract else ["title"])
     texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = stored.select("page_id", "url", F.expr(texts).alias("texts"), F.expr(H.title("toks") if not extract else "CAST(NULL AS STRING)").alias("title"), F.lit(True).alias("ok"))
+    found = stored.select("page_id", "url", doc_expr(texts).alias("texts"), doc_expr(H.title("toks") if not extract else "CAST(NULL AS STRING)").alias("title"), F.lit(True).alias("ok"))
     out = salted_join(urls, one_per_url(pages, found).drop("page_id"), "url", "line_no")
     return out.withColumn("error", F.when(F.col("ok").isNull(), F.lit("page not stored"))).drop("ok")
 
@@ -148,5 +148,5 @@ def extract_steps(pages: DataFrame, steps: list[dict]) -> DataFrame:
             status = "'error'"
         structs.append(f"struct({n} AS step, {lit(action)} AS action, {selector} AS selector, {data} AS data, {status} AS status)")
     doc = dom(pages, selectors or ["title"])
-    out = doc.select("page_id", F.explode_outer(F.expr(f"array({', '.join(structs)})")).alias("r"))
+    out = doc.select("page_id", F.explode_outer(doc_expr(f"array({', '.join(structs)})")).alias("r"))
     return out.select("page_id", "r.*")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import attribute_of, inline_tags, predicate
-from webloom.functions.sqltext import lit
+from webloom.functions.sqltext import doc_expr, lit
 from webloom.functions.text import js_trim
 
 
@@ -22,14 +22,14 @@ def dom(pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:
 
 def parsed(pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:
     inline = None if selectors is None else inline_tags(selectors)
-    doc = pages.withColumn("toks", F.expr(H.tokens("html")))
-    doc = doc.withColumn("txt", F.expr(H.texts("toks"))).withColumn("els", F.expr(H.elements("toks", inline)))
-    return doc.withColumn("ats", F.expr(H.attribute_maps("toks", "els")))
+    doc = pages.withColumn("toks", doc_expr(H.tokens("html")))
+    doc = doc.withColumn("txt", doc_expr(H.texts("toks"))).withColumn("els", doc_expr(H.elements("toks", inline)))
+    return doc.withColumn("ats", doc_expr(H.attribute_maps("toks", "els")))
 
 
 def with_tokens(pages: DataFrame) -> DataFrame:
     """``pages`` with ``toks`` in place of ``html``, for operators that need no element ends."""
-    return pages.withColumn("toks", F.expr(H.tokens("html"))).drop("html")
+    return pages.withColumn("toks", doc_expr(H.tokens("html"))).drop("html")
 
 
 def rows_of(df: DataFrame, array: str, *keep: str) -> DataFrame:
@@ -37,7 +37,7 @@ def rows_of(df: DataFrame, array: str, *keep: str) -> DataFrame:
 
     The outer form keeps the optimiser from repeating the array expression in a filter below the explode.
     """
-    out = df.select(*keep, F.explode_outer(F.expr(array)).alias("r_"))
+    out = df.select(*keep, F.explode_outer(doc_expr(array)).alias("r_"))
     return out.where("r_ IS NOT NULL").select(*keep, "r_.*")
 
 
@@ -84,7 +84,7 @@ def has(selector: str) -> str:
 def token_table(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tok, kind, tag): the lossless token table."""
     out = with_tokens(pages).select("page_id", F.posexplode_outer("toks").alias("pos", "tok")).where("pos IS NOT NULL")
-    return out.select("page_id", "pos", "tok", F.expr(H.token_kind("tok")).alias("kind"), F.expr(H.tag_name("tok")).alias("tag"))
+    return out.select("page_id", "pos", "tok", doc_expr(H.token_kind("tok")).alias("kind"), doc_expr(H.tag_name("tok")).alias("tag"))
 
 
 def element_table(pages: DataFrame) -> DataFrame:
@@ -94,8 +94,8 @@ def element_table(pages: DataFrame) -> DataFrame:
         "els[try_element_at(x.anc, -1)].s AS parent_start)"
     )
     out = rows_of(dom(pages), f"transform(els, x -> {struct})", "page_id")
-    classes = F.expr(f"filter(split(coalesce(attrs['class'], ''), {lit(r'[ \t\r\n\f]+')}), c -> c <> '')")
-    return out.withColumn("id", F.expr("attrs['id']")).withColumn("classes", classes)
+    classes = doc_expr(f"filter(split(coalesce(attrs['class'], ''), {lit(r'[ \t\r\n\f]+')}), c -> c <> '')")
+    return out.withColumn("id", doc_expr("attrs['id']")).withColumn("classes", classes)
 
 
 def text_content(doc: DataFrame, selector: str) -> DataFrame:
@@ -142,10 +142,10 @@ def path_query(doc: DataFrame, steps: list[tuple[str, str]], attribute: str | No
 
 def inner_html(doc: DataFrame, selector: str) -> DataFrame:
     """Inner HTML of the first match per page, NULL without a match."""
-    return doc.select("page_id", F.expr(first_of(selector, H.inner_html("toks", "x"))).alias("html"))
+    return doc.select("page_id", doc_expr(first_of(selector, H.inner_html("toks", "x"))).alias("html"))
 
 
 def outer_html(doc: DataFrame, selector: str | None = None) -> DataFrame:
     """Outer HTML of the first match per page; the whole document without a selector."""
     value = "array_join(toks, '')" if selector is None else first_of(selector, H.outer_html("toks", "x"))
-    return doc.select("page_id", F.expr(value).alias("html"))
+    return doc.select("page_id", doc_expr(value).alias("html"))

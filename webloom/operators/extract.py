@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, js_trim
 from webloom.functions.urls import url_join
 from webloom.operators.dom import attr, dom, first_of, rows_of, select, text, with_tokens
@@ -20,7 +20,7 @@ def extract_text(pages: DataFrame, selector: str, all: bool = True) -> DataFrame
     doc = dom(pages, [selector])
     if all:
         return select(doc, selector, {"text": text()}).where("text <> ''")
-    return doc.select("page_id", F.expr(f"coalesce({first_of(selector, text())}, '')").alias("text"))
+    return doc.select("page_id", doc_expr(f"coalesce({first_of(selector, text())}, '')").alias("text"))
 
 
 def extract_links(pages: DataFrame, selector: str = "a", absolute: bool = False) -> DataFrame:
@@ -45,18 +45,18 @@ def extract_attr(pages: DataFrame, selector: str, name: str, all: bool = True) -
     doc = dom(pages, [selector])
     if all:
         return select(doc, selector, {"value": attr(name)}).where("value <> ''")
-    return doc.select("page_id", F.expr(f"coalesce({first_of(selector, attr(name))}, '')").alias("value"))
+    return doc.select("page_id", doc_expr(f"coalesce({first_of(selector, attr(name))}, '')").alias("value"))
 
 
 def extract_images(pages: DataFrame, selector: str = "img") -> DataFrame:
     """(page_id, pos, src, alt) with absolute src; images without src are dropped, data: and http(s): kept as they are."""
     out = select(dom(pages, [selector]), selector, {"src": attr("src"), "alt": f"coalesce({attr('alt')}, '')"}, ("page_id", "url"))
     src = f"CASE WHEN src RLIKE '^(https?|data):' THEN src ELSE {url_join('url', 'src')} END"
-    return out.where("src <> ''").select("page_id", "pos", F.expr(src).alias("src"), "alt")
+    return out.where("src <> ''").select("page_id", "pos", doc_expr(src).alias("src"), "alt")
 
 
 def page_info(pages: DataFrame) -> DataFrame:
-    return with_tokens(pages).select("page_id", "url", F.expr(H.title("toks")).alias("title"))
+    return with_tokens(pages).select("page_id", "url", doc_expr(H.title("toks")).alias("title"))
 
 
 def meta_entries() -> str:
@@ -80,7 +80,7 @@ def extract_meta(pages: DataFrame) -> DataFrame:
         entries,
         f"map_from_arrays({keys}, transform({keys}, n -> try_element_at(filter(e, m -> m.key = n), -1).content))",
     )
-    return with_tokens(pages).select("page_id", F.expr(as_map).alias("meta"))
+    return with_tokens(pages).select("page_id", doc_expr(as_map).alias("meta"))
 
 
 def extract_jsonld(pages: DataFrame, drop_falsy: bool = False) -> DataFrame:
@@ -89,8 +89,8 @@ def extract_jsonld(pages: DataFrame, drop_falsy: bool = False) -> DataFrame:
         "filter(transform(toks, (t, i) -> struct(i AS pos, t AS tok)), "
         f"s -> lower(substr(s.tok, 1, 7)) = '<script' AND coalesce({H.attribute('s.tok', 'type')} = 'application/ld+json', false))"
     )
-    out = rows_of(with_tokens(pages), scripts, "page_id").withColumn("json", F.expr(H.raw_content("tok")))
-    out = out.withColumn("data", F.expr("try_parse_json(json)")).where("data IS NOT NULL")
+    out = rows_of(with_tokens(pages), scripts, "page_id").withColumn("json", doc_expr(H.raw_content("tok")))
+    out = out.withColumn("data", doc_expr("try_parse_json(json)")).where("data IS NOT NULL")
     if drop_falsy:
         out = out.where("NOT is_variant_null(data) AND trim(to_json(data)) NOT IN ('false', '0', '\"\"', 'null')")
     return out.select("page_id", "pos", "data")
@@ -120,7 +120,7 @@ def extract_regex(pages: DataFrame, pattern: str, selector: str | None = None) -
     n = re.compile(pattern).groups
     source = H.body_text("toks", visible=False) if selector is None else f"coalesce({first_of(selector, H.text_content('x'))}, '')"
     doc = with_tokens(pages) if selector is None else dom(pages, [selector])
-    return regex_matches(doc.select("page_id", F.expr(source).alias("text")), "text", pattern, n, "page_id")
+    return regex_matches(doc.select("page_id", doc_expr(source).alias("text")), "text", pattern, n, "page_id")
 
 
 def regex_matches(df: DataFrame, column: str, pattern: str, n_groups: int, *keep: str) -> DataFrame:
@@ -133,7 +133,7 @@ def regex_matches(df: DataFrame, column: str, pattern: str, n_groups: int, *keep
     else:
         zipped = let("g", f"array({', '.join(parts)})", "transform(sequence(1, size(g[0])), j -> transform(g, a -> a[j - 1]))")
         zipped = f"IF({column} RLIKE {regex}, {zipped}, CAST(array() AS array<array<string>>))"
-    out = df.select(*keep, F.posexplode_outer(F.expr(zipped)).alias("match_no", "groups")).where("match_no IS NOT NULL")
+    out = df.select(*keep, F.posexplode_outer(doc_expr(zipped)).alias("match_no", "groups")).where("match_no IS NOT NULL")
     return out.select(*keep, "match_no", "groups")
 
 
@@ -151,7 +151,7 @@ def list_frames(pages: DataFrame) -> DataFrame:
         "CASE WHEN id <> '' THEN concat('#', id) WHEN name <> '' THEN concat('[name=\"', name, '\"]') "
         "ELSE concat('iframe:nth-of-type(', frame_no + 1, ')') END"
     )
-    return out.withColumn("selector", F.expr(selector))
+    return out.withColumn("selector", doc_expr(selector))
 
 
 def shadow_select(pages: DataFrame, host: str, inner: str) -> DataFrame:
@@ -186,7 +186,7 @@ def inline_styles(pages: DataFrame, selector: str, properties: list[str] | None
     as_map = let("e", pairs, f"map_from_arrays({keys}, transform({keys}, n -> try_element_at(filter(e, m -> m.k = n), -1).v))")
     if properties:
         as_map = f"map_filter({as_map}, (k, v) -> array_contains(array({', '.join(lit(p) for p in properties)}), k))"
-    return dom(pages, [selector]).select("page_id", F.expr(as_map).alias("styles"))
+    return dom(pages, [selector]).select("page_id", doc_expr(as_map).alias("styles"))
 
 
 def fonts(pages: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def fonts(pages: DataFrame) -> DataFrame:
         f"transform({rules}, r -> struct(regexp_replace({value('font-family')}, {lit('''^["']|["']$''')}, '') AS family, "
         f"{value('src')} AS src, {value('font-weight')} AS weight, {value('font-style')} AS style))"
     )
-    return doc.select("page_id", F.expr(declared).alias("used"), F.expr(faces).alias("faces"))
+    return doc.select("page_id", doc_expr(declared).alias("used"), doc_expr(faces).alias("faces"))
 
 
 def text_range(pages: DataFrame, selector: str, start: int, end: int | None = None) -> DataFrame:
@@ -216,9 +216,9 @@ def text_range(pages: DataFrame, selector: str, start: int, end: int | None = No
     first = f"get(filter({H.inner_tokens('toks', 'x')}, t -> {H.is_text('t')}), 0)"
     value = first_of(selector, f"coalesce({first}, '')")
     stop = "length(t0)" if end is None else f"least({int(end)}, length(t0))"
-    out = dom(pages, [selector]).select("page_id", F.expr(value).alias("t0")).withColumn("t0", F.expr(H.decode_entities("t0")))
+    out = dom(pages, [selector]).select("page_id", doc_expr(value).alias("t0")).withColumn("t0", doc_expr(H.decode_entities("t0")))
     begin = f"least({int(start)}, length(t0))"
-    return out.select("page_id", F.expr(f"substring(t0, {begin} + 1, greatest({stop} - {begin}, 0))").alias("text"))
+    return out.select("page_id", doc_expr(f"substring(t0, {begin} + 1, greatest({stop} - {begin}, 0))").alias("text"))
 
 
 def readable(value: str) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, js_trim
 from webloom.functions.urls import url_join
 from webloom.operators.dom import attr, dom, rows_of, text
@@ -86,7 +86,7 @@ def extract_forms(pages: DataFrame) -> DataFrame:
         f"{by_id} AS selector, {_fields_in('x')} AS fields))"
     )
     doc = doc.withColumn(
-        "orphans", F.expr(f"filter(els, x -> x.tag IN ('input', 'textarea', 'select') AND NOT {_above('x', 'form, [role=form]')})")
+        "orphans", doc_expr(f"filter(els, x -> x.tag IN ('input', 'textarea', 'select') AND NOT {_above('x', 'form, [role=form]')})")
     )
     named = " OR ".join(f"coalesce({attr(a, 'els[u]')}, '') <> ''" for a in ("id", "aria-label", "role"))
     shared = "(j > 0 AND coalesce(get(orphans, j - 1).i > u, false)) OR coalesce(get(orphans, j + 1).i < els[u].z, false)"
@@ -94,7 +94,7 @@ def extract_forms(pages: DataFrame) -> DataFrame:
     group = f"try_element_at(filter({inside}, u -> {named} OR els[u].tag NOT IN ('div', 'span') OR {shared}), -1)"
     doc = doc.withColumn(
         "grouped",
-        F.expr(f"transform(orphans, (x, j) -> struct(coalesce({group}, try_element_at(x.anc, -1), x.i) AS g, {_field('x')} AS field))"),
+        doc_expr(f"transform(orphans, (x, j) -> struct(coalesce({group}, try_element_at(x.anc, -1), x.i) AS g, {_field('x')} AS field))"),
     )
     first_class = f"concat('.', get(split({js_trim(f"coalesce({attr('class')}, '')")}, ' +'), 0))"
     css = (
@@ -112,7 +112,7 @@ def extract_forms(pages: DataFrame) -> DataFrame:
         )
         + ")"
     )
-    out = doc.select("page_id", F.posexplode_outer(F.expr(f"concat({forms}, {roles}, {implicit})")).alias("form_no", "f"))
+    out = doc.select("page_id", F.posexplode_outer(doc_expr(f"concat({forms}, {roles}, {implicit})")).alias("form_no", "f"))
     return out.where("f IS NOT NULL").select("page_id", "form_no", "f.*")
 
 
@@ -152,13 +152,13 @@ def match_form_fields(pages: DataFrame, wanted: list[str], form: str = "form") -
         ("data-testid", contains("data-testid", w)),
     ]
     inside = f"flatten(transform(slice(filter(els, x -> {predicate(form)}), 1, 1), x -> {H.descendants('x')}))"
-    doc = dom(pages).withColumn("inside", F.expr(inside))
-    doc = doc.withColumn("want", F.explode(F.array(*[F.lit(n) for n in wanted]))).withColumn("label_for", F.expr(label_for))
+    doc = dom(pages).withColumn("inside", doc_expr(inside))
+    doc = doc.withColumn("want", F.explode(F.array(*[F.lit(n) for n in wanted]))).withColumn("label_for", doc_expr(label_for))
     hits = ", ".join(
         f"get(transform(slice(filter(inside, y -> {rule}), 1, 1), y -> struct({lit(name)} AS matched_by, y.s AS pos, y.tag AS tag)), 0)"
         for name, rule in rules
     )
-    out = doc.select("page_id", F.col("want").alias("wanted"), F.expr(f"coalesce({hits})").alias("h"))
+    out = doc.select("page_id", F.col("want").alias("wanted"), doc_expr(f"coalesce({hits})").alias("h"))
     return out.select("page_id", "wanted", "h.matched_by", "h.pos", "h.tag")
 
 
@@ -173,7 +173,7 @@ LABEL_IDS = f"filter(transform(filter(els, x -> x.tag = 'label'), x -> coalesce(
 
 def input_labels(pages: DataFrame) -> DataFrame:
     """(page_id, pos, tag, id, has_label) per field that can carry a label."""
-    doc = dom(pages).withColumn("label_ids", F.expr(LABEL_IDS))
+    doc = dom(pages).withColumn("label_ids", doc_expr(LABEL_IDS))
     rows = (
         f"transform(filter(els, y -> y.tag IN ('input', 'textarea', 'select') AND {field_type('y')} <> 'hidden'), "
         f"y -> struct(y.s AS pos, y.tag AS tag, coalesce({attr('id', 'y')}, '') AS id, {labelled('y')} AS has_label))"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import in_list, let, lit
+from webloom.functions.sqltext import doc_expr, in_list, let, lit
 from webloom.functions.text import js_trim
 from webloom.functions.urls import is_internal, url_join
 from webloom.operators.dom import attr, count_of, dom, has, rows_of, text
@@ -64,22 +64,22 @@ def recon(pages: DataFrame) -> DataFrame:
     out = doc.select(
         "page_id",
         "url",
-        F.expr(H.title("toks")).alias("title"),
-        F.expr(spa).alias("spa_indicators"),
-        F.expr(headings).alias("headings"),
-        F.expr(forms).alias("forms"),
-        F.expr(tables).alias("tables"),
-        F.expr(f"transform(filter(els, x -> x.tag = 'a' AND {attr('href')} IS NOT NULL), x -> {hrefs})").alias("hrefs"),
-        F.expr(count_of("img")).alias("images_total"),
-        F.expr(f"CAST(size(filter(els, x -> x.tag = 'img' AND coalesce({attr('alt')}, '') = '')) AS BIGINT)").alias("images_missing_alt"),
+        doc_expr(H.title("toks")).alias("title"),
+        doc_expr(spa).alias("spa_indicators"),
+        doc_expr(headings).alias("headings"),
+        doc_expr(forms).alias("forms"),
+        doc_expr(tables).alias("tables"),
+        doc_expr(f"transform(filter(els, x -> x.tag = 'a' AND {attr('href')} IS NOT NULL), x -> {hrefs})").alias("hrefs"),
+        doc_expr(count_of("img")).alias("images_total"),
+        doc_expr(f"CAST(size(filter(els, x -> x.tag = 'img' AND coalesce({attr('alt')}, '') = '')) AS BIGINT)").alias("images_missing_alt"),
     )
     internal = is_internal("h", "url")
     out = out.withColumns(
         {
-            "links_total": F.expr("CAST(size(hrefs) AS BIGINT)"),
-            "links_internal": F.expr(f"CAST(size(filter(hrefs, h -> {internal})) AS BIGINT)"),
-            "links_external": F.expr(f"CAST(size(filter(hrefs, h -> NOT {internal} AND NOT startswith(h, 'javascript:'))) AS BIGINT)"),
-            "page_type": F.expr(
+            "links_total": doc_expr("CAST(size(hrefs) AS BIGINT)"),
+            "links_internal": doc_expr(f"CAST(size(filter(hrefs, h -> {internal})) AS BIGINT)"),
+            "links_external": doc_expr(f"CAST(size(filter(hrefs, h -> NOT {internal} AND NOT startswith(h, 'javascript:'))) AS BIGINT)"),
+            "page_type": doc_expr(
                 "CASE WHEN spa_indicators THEN 'spa' WHEN size(forms) > 0 AND size(hrefs) < 10 THEN 'form' "
                 "WHEN size(tables) > 0 THEN 'data' ELSE 'static' END"
             ),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -127,3 +130,8 @@ def classify_error(message: str) -> str:
 def eval_expr(df: DataFrame, *expressions: str) -> DataFrame:
     """User expressions over a table, as Spark SQL text."""
     return df.selectExpr(*expressions)
+
+
+def map_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Any per-batch pandas function over pages; the slow path, for what the operators cannot say."""
+    return pages.mapInPandas(lambda batches: (fn(b) for b in batches), schema)

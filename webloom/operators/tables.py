@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.operators.dom import count_of, dom, rows_of, text
 
 # Selectors tried in this order when a table selector gives no data rows.
@@ -49,9 +49,9 @@ def extract_tables(pages: DataFrame, selector: str = "table", headers: list[str]
     """
     tables = f"transform(filter(els, x -> {predicate(selector)}), x -> {_table('x')})"
     doc = dom(pages)
-    out = doc.select("page_id", F.posexplode_outer(F.expr(tables)).alias("table_no", "t")).where("t IS NOT NULL")
-    shown = F.expr("t.headers") if headers is None else F.array(*[F.lit(h) for h in headers])
-    return out.select("page_id", "table_no", shown.alias("headers"), F.expr(_row_maps("t")).alias("rows"))
+    out = doc.select("page_id", F.posexplode_outer(doc_expr(tables)).alias("table_no", "t")).where("t IS NOT NULL")
+    shown = doc_expr("t.headers") if headers is None else F.array(*[F.lit(h) for h in headers])
+    return out.select("page_id", "table_no", shown.alias("headers"), doc_expr(_row_maps("t")).alias("rows"))
 
 
 def _row_maps(t: str) -> str:
@@ -82,20 +82,20 @@ def table_with_fallback(pages: DataFrame, selector: str | None = None, headers:
         return f"get(filter(transform({hit}, x -> struct({lit(sel)} AS sel, {_table('x')} AS t)), c -> size(c.t.rows) > 0), 0)"
 
     chosen = dom(pages).select(
-        "page_id", F.expr(f"coalesce({', '.join(candidate(s) for s in tried)})").alias("c"), F.expr(count_of("table")).alias("tables_on_page")
+        "page_id", doc_expr(f"coalesce({', '.join(candidate(s) for s in tried)})").alias("c"), doc_expr(count_of("table")).alias("tables_on_page")
     )
     note, missing = "CAST(NULL AS STRING)", "'No table found on page'"
     if selector:
         note = f"IF(c.sel <> {lit(selector)}, concat({lit(f"Selector '{selector}' not found — used auto-detected '")}, c.sel, {lit("' instead")}), NULL)"
         missing = lit(f"No table found with selector '{selector}' or any fallback")
-    shown = F.expr("c.t.headers") if headers is None else F.when(F.expr("c IS NOT NULL"), F.array(*[F.lit(h) for h in headers]))
+    shown = doc_expr("c.t.headers") if headers is None else F.when(doc_expr("c IS NOT NULL"), F.array(*[F.lit(h) for h in headers]))
     return chosen.select(
         "page_id",
-        F.expr("c.sel").alias("selector_used"),
-        F.expr(note).alias("note"),
+        doc_expr("c.sel").alias("selector_used"),
+        doc_expr(note).alias("note"),
         shown.alias("headers"),
-        F.expr(_row_maps("c.t")).alias("rows"),
-        F.expr(f"IF(c IS NULL, {missing}, NULL)").alias("error"),
+        doc_expr(_row_maps("c.t")).alias("rows"),
+        doc_expr(f"IF(c IS NULL, {missing}, NULL)").alias("error"),
         "tables_on_page",
     )
 
@@ -107,7 +107,7 @@ def table_rows(pages: DataFrame, selector: str) -> DataFrame:
         f"flatten(transform(slice(filter(els, x -> {predicate(selector)}), 1, 1), "
         f"x -> transform(filter({H.descendants('x')}, y -> y.tag = 'tr'), tr -> {cells})))"
     )
-    return dom(pages).select("page_id", F.posexplode_outer(F.expr(rows)).alias("row_no", "cells")).where("cells IS NOT NULL")
+    return dom(pages).select("page_id", F.posexplode_outer(doc_expr(rows)).alias("row_no", "cells")).where("cells IS NOT NULL")
 
 
 def extract_records(pages: DataFrame, container: str, fields: dict[str, str] | str) -> DataFrame:

@@ -235,3 +235,45 @@ def scroll_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).selectExpr(
         "user_id AS stream_id", "CAST(us DIV 86400000000 - 19722 AS INT) AS round", "event_id AS pos", "concat(event_type, k % 12) AS item"
     )
+
+
+def article_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings, emphasis, links, images, nested and numbered lists per part."""
+    html = (
+        f"concat('<html><head><title>t</title></head><body><nav><a href=\"/n\">n</a></nav><main><h2>', {esc('p_name')}, '</h2><p>A  <b>', p_brand, "
+        "'</b>\\n<em>of</em> <a href=\"/p/', p_partkey, '\">type</a> ', p_type, '<br>next<p>second<ul><li>one<li>two<ul><li>deep</ul></ul><ol><li>first<li>', p_size, "
+        "'</ol><img src=\"/i.png\" alt=\"pic\"><p>', repeat('word ', 60), '</p></main><script>var x = 1;</script></body></html>')"
+    )
+    return _pages(table(spark, sf_dir, "part"), "p_partkey", "concat('https://shop.example.com/article/', p_partkey)", html)
+
+
+def heading_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three headings per customer, their levels from the key."""
+    html = (
+        "concat('<h', c_custkey % 6 + 1, '>', c_name, '</h', c_custkey % 6 + 1, '><div><h', c_custkey % 4 + 1, '>b</h', c_custkey % 4 + 1, "
+        "'></div><h', c_custkey % 5 + 1, '>', c_mktsegment, '</h', c_custkey % 5 + 1, '>')"
+    )
+    return _pages(table(spark, sf_dir, "customer"), "c_custkey", "'https://crm.example.com/h'", html)
+
+
+def folded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Collapsed elements inside and outside navigation, as many as the key says."""
+    html = (
+        "concat('<main>', repeat('long text ', 30), repeat('<details><summary>s</summary>x</details>', CAST(c_custkey % 3 AS INT)), "
+        "'<details open><summary>o</summary></details><div aria-expanded=\"false\">d</div><a aria-expanded=\"false\">a</a>"
+        "<nav><button aria-controls=\"m\" aria-expanded=\"false\">menu</button><p class=\"collapsed\">n</p></nav>"
+        "<button aria-controls=\"p\" aria-expanded=\"', IF(c_custkey % 2 = 0, 'false', 'true'), '\">p</button>"
+        "<div class=\"x collapsible\">c</div><div class=\"collapsible active\">c</div><button>Show more</button><button>please read more</button>"
+        "<a href=\"/x\"><button>load more</button></a><button>showing more</button></main><details><summary>outside</summary></details>')"
+    )
+    return _pages(table(spark, sf_dir, "customer"), "c_custkey", "'https://crm.example.com/f'", html)
+
+
+def aria_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, snapshot): accessibility text with a full record, a nested one and lines that belong to none."""
+    snapshot = (
+        "concat('- main:\\n  - article:\\n    - heading \"', p_name, '\" [level=2]\\n    - link \"/p/', p_partkey, '\"\\n    - paragraph: A long description of part ', p_partkey, "
+        "' that goes on for a while\\n\\n    - text: Star\\n    - text: Python\\n    - link \"', p_size, ' stars\"\\n    - text: Updated on Mar ', p_size % 28 + 1, ', 2024\\n  - contentinfo: end\\n    - text: lost\\n"
+        "  - article:\\n    - text: \"', p_size, 'k\"\\n    - article:\\n      - heading \"inner\"\\n      - text: 2 today\\n    - text: \"tail\"')"
+    )
+    return spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS page_id", f"{snapshot} AS snapshot")

@@ -43,9 +43,13 @@ def write_plain(df: DataFrame, path: str, mode: str = "error") -> None:
     plain_lines(df).write.mode(mode).text(path)
 
 
-def write_crawl_pages(crawled: DataFrame, path: str, mode: str = "error") -> None:
-    """One JSON document per crawled page, partitioned by file name."""
-    crawl_documents(crawled).write.mode(mode).partitionBy("file").json(path)
+def write_crawl_pages(crawled: DataFrame, path: str, mode: str = "error", folders: bool = False) -> None:
+    """The JSON document of each crawled page with its file name; ``folders`` gives every name a folder of its own.
+
+    Folders are for small crawls: a large corpus is better kept as one dataset with the name as a column.
+    """
+    writer = crawl_documents(crawled).write.mode(mode)
+    (writer.partitionBy("file") if folders else writer).json(path)
 
 
 def csv_line(cells: str = "cells") -> str:
@@ -55,9 +59,9 @@ def csv_line(cells: str = "cells") -> str:
 
 
 def write_table_rows(rows: DataFrame, path: str, mode: str = "error") -> None:
-    """Rows of table_rows as CSV text, ragged rows as they are, one folder per page."""
-    lines = rows.withColumn("value", F.expr(csv_line()))
-    lines.select("page_id", "row_no", "value").sortWithinPartitions("page_id", "row_no").drop("row_no").write.mode(mode).partitionBy("page_id").text(path)
+    """Rows of table_rows as CSV text, the page_id in front, ragged rows as they are and in order per page."""
+    lines = rows.withColumn("value", F.expr(f"concat(page_id, ',', {csv_line()})"))
+    lines.repartition("page_id").sortWithinPartitions("page_id", "row_no").select("value").write.mode(mode).text(path)
 
 
 def export(pages: DataFrame, kind: str, selector: str | None = None) -> DataFrame:
@@ -82,11 +86,8 @@ def write_export(pages: DataFrame, kind: str, path: str, format: str = "json", s
         raise ValueError(f"unknown export format: {format!r}")
 
 
-def write_documents(df: DataFrame, path: str, column: str = "html", format: str = "parquet", mode: str = "error") -> None:
-    """HTML, text or Markdown documents; text output has one folder per page."""
-    if format == "parquet":
-        df.write.mode(mode).parquet(path)
-    elif format == "text":
-        df.select("page_id", F.col(column).alias("value")).write.mode(mode).option("lineSep", "\n").partitionBy("page_id").text(path)
-    else:
+def write_documents(df: DataFrame, path: str, format: str = "parquet", mode: str = "error") -> None:
+    """HTML, text or Markdown documents, one row per page."""
+    if format not in ("parquet", "json"):
         raise ValueError(f"unknown document format: {format!r}")
+    df.write.mode(mode).format(format).save(path)
