@@ -16,13 +16,23 @@ from webloom.operators.skew import salted_join
 from webloom.session import checkpointed
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """(url, page_id): the stored page that counts for each URL, the one with the lowest page_id."""
+    return pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+
+
 def one_per_url(pages: DataFrame, rows: DataFrame) -> DataFrame:
-    """``rows`` (page_id, url, …) of the lowest page_id per URL.
+    """``rows`` (page_id, url, …) of the page that counts for each URL.
 
     Works on rows already narrowed to what is needed, so that no HTML moves; copies are reduced map-side.
     """
-    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return rows.join(first, ["url", "page_id"], "left_semi")
+    return rows.join(captures(pages), ["url", "page_id"], "left_semi")
+
+
+def stored_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """The page that counts for each of the URLs, found by its id, so that copies of a URL are left behind."""
+    wanted = captures(pages).join(urls.select("url").distinct(), "url", "left_semi")
+    return pages.join(wanted, ["url", "page_id"], "left_semi")
 
 
 def link_edges(pages: DataFrame, follow: str | None = None, exclude: str | None = None, domain: str | None = None) -> DataFrame:
@@ -63,10 +73,10 @@ def crawl(
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
-    hits = dom(pages.join(visited, "url", "left_semi"), ["title"] if extract is None else [extract, "title"])
+    hits = dom(stored_pages(pages, visited), ["title"] if extract is None else [extract, "title"])
     texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = hits.select("page_id", "url", doc_expr(H.title("toks")).alias("title"), doc_expr(texts).alias("extracted"))
-    out = visited.join(one_per_url(pages, found).drop("page_id"), "url", "left")
+    found = hits.select("url", doc_expr(H.title("toks")).alias("title"), doc_expr(texts).alias("extracted"))
+    out = visited.join(found, "url", "left")
     return out.withColumn("error", F.when(F.col("title").isNull(), F.lit("page not stored")))
 
 
@@ -114,11 +124,10 @@ def batch_urls(urls: DataFrame, pages: DataFrame, extract: str | None = None) ->
 
     ``urls`` is (line_no, url).  With a selector the texts of its matches, else the title; URLs without a page give an error.
     """
-    asked = pages.join(urls.select("url").distinct(), "url", "left_semi")
-    stored = dom(asked, [extract] if extract else ["title"])
+    stored = dom(stored_pages(pages, urls), [extract] if extract else ["title"])
     texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = stored.select("page_id", "url", doc_expr(texts).alias("texts"), doc_expr(H.title("toks") if not extract else "CAST(NULL AS STRING)").alias("title"), F.lit(True).alias("ok"))
-    out = salted_join(urls, one_per_url(pages, found).drop("page_id"), "url", "line_no")
+    found = stored.select("url", doc_expr(texts).alias("texts"), doc_expr(H.title("toks") if not extract else "CAST(NULL AS STRING)").alias("title"), F.lit(True).alias("ok"))
+    out = salted_join(urls, found, "url", "line_no")
     return out.withColumn("error", F.when(F.col("ok").isNull(), F.lit("page not stored"))).drop("ok")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions.sqltext import lit
+from webloom.operators.skew import hot_keys, salted_join
 
 
 def kv_fold(ops: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -20,7 +21,7 @@ def kv_fold(ops: DataFrame, keys: list[str] | None = None) -> DataFrame:
     keys = keys or ["key"]
     sets = ops.where("op = 'set'").groupBy("store", *keys).agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
     clears = ops.where("op = 'clear'").groupBy("store").agg(F.max("seq").alias("cleared"))
-    live = sets.join(clears, "store", "left").where("cleared IS NULL OR seq > cleared")
+    live = salted_join(sets, clears, "store", keys, hot_keys(ops, "store")).where("cleared IS NULL OR seq > cleared")
     return live.select("store", *keys, "value")
 
 
@@ -50,10 +51,11 @@ def collect_until(batches: DataFrame, max_items: int = 100, flat_rounds: int = 3
     reached = gaps.withColumn("stopped", F.max(F.col("flat").cast("int")).over(after.rowsBetween(Window.unboundedPreceding, 0)))
     reached = reached.withColumn("had", F.sum("n").over(after) - F.col("n"))
     open_rounds = reached.where((F.col("stopped") == 0) & (F.col("had") < max_items)).select("stream_id", "round", "had")
-    kept = first.join(open_rounds, ["stream_id", "round"])
+    # a round never gives more than max_items, so its rows are cut to that before anything is joined
     within = Window.partitionBy("stream_id", "round").orderBy("pos", "item")
-    ranked = kept.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= max_items)
-    return ranked.where(F.col("had") + F.col("rn") <= max_items).select("stream_id", "item", "round", "pos")
+    ranked = first.withColumn("rn", F.row_number().over(within)).where(F.col("rn") <= max_items)
+    kept = ranked.join(open_rounds, ["stream_id", "round"])
+    return kept.where(F.col("had") + F.col("rn") <= max_items).select("stream_id", "item", "round", "pos")
 
 
 def array_diff_pct(pairs: DataFrame, a: str, b: str, threshold: float = 0.1) -> DataFrame:

@@ -357,7 +357,7 @@ def sitemap_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("feed_info", """
 SELECT 'https://f.example.com/' || o_orderkey AS url, CASE WHEN o_orderkey % 2 = 0 THEN 'rss' ELSE 'atom' END AS type, 'Orders ' || o_orderkey AS title,
-  'https://f.example.com/' || o_orderkey AS link, NULL AS description FROM orders""")
+  'https://f.example.com/' || o_orderkey AS link, CASE WHEN o_orderkey % 2 = 0 THEN 'about ' || o_orderstatus END AS description FROM orders""")
 def feed_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.feed_info(fx.feed_documents(spark, sf_dir))
 

@@ -146,7 +146,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(url, xml): an RSS or Atom feed with two entries per order."""
     rss = (
         "concat('<?xml version=\"1.0\"?><rss version=\"2.0\"><channel><title>Orders ', o_orderkey, '</title><link>https://f.example.com/', o_orderkey, "
-        "'</link><item><title>', o_orderpriority, '</title><link>https://f.example.com/i/', o_orderkey, '</link><description>a &amp;amp; b</description><pubDate>', "
+        "'</link><description>about ', o_orderstatus, '</description><item><title>', o_orderpriority, '</title><link>https://f.example.com/i/', o_orderkey, '</link><description>a &amp;amp; b</description><pubDate>', "
         f"{day('o_orderdate')}, '</pubDate><guid isPermaLink=\"false\">', o_orderkey, '</guid></item><item><title>second</title></item></channel></rss>')"
     )
     atom = (

@@ -98,7 +98,7 @@ def security_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("web_vitals", """
 SELECT 'https://app.example.com/e/' || event_id AS page_url, CAST(floor(value) AS BIGINT) * 10 AS ttfb, CASE WHEN event_type <> 'error' THEN value END AS fcp,
-  CASE event_id % 3 WHEN 1 THEN value + 1 WHEN 2 THEN value END AS lcp, 120 + CAST(floor(value) AS BIGINT) * 20 AS dom_content_loaded,
+  CASE event_id % 3 WHEN 1 THEN value + 1 WHEN 2 THEN CASE WHEN value = 0 THEN value + 1 ELSE value END END AS lcp, 120 + CAST(floor(value) AS BIGINT) * 20 AS dom_content_loaded,
   200 + CAST(floor(value) AS BIGINT) * 50 AS load_complete, CAST(floor(value) AS BIGINT) AS transfer_size, 100 + CAST(floor(value) AS BIGINT) * 20 AS dom_interactive FROM events""")
 def web_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.web_vitals(fx.timings(spark, sf_dir))
@@ -121,7 +121,7 @@ def performance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("memory_report", """
-SELECT event_id, round((event_id + 1) * 4096 / 1048576.0, 2) AS heap_limit_mb, round((event_id + 1) * 1024 / 1048576.0, 2) AS heap_used_mb, 25.0 AS heap_usage_percent FROM events""")
+SELECT event_id, round((event_id + 1) * 4096 / 1048576.0, 2) AS heap_limit_mb, round((event_id + 1) * 1024 / 1048576.0, 2) AS heap_used_mb, CAST(25 AS DOUBLE) AS heap_usage_percent FROM events""")
 def memory_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = table(spark, sf_dir, "events").selectExpr(
         "event_id", "(event_id + 1) * 4096 AS heap_limit", "(event_id + 1) * 2048 AS heap_total", "(event_id + 1) * 1024 AS heap_used"
