@@ -149,21 +149,20 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     base = {v: f"IF(k = {size}, a.{v}, slice(a.{v}, 1, k))" for v in ("st", "tg")}
     ended = (
         f"IF(k = {size}, a.cl, concat(a.cl, transform(slice(a.st, k + 1, {size} - k), "
-        "(z, j) -> struct(a.ix[k + j] AS i, t.s AS e, t.closes AND j = 0 AS own, a.n AS z))))"
+        "(z, j) -> struct(z AS i, t.s AS e, t.closes AND j = 0 AS own, a.n AS z))))"
     )
-    base["ix"] = f"IF(k = {size}, a.ix, slice(a.ix, 1, k))"
     on_end = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, {base['ix']} AS ix, a.n AS n, a.m AS m, a.op AS op, "
+        f"struct({base['st']} AS st, {base['tg']} AS tg, a.n AS n, a.m AS m, a.op AS op, "
         f"{ended} AS cl)"
     )
     on_leaf = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, {base['ix']} AS ix, a.n + 1 AS n, a.m AS m, "
+        f"struct({base['st']} AS st, {base['tg']} AS tg, a.n + 1 AS n, a.m AS m, "
         f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, -1 AS x, {base['st']} AS anc)) AS op, "
         f"{ended} AS cl)"
     )
     on_start = (
         f"struct(array_append({base['st']}, a.n) AS st, array_append({base['tg']}, t.tag) AS tg, "
-        f"array_append({base['ix']}, a.m) AS ix, a.n + 1 AS n, a.m + 1 AS m, "
+        f"a.n + 1 AS n, a.m + 1 AS m, "
         f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, a.m AS x, {base['st']} AS anc)) AS op, "
         f"{ended} AS cl)"
     )
@@ -171,7 +170,7 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     opened, closed = "array<struct<i:int,s:int,tag:string,x:int,anc:array<int>>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
 
     def state(v: str) -> str:
-        return f"{v}.st AS st, {v}.tg AS tg, {v}.ix AS ix, {v}.n AS n, {v}.m AS m"
+        return f"{v}.st AS st, {v}.tg AS tg, {v}.n AS n, {v}.m AS m"
 
     def empty(depth: str) -> str:
         return f"CAST(array() AS {depth.format(opened)}) AS op, CAST(array() AS {depth.format(closed)}) AS cl"
@@ -186,11 +185,11 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         f"f -> struct({state('f')}, array_append(o.op, flatten(f.op)) AS op, array_append(o.cl, flatten(f.cl)) AS cl))"
     )
     start = (
-        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, CAST(array() AS array<int>) AS ix, "
+        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, "
         f"0 AS n, 0 AS m, {empty('array<{}>')})"
     )
     fold = f"aggregate(sequence(0, greatest(size(g) - 1, 0) DIV {_CHUNK * _FAN}), {start}, (o, u) -> {per_run})"
-    ends = f"array_sort(concat(flatten(r.cl), transform(r.ix, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
+    ends = f"array_sort(concat(flatten(r.cl), transform(r.st, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
     joined = let(
         "q",
         ends,

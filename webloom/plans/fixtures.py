@@ -123,7 +123,7 @@ def chain_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         "CASE WHEN o_orderkey % 12 < 11 THEN concat('<a class=\"next\" href=\"/o/', o_orderkey + 1, '\">next</a>') "
         "WHEN o_orderkey % 24 < 12 THEN concat('<a class=\"next disabled\" href=\"/o/', o_orderkey + 1, '\">next</a>') ELSE '' END"
     )
-    html = f"concat('<html><body><ul><li>', o_orderstatus, '</li><li>', o_orderpriority, '</li><li> </li></ul>', {link}, '</body></html>')"
+    html = f"concat('<html><body', IF(o_orderkey % 12 = 0, ' class=\"first\"', ''), '><ul><li>', o_orderstatus, '</li><li>', o_orderpriority, '</li><li> </li></ul>', {link}, '</body></html>')"
     return _pages(table(spark, sf_dir, "orders"), "o_orderkey", "concat('https://orders.example.com/o/', o_orderkey)", html)
 
 

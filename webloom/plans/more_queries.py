@@ -122,11 +122,11 @@ def sink_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("sink_crawl_pages", """
-SELECT 'c_' || s_suppkey AS file, s_name AS title, s_suppkey % 3 AS depth FROM supplier WHERE s_suppkey > 0
+SELECT 'c_' || s_suppkey AS file, s_name AS title, s_suppkey % 3 AS depth FROM supplier
 UNION ALL SELECT 'index', 'home', 1""")
 def sink_crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
-    rows = table(spark, sf_dir, "supplier").where("s_suppkey > 0").selectExpr("concat('https://a.example.com/c/', s_suppkey) AS url", "CAST(s_suppkey % 3 AS INT) AS depth", "s_name AS title")
+    rows = table(spark, sf_dir, "supplier").selectExpr("concat('https://a.example.com/c/', s_suppkey) AS url", "CAST(s_suppkey % 3 AS INT) AS depth", "s_name AS title")
     homes = table(spark, sf_dir, "supplier").agg(F.max("s_suppkey").alias("k")).selectExpr("'https://a.example.com' AS url", "0 AS depth", "'first' AS title")
     again = homes.selectExpr("'https://a.example.com/' AS url", "1 AS depth", "'home' AS title")
     sinks.write_crawl_pages(rows.unionByName(homes).unionByName(again), folder)

@@ -350,7 +350,18 @@ def html_to_text_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain.select("page_id", words.alias("n_words"))
 
 
-@query("html_to_markdown")
+MARKDOWN_STEPS = [
+    ("<!--.*?-->", ""), ("[ \\t\\r\\n\\f]+", " "), ('<a href="([^"]*)">([^<]*)</a>', "[\\2](\\1)"), ("<b>([^<]*(?:<br>[^<]*)*)(?:</b>)?", "**\\1**"),
+    ("<br>", "  @"), ("<h1>", "@@# "), ("<li>", "@* "), ("</li>", ""), ("</?(?:nav|ul|div|article|footer|h1|p)(?: [^>]*)?>", "@@"), ("<[^>]*>", ""),
+    ("@([ ]+@)+", "@@"), ("@{3,}", "@@"),
+]
+MARKDOWN = "replace(regexp_extract(html, '(?s)<body>(.*)', 1), '@', '{at}')"
+for _pattern, _with in MARKDOWN_STEPS:
+    MARKDOWN = f"regexp_replace({MARKDOWN}, '(?s){_pattern}', '{_with}', 'g')"
+
+
+@query("html_to_markdown", f"""
+SELECT page_id, trim(replace(replace({DECODE.format(MARKDOWN)}, '@', chr(10)), '{{at}}', '@'), ' ' || chr(10)) AS content FROM pages""")
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content.html_to_markdown(pages(spark, sf_dir))
 
