@@ -111,6 +111,17 @@ def test_very_long_page(page):
     assert dom.text_content(doc, "li").agg(F.count("*"), F.sum("text")).first()[:] == (n, n * (n - 1) / 2)
 
 
+def test_very_deep_page_and_long_raw_text(page):
+    deep = "<div>" + "<b>x" * 5000 + "</div><p>end"
+    raw = "<p>a</p><script>" + "var x = '<b>';\n" * 60000 + "</script><!--" + "<i>" * 60000 + "--><p>" + "word &amp; " * 60000 + "</p>"
+    p = page(deep, raw)
+    doc = dom.dom(p)
+    rows = doc.select("page_id", F.size("els").alias("n"), F.expr("array_max(transform(els, x -> size(x.anc)))").alias("d")).orderBy("page_id").collect()
+    assert [tuple(r) for r in rows] == [(0, 5002, 512), (1, 3, 0)]
+    texts = dom.text_content(doc, "div, p").orderBy("page_id", "pos").select(F.length("text").alias("n")).collect()
+    assert [r["n"] for r in texts] == [5000, 3, 1, 60000 * 7 - 1]
+
+
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.integers(0, 10**6))
 def test_element_invariants(page, seed):

@@ -48,6 +48,8 @@ _IMPLIED = {
     10: (["body"], ["head"], ["template"]),
 }
 _CHUNK, _FAN = 16, 16
+# Fixed value: browsers nest elements no deeper than this.
+MAX_DEPTH = 512
 
 
 def tokens(html: str) -> str:
@@ -89,7 +91,7 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
 
     A fold over the tags keeps the stack of open elements.  ``s`` and ``e`` are token positions of the start tag and of
     the end (the end tag itself when ``own``, else the token before which the element ends); void and
-    raw-text elements end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
+    raw-text elements, and those nested deeper than browsers nest, end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
     descendant, so descendants are a slice of the list; ``anc`` holds the list positions of the ancestors, outermost first.
     The fold is nested three deep (runs of 16 tags, 16 runs, all): each step copies its accumulator, so the accumulator
     of the innermost one, which runs per tag, stays small.  Inline elements never change where
@@ -145,7 +147,7 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         + " END"
     )
     keep = f"CAST(IF(t.closes, {kept_by_end}, {kept_by_start}) AS INT)"
-    leaf = f"(t.void OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR exists(a.tg, z -> {in_list('z', FOREIGN)}))))"
+    leaf = f"(t.void OR {size} >= {MAX_DEPTH} OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR exists(a.tg, z -> {in_list('z', FOREIGN)}))))"
     base = {v: f"IF(k = {size}, a.{v}, slice(a.{v}, 1, k))" for v in ("st", "tg")}
     ended = (
         f"IF(k = {size}, a.cl, concat(a.cl, transform(slice(a.st, k + 1, {size} - k), "

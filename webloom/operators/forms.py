@@ -152,13 +152,13 @@ def match_form_fields(pages: DataFrame, wanted: list[str], form: str = "form") -
         ("data-testid", contains("data-testid", w)),
     ]
     inside = f"flatten(transform(slice(filter(els, x -> {predicate(form)}), 1, 1), x -> {H.descendants('x')}))"
-    doc = dom(pages).withColumn("inside", doc_expr(inside))
-    doc = doc.withColumn("want", F.explode(F.array(*[F.lit(n) for n in wanted]))).withColumn("label_for", doc_expr(label_for))
     hits = ", ".join(
         f"get(transform(slice(filter(inside, y -> {rule}), 1, 1), y -> struct({lit(name)} AS matched_by, y.s AS pos, y.tag AS tag)), 0)"
         for name, rule in rules
     )
-    out = doc.select("page_id", F.col("want").alias("wanted"), doc_expr(f"coalesce({hits})").alias("h"))
+    hit = let("label_for", label_for, f"struct(want AS wanted, coalesce({hits}) AS h)")
+    names = f"array({', '.join(lit(n) for n in wanted)})"
+    out = rows_of(dom(pages).withColumn("inside", doc_expr(inside)), f"transform({names}, want -> {hit})", "page_id")
     return out.select("page_id", "wanted", "h.matched_by", "h.pos", "h.tag")
 
 
