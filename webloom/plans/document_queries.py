@@ -258,7 +258,7 @@ def form_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = forms.form_fields(fx.form_pages(spark, sf_dir))
     return out.select(
         "page_id", F.col("form_no").cast("bigint").alias("form_no"), "name", "type", "value", "required",
-        F.expr("CAST(coalesce(size(options), 0) AS BIGINT)").alias("n_options"), "id",
+        F.expr("CAST(IF(options IS NULL, 0, size(options)) AS BIGINT)").alias("n_options"), "id",
     )
 
 
