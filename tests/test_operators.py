@@ -230,3 +230,12 @@ def test_first_text_of_each_selector_kind(page):
     assert extract.inline_styles(p, ".box").first()["styles"] == {"color": "blue"}
     assert dom.inner_html(dom.dom(p), ".box").first()["html"] == "a"
     assert recon.element_selectors(p, "div", "overview").first()["selector"] == "div.box"
+
+
+def test_flat_selectors_equal_the_element_list(page):
+    p = page("<!-- <a> --><script>'<a>'</script><a class='x y' href=/1><A CLASS=x>t</A></p><style>a{}</style>", "")
+    for selector in ("a", ".x", "a.x[href], script", "style, [class~=y]", "*"):
+        tree = dom.dom(p, [selector]).select("page_id", F.expr(dom.count_of(selector)).alias("n"))
+        assert content.count_elements(p, selector).exceptAll(tree).count() == 0
+    assert content.count_elements(p, "a").orderBy("page_id").collect() == [(0, 2), (1, 0)]
+    assert [r["value"] for r in extract.extract_attr(p, "a", "class").orderBy("pos").collect()] == ["x y", "x"]

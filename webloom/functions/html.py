@@ -201,6 +201,17 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     return let("g", tags, let("r", fold, joined))
 
 
+def start_tags(toks: str, names: list[str] | None = None) -> str:
+    """Start tags in the shape of the element list, without ends and ancestors: enough to test tags and attributes."""
+    wanted = f"{tag_name('t')} <> ''" if names is None else in_list(tag_name("t"), names)
+    tag = f"struct(j AS s, {tag_name('t')} AS tag)"
+    found = f"filter(transform({toks}, (t, j) -> IF(startswith(t, '<') AND NOT startswith(t, '</') AND {wanted}, {tag}, NULL)), g -> g IS NOT NULL)"
+    return (
+        f"transform({found}, (g, j) -> struct(j AS i, j + 1 AS z, g.s AS s, g.s AS e, false AS own, g.tag AS tag, "
+        "CAST(array() AS array<int>) AS anc))"
+    )
+
+
 def attribute_list(tok: str) -> str:
     """Attributes of a tag token as array<struct<name, value>> in source order."""
     quoted = r"""(?s)^<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>"""

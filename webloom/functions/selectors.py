@@ -122,3 +122,8 @@ def inline_tags(selectors: list[str]) -> list[str] | None:
             return None
         out |= tags
     return sorted(out - set(BLOCK))
+
+
+def is_flat(selector: str) -> bool:
+    """True when the selector looks at the element itself only, so that start tags are enough to test it."""
+    return all(len(path) == 1 for path in parse(selector))

@@ -9,7 +9,7 @@ from webloom.functions import html as H
 from webloom.functions.selectors import predicate
 from webloom.functions.sqltext import doc_expr, in_list, let, lit
 from webloom.functions.text import collapse_space, decode_entities, js_trim, word_count
-from webloom.operators.dom import attr, count_of, dom, has, keep_pages, parsed, text
+from webloom.operators.dom import attr, count_of, dom, has, keep_pages, tagged, text
 
 # Main-content selectors in the order they are tried.
 CONTENT_SELECTORS = [
@@ -171,7 +171,7 @@ def collapsible_census(pages: DataFrame) -> DataFrame:
 
 def has_selector(pages: DataFrame, selector: str) -> DataFrame:
     """Pages on which the selector matches; page columns unchanged."""
-    return keep_pages(parsed(pages, [selector]), has(selector), pages.columns)
+    return keep_pages(tagged(pages, selector), has(selector), pages.columns)
 
 
 def has_text(pages: DataFrame, literal: str) -> DataFrame:
@@ -182,4 +182,4 @@ def has_text(pages: DataFrame, literal: str) -> DataFrame:
 
 def count_elements(pages: DataFrame, selector: str) -> DataFrame:
     """(page_id, n): number of matches, 0 kept."""
-    return dom(pages).select("page_id", doc_expr(count_of(selector)).alias("n"))
+    return tagged(pages, selector).select("page_id", doc_expr(count_of(selector)).alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
-from webloom.functions.selectors import attribute_of, inline_tags, predicate
+from webloom.functions.selectors import attribute_of, inline_tags, is_flat, predicate, tags_of
 from webloom.functions.sqltext import doc_expr, lit
 from webloom.functions.text import js_trim
 
@@ -27,6 +27,16 @@ def parsed(pages: DataFrame, selectors: list[str] | None = None) -> DataFrame:
     return doc.withColumn("ats", doc_expr(H.attribute_maps("toks", "els")))
 
 
+def tagged(pages: DataFrame, selector: str) -> DataFrame:
+    """Like ``parsed`` for questions about tags and attributes: a selector of single steps is tested on start tags alone."""
+    if not is_flat(selector):
+        return parsed(pages, [selector])
+    names = tags_of(selector)
+    doc = pages.withColumn("toks", doc_expr(H.tokens("html")))
+    doc = doc.withColumn("els", doc_expr(H.start_tags("toks", sorted(names) if names else None)))
+    return doc.withColumn("ats", doc_expr(H.attribute_maps("toks", "els")))
+
+
 def with_tokens(pages: DataFrame) -> DataFrame:
     """``pages`` with ``toks`` in place of ``html``, for operators that need no element ends."""
     return pages.withColumn("toks", doc_expr(H.tokens("html"))).drop("html")

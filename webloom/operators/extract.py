@@ -12,7 +12,7 @@ from webloom.functions.selectors import predicate
 from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, js_trim
 from webloom.functions.urls import url_join
-from webloom.operators.dom import attr, dom, first_of, rows_of, select, text, with_tokens
+from webloom.operators.dom import attr, dom, first_of, rows_of, select, tagged, text, with_tokens
 
 
 def extract_text(pages: DataFrame, selector: str, all: bool = True) -> DataFrame:
@@ -42,7 +42,7 @@ def link_targets(pages: DataFrame) -> DataFrame:
 
 def extract_attr(pages: DataFrame, selector: str, name: str, all: bool = True) -> DataFrame:
     """Attribute values of the matches: every non-empty one, or the first match's per page ('' when missing)."""
-    doc = dom(pages, [selector])
+    doc = tagged(pages, selector)
     if all:
         return select(doc, selector, {"value": attr(name)}).where("value <> ''")
     return doc.select("page_id", doc_expr(f"coalesce({first_of(selector, attr(name))}, '')").alias("value"))
