@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, suffix_decontaminate
+from webloom.llm import ball_tree, byte_cnn, suffix_decontaminate, warc
 from webloom.llm.registry import query, table
 
 
@@ -56,3 +56,29 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = ball_tree.quantised(table(spark, sf_dir, "embeddings"))
     return ball_tree.top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+@query("op5_language_id")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", byte_cnn.held_out())
+    model = byte_cnn.trained(docs.where("NOT held_out"))
+    return byte_cnn.predict(docs, model, ("doc_id", "held_out"))
+
+
+_BITS = "list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(concat('0b', substr(bits, 1 + 5 * k, 5)) AS INTEGER), 1))"
+
+
+@query(
+    "op6_warc_captures",
+    f"""
+    WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+    h AS (SELECT page_id, octet_length(b) AS payload_bytes, CAST(CAST(unhex(sha1(b)) AS BIT) AS VARCHAR) AS bits FROM p),
+    d AS (SELECT page_id, payload_bytes, list_aggregate({_BITS}, 'string_agg', '') AS payload_digest FROM h),
+    m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS top FROM d)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id <> top THEN top END AS refers_to, CAST(3 AS BIGINT) AS n_records
+    FROM m
+    """,
+)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_captures(table(spark, sf_dir, "pages"))
