@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, byte_cnn, suffix_decontaminate, warc
+from webloom.llm import ball_tree, byte_cnn, license_rules, license_scan, suffix_decontaminate, warc
 from webloom.llm.registry import query, table
 
 
@@ -82,3 +82,29 @@ _BITS = "list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWX
 )
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_captures(table(spark, sf_dir, "pages"))
+
+
+def _licence_sql() -> str:
+    rules = ", ".join(f"({k}, {r.priority}, {r.confidence}, '{r.label}', '{r.first}', '{r.keyword}', '^(?:{r.pattern}) ')" for k, r in enumerate(license_rules.rules()))
+    base = ", ".join(f"('{p}', {len(p.split())}, '{label}')" for p, label in license_rules.BASE)
+    return f"""
+    WITH rules(o, priority, confidence, label, first, keyword, pattern) AS (VALUES {rules}), phrases(phrase, n, label) AS (VALUES {base}),
+    d AS (SELECT row_number() OVER () AS r, doc_id, {WORDS} AS w FROM documents),
+    p AS (SELECT r, w, unnest(range(CAST(len(w) AS BIGINT))) AS i FROM d),
+    c AS (SELECT r, i, w[i + 1] AS head, array_to_string(w[i + 1 : i + {license_rules.SPAN}], ' ') || ' ' AS t FROM p WHERE w[i + 1] IN (SELECT first FROM rules UNION SELECT split_part(phrase, ' ', 1) FROM phrases)),
+    b AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM c JOIN phrases ON starts_with(t, phrase || ' ') GROUP BY r),
+    f AS (SELECT r, i, priority, confidence, label, o, regexp_extract(t, pattern) AS m FROM c JOIN rules ON head = first AND contains(t, keyword)),
+    h AS (SELECT *, len(m) - len(replace(m, ' ', '')) AS n FROM f WHERE m <> ''),
+    h1 AS (SELECT r, i, i + n AS e, priority, confidence, label FROM h QUALIFY row_number() OVER (PARTITION BY r, i ORDER BY priority DESC, n DESC, o) = 1),
+    k AS (SELECT * FROM h1 WHERE NOT EXISTS (SELECT 1 FROM h1 x WHERE x.r = h1.r AND x.i < h1.i AND x.e >= h1.e AND x.priority >= h1.priority)),
+    l AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM k UNION SELECT r, label FROM c JOIN phrases ON starts_with(t, phrase || ' ')) GROUP BY r),
+    s AS (SELECT r, max(confidence) AS top FROM k GROUP BY r)
+    SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+      greatest(coalesce(top, 0.0), CASE WHEN n_base > 0 THEN 0.5 ELSE 0.0 END) AS score
+    FROM d LEFT JOIN b USING (r) LEFT JOIN l USING (r) LEFT JOIN s USING (r)
+    """
+
+
+@query("op1_license_scan", _licence_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
