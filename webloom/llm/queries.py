@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, byte_cnn, license_rules, license_scan, suffix_decontaminate, warc
+from webloom.llm import ball_tree, byte_cnn, license_rules, license_scan, skip_chain_crf, suffix_decontaminate, warc
 from webloom.llm.registry import query, table
 
 
@@ -108,3 +108,9 @@ def _licence_sql() -> str:
 @query("op1_license_scan", _licence_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("detections")
+
+
+@query("op2_pii_skip_chain")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return skip_chain_crf.personal_data(docs, skip_chain_crf.trained(docs))
