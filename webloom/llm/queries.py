@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, best_fit, byte_cnn, license_rules, license_scan, skip_chain_crf, suffix_decontaminate, warc
+from webloom.llm import ball_tree, best_fit, byte_cnn, license_rules, license_scan, line_chunks, skip_chain_crf, suffix_decontaminate, warc
 from webloom.llm.registry import query, table
 
 
@@ -126,3 +126,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+@query("op10_line_dedup")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.report(table(spark, sf_dir, "documents"))
