@@ -36,6 +36,8 @@ SAMPLE = 8000
 COMMON = 50_000
 GROUP = 512
 SMALL = 32
+ROWS = 1024
+KEYS = ("group", "low", "high")
 U = np.uint64
 
 
@@ -70,7 +72,7 @@ def _signatures(batches, n: int, num: int, den: int, common: np.ndarray):
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in found])]).astype(np.int32)
             keys = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(found))))
             rows = slice(block.first, block.first + len(block))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], pa.array(_signed(node)), pa.array(np.diff(bounds)), keys], ["doc_id", "node", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("key_")[rows], pa.array(_signed(node)), pa.array(np.diff(bounds)), keys], ["doc_id", "key_", "node", "size", "keys"])
 
 
 SENT = "group bigint, low int, high int, side int, level int, node bigint, size bigint, large boolean, body binary"
@@ -122,38 +124,12 @@ def _record(rows, names, kinds):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def _groups(batches, rows: int = 1024, cells: int = 1 << 18):
-    """Tables of whole groups; rows come sorted by group."""
-    held: list[pa.Table] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held.append(table)
-        if sum(t.num_rows for t in held) < rows:
-            continue
-        whole = pa.concat_tables(held).combine_chunks()
-        group, low, high = (whole.column(c).to_numpy() for c in ("group", "low", "high"))
-        new = np.flatnonzero((np.diff(group) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)) + 1
-        if not len(new):
-            held = [whole]
-            continue
-        last = 0
-        for cut in [*new[np.searchsorted(new, np.arange(rows, int(new[-1]), rows), "left")].tolist(), int(new[-1])]:
-            if cut > last:
-                yield whole.slice(last, cut - last)
-                last = cut
-        held = [whole.slice(last)]
-    if held:
-        yield pa.concat_tables(held).combine_chunks()
-
-
 PAIRS = "a bigint, b bigint, sure boolean"
 
 
 def _join(batches, num: int, den: int, again: bool):
-    for table in _groups(batches):
-        keys = np.stack([table.column(c).to_numpy() for c in ("group", "low", "high")])
+    for table in X.whole_groups(batches, KEYS, ROWS):
+        keys = np.stack([table.column(c).to_numpy() for c in KEYS])
         new = np.concatenate([[True], (np.diff(keys) != 0).any(axis=0)])
         group = np.cumsum(new) - 1
         node, component, size, side, level = (table.column(c).to_numpy() for c in ("node", "component", "size", "side", "level"))
@@ -182,8 +158,7 @@ def _join(batches, num: int, den: int, again: bool):
 
 def _pairs(rows: DataFrame, num: int, den: int, again: bool) -> DataFrame:
     """(a, b, sure), each pair once."""
-    keys = ["group", "low", "high"]
-    met = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(partial(_join, num=num, den=den, again=again), PAIRS)
+    met = rows.repartition(*KEYS).sortWithinPartitions(*KEYS).mapInArrow(partial(_join, num=num, den=den, again=again), PAIRS)
     return checkpointed(met.groupBy("a", "b").agg(F.max("sure").alias("sure")))
 
 
@@ -204,11 +179,11 @@ def _true_links(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
 
 
 def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, group: int = GROUP) -> DataFrame:
-    """(doc_id, node, size, component_id), one row per document: set class, set size, smallest doc_id of the component."""
+    """(doc_id, key_, node, size, component_id), one row per document: text hash, set class, set size, smallest doc_id of the component."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     common = common_members(texts, n)
-    signed = checkpointed(texts.mapInArrow(partial(_signatures, n=n, num=num, den=den, common=common), f"doc_id {kind}, node bigint, size bigint, keys array<bigint>"))
+    signed = checkpointed(texts.withColumn("key_", X.row_key()).mapInArrow(partial(_signatures, n=n, num=num, den=den, common=common), f"doc_id {kind}, key_ bigint, node bigint, size bigint, keys array<bigint>"))
     classes = checkpointed(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     # one document per class; repeated rows of it meet again as one class
     head = classes.select(F.col("first").alias("doc_id"), F.col("node").alias("n_"))
@@ -229,9 +204,9 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, group: in
     firsts = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = checkpointed(firsts.groupBy("root").agg(F.min("first").alias("component_id")))
     named = checkpointed(firsts.join(lowest, "root").select("node", "component_id"))
-    out = signed.select("doc_id", "node", "size").join(named, "node", "left")
+    out = signed.drop("keys").join(named, "node", "left")
     empty: Column = F.col("size") == 0
-    return out.select("doc_id", "node", "size", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return out.select("doc_id", "key_", "node", "size", F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -239,8 +214,5 @@ def one_per_group(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) ->
 
     Of rows equal in doc_id and text all stay or go; empty texts stay.
     """
-    given = docs.columns
-    found = linked(docs, n, num, den)
-    # a document stays if it is its component's first; classes tell apart rows that share an id
-    gone = found.where("size > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_")), "left_anti").select(*given)
+    gone = linked(docs, n, num, den).where("size > 0 AND NOT (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_"), F.col("key_").alias("gone_key_")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(F.col("gone_")) & (X.row_key() == F.col("gone_key_")), "left_anti")

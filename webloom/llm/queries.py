@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, skip_chain_crf, suffix_decontaminate, warc
+from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, skip_chain_crf, suffix_decontaminate, suffix_dedup, warc
 from webloom.llm.registry import query, table
 
 
@@ -137,3 +137,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.linked(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id")
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))

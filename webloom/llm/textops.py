@@ -155,3 +155,28 @@ def runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, ends) of the runs of True."""
     edge = np.diff(np.concatenate([[0], mask.astype(np.int8), [0]]))
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...], rows: int) -> Iterator[pa.Table]:
+    """Tables of about ``rows`` rows that hold whole groups; the rows come sorted by the keys, which are not null."""
+    held: list[pa.Table] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(pa.Table.from_batches([batch]))
+        if sum(t.num_rows for t in held) < rows:
+            continue
+        whole = pa.concat_tables(held).combine_chunks()
+        new = np.zeros(whole.num_rows - 1, bool)
+        for key in keys:
+            new |= np.diff(whole.column(key).to_numpy()) != 0
+        cuts = np.flatnonzero(new) + 1
+        last = 0
+        if len(cuts):
+            for cut in [*cuts[np.searchsorted(cuts, np.arange(rows, int(cuts[-1]), rows), "left")].tolist(), int(cuts[-1])]:
+                if cut > last:
+                    yield whole.slice(last, cut - last)
+                    last = cut
+        held = [whole.slice(last)]
+    if held:
+        yield pa.concat_tables(held).combine_chunks()
