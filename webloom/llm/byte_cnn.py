@@ -194,7 +194,5 @@ def predict(docs: DataFrame, model: ByteCNN, carry: tuple[str, ...] = ("doc_id",
 
 def keep_known(docs: DataFrame, model: ByteCNN, min_score: float = 0.35) -> DataFrame:
     """The documents that the model can place in a language, with their columns."""
-    given = docs.columns
-    plain = docs.withColumnsRenamed({c: f"carried_{k}_" for k, c in enumerate(given) if c != "text"})
-    found = predict(plain, model, tuple(plain.columns)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score))
-    return found.select(*plain.columns).withColumnsRenamed({f"carried_{k}_": c for k, c in enumerate(given)})
+    plain, back = X.neutral(docs, "text")
+    return back(predict(plain, model, tuple(plain.columns)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)))

@@ -166,10 +166,8 @@ def _rewritten(batches):
 
 def dedupe(docs: DataFrame) -> DataFrame:
     """The documents without their repeated chunks, with their columns; a document that loses all of its text goes."""
-    given = docs.columns
-    plain = docs.withColumnsRenamed({c: f"carried_{k}_" for k, c in enumerate(given) if c not in ("doc_id", "text")})
+    plain, back = X.neutral(docs, "doc_id", "text")
     joined = _with_repeats(plain)
     names = [c for c in joined.columns if c not in ("text", "chunks")]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", text string, changed_ boolean"
-    out = joined.select(*names, "text", "chunks").mapInArrow(_rewritten, schema).where("NOT changed_ OR length(text) > 0")
-    return out.select(*plain.columns).withColumnsRenamed({f"carried_{k}_": c for k, c in enumerate(given)})
+    return back(joined.select(*names, "text", "chunks").mapInArrow(_rewritten, schema).where("NOT changed_ OR length(text) > 0"))

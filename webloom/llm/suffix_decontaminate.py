@@ -282,7 +282,5 @@ def _judge(batches, items, names, last, window, share, shard_words):
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """The documents that are not contaminated, with their columns."""
-    given = docs.columns
-    plain = docs.withColumnsRenamed({c: f"carried_{k}_" for k, c in enumerate(given) if c not in ("doc_id", "text")})
-    judged = contamination(plain, benchmark, carry=tuple(plain.columns), **settings)
-    return judged.where("NOT contaminated").select(*plain.columns).withColumnsRenamed({f"carried_{k}_": c for k, c in enumerate(given)})
+    plain, back = X.neutral(docs, "doc_id", "text")
+    return back(contamination(plain, benchmark, carry=tuple(plain.columns), **settings).where("NOT contaminated"))

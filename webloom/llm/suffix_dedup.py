@@ -248,10 +248,8 @@ def _rewritten(batches):
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents without their repeated bytes, with their columns; characters cut in two go whole."""
-    given = docs.columns
-    plain = docs.withColumnsRenamed({c: f"carried_{k}_" for k, c in enumerate(given) if c not in ("doc_id", "text")})
+    plain, back = X.neutral(docs, "doc_id", "text")
     joined = _with_spans(plain, length)
     names = [c for c in joined.columns if c not in ("text", "spans")]
     schema = ", ".join(f"`{c}` {joined.schema[c].dataType.simpleString()}" for c in names) + ", text string"
-    out = joined.select(*names, "text", "spans").mapInArrow(_rewritten, schema)
-    return out.select(*plain.columns).withColumnsRenamed({f"carried_{k}_": c for k, c in enumerate(given)})
+    return back(joined.select(*names, "text", "spans").mapInArrow(_rewritten, schema))

@@ -6,13 +6,13 @@ eight bytes per text byte stay small whatever an Arrow batch holds.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 21
@@ -36,6 +36,13 @@ def row_key(text: str = "text") -> Column:
     return F.xxhash64(F.col(text))
 
 
+def neutral(df: DataFrame, *keep: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with all columns but ``keep`` under names no operator uses, and the way back to its own names."""
+    given = df.columns
+    names = [c if c in keep else f"carried_{k}_" for k, c in enumerate(given)]
+    return df.toDF(*names), lambda out: out.select(*names).toDF(*given)
+
+
 @dataclass
 class Block:
     first: int  # row of the batch
