@@ -1,7 +1,7 @@
 """Token ids of whole texts from a public tokenizer file, with the pieces between blanks remembered.
 
 The tokenizer never joins across white space, nor across the borders of letter, digit and symbol runs, so a text's ids are the ids of
-its runs one after the other.  Two bounded caches per Python worker (words, runs) save most of the work; a word outside the
+its runs one after the other; a run goes to the tokenizer's model in the byte-level letters of its vocabulary.  Two bounded caches per Python worker (words, runs) save most of the work; a word outside the
 plain Latin range, or one with a special token's string, is encoded as it is, and so is a text with control blanks, on which
 the libraries differ.
 """
@@ -16,8 +16,22 @@ import regex
 
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ODD_BLANKS = regex.compile("[\x1c-\x1f]")
-_MARK = "\x01"  # a run of its own between two blanks
-MAX_WORDS, MAX_RUNS = 400_000, 700_000
+_MARKS = ".,;:!?#$%&*"
+MAX_WORDS, MAX_RUNS = 400_000, 1_200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it prints, else the next letter from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def _runs(word: str) -> list[str]:
+    """The word's letter, digit and symbol runs."""
+    core = word.rstrip(_MARKS)
+    if core.isalpha():
+        return [core, word[len(core) :]] if len(core) < len(word) else [core]
+    return _RUNS.findall(word)
 
 
 class WordTokens:
@@ -27,47 +41,34 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {}
-        mark = self._ids(_MARK)
-        self.mark = mark[0] if len(mark) == 1 else None
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        self.letters = _byte_letters()
 
     def plainly(self, text: str) -> bytes:
-        return np.array(self._ids(text), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        if len(self.runs) + len(runs) > MAX_RUNS:
-            self.runs.clear()
-        plain = [r for r in runs if _MARK not in r] if self.mark is not None else []
-        for lo in range(0, len(plain), 2000):
-            some = plain[lo : lo + 2000]
-            ids = np.array(self._ids(f" {_MARK} ".join(some)), "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            raw, starts = ids.tobytes(), [0, *(cuts + 1).tolist()]
-            self.runs.update((r, raw[4 * a : 4 * b]) for r, a, b in zip(some, starts, [*cuts.tolist(), len(ids)], strict=True))
-        for r in runs:
-            if r not in self.runs:
-                self.runs[r] = self.plainly(r)
+    def _run(self, run: str) -> bytes:
+        """A run's ids from the tokenizer's model alone: it is in lower case and holds no border."""
+        ids = [t.id for t in self.tokenizer.model.tokenize(run.encode().decode("latin-1").translate(self.letters))]
+        return array.array("I", ids).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Makes sure that all of the words are remembered."""
         if len(self.words) + len(words) > MAX_WORDS:
             self.words.clear()
-        split = {}
+        if len(self.runs) > MAX_RUNS:
+            self.runs.clear()
+        runs = self.runs
         for w in words:
             if "<|" in w or max(w) >= "ɐ" or "İ" in w:
                 self.words[w] = self.plainly(w)
-            else:
-                split[w] = _RUNS.findall(w.lower())
-        new = list(dict.fromkeys(r for r in itertools.chain.from_iterable(split.values()) if r not in self.runs))
-        if new:
-            self._learn_runs(new)
-            if any(r not in self.runs for runs in split.values() for r in runs):  # the cache was emptied meanwhile
-                self._learn_runs(list(dict.fromkeys(r for runs in split.values() for r in runs if r not in self.runs)))
-        runs = self.runs
-        for w, parts in split.items():
-            self.words[w] = b"".join([runs[r] for r in parts])
+                continue
+            parts = []
+            for r in _runs(w.lower()):
+                ids = runs.get(r)
+                if ids is None:
+                    ids = runs[r] = self._run(r)
+                parts.append(ids)
+            self.words[w] = b"".join(parts)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -91,7 +92,3 @@ def word_tokens(path: str) -> WordTokens:
         _HELD.clear()
         _HELD[path] = WordTokens(path)
     return _HELD[path]
-
-
-def ids_of(raw: bytes) -> array.array:
-    return array.array("I", raw)
