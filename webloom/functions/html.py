@@ -10,16 +10,27 @@ from __future__ import annotations
 from webloom.functions.sqltext import in_list, let, lit
 from webloom.functions.text import collapse_space, decode_entities, js_trim
 
-# Comments, raw-text elements, declarations, tags with quoted attribute values, text, stray '<'.
-# The possessive group keeps the match iterative: no stack growth on tags with thousands of attributes.
+# Elements whose content is text up to their own end tag; in the last two character references still count.
+RAW = "script style title textarea".split()
+_RAW = "(?:" + "|".join(RAW) + ")"
+
+# The rest of a start tag behind its name: quotes count only behind an equals sign.
+# Possessive throughout: a match never steps back, and there is no stack growth on tags with thousands of attributes.
+_VALUE = r"""(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z)|[^\s>"'][^\s>]*+)"""
+_ATTRIBUTE = rf"[^\s/>][^\s/>=]*+(?:\s*+=\s*+{_VALUE}?+)?+"
+_ATTRIBUTES = rf"(?:[\s/]++|{_ATTRIBUTE})*+"
+
+# Comments, raw-text elements, declarations, tags, text, stray '<'.  Whatever has no end runs to the end of the document, as
+# it does in browsers, so no character is looked at twice.
 TOKEN_PATTERN = (
-    r"(?si)<!--.*?-->"
-    r"|<script\b[^>]*>.*?</script\s*>"
-    r"|<style\b[^>]*>.*?</style\s*>"
-    r"|<[!?][^>]*>"
-    r"""|</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>"""
-    r"|[^<]+|<"
+    r"(?si)<!--.*?(?:-->|\z)"
+    rf"|<({_RAW})(?=[\s/>]){_ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\z)|\z)|\z)"
+    r"|<[!?][^>]*+(?:>|\z)"
+    rf"|</?[a-z][^\s/>]*+{_ATTRIBUTES}(?:>|\z)"
+    r"|[^<]++|<"
 )
+_START_TAG = rf"(?is)^<[a-z][^\s/>]*+{_ATTRIBUTES}>"
+_RAW_TOKEN = rf"(?is)^<({_RAW})(?=[\s/>]){_ATTRIBUTES}>(.*?)(?:</\1(?=[\s/>])[^>]*+>?)?\z"
 
 # Element classes of the HTML standard.
 VOID = "area base br col embed hr img input link meta param source track wbr".split()
@@ -48,8 +59,8 @@ _IMPLIED = {
     10: (["body"], ["head"], ["template"]),
 }
 _CHUNK, _FAN = 16, 16
-# Fixed value: browsers nest elements no deeper than this.
-MAX_DEPTH = 512
+# Of elements nested deeper than this the outermost ancestors and the parent are listed; content and ends are as ever.
+LISTED = 512
 
 
 def tokens(html: str) -> str:
@@ -62,7 +73,7 @@ def token_kind(t: str) -> str:
     return (
         f"CASE WHEN NOT startswith({t}, '<') OR {t} = '<' THEN 'text'"
         f" WHEN startswith({t}, '<!--') THEN 'comment'"
-        f" WHEN startswith({t}, '<!') OR startswith({t}, '<?') THEN 'decl'"
+        f" WHEN startswith({t}, '<!') OR startswith({t}, '<?') OR {tag_name(t)} = '' THEN 'decl'"
         f" WHEN startswith({t}, '</') THEN 'close'"
         f" WHEN {_is_raw(t)} THEN 'raw'"
         f" WHEN {in_list(tag_name(t), VOID)} THEN 'void' ELSE 'open' END"
@@ -70,16 +81,17 @@ def token_kind(t: str) -> str:
 
 
 def _may_be_raw(t: str) -> str:
-    return f"lower(substr({t}, 1, 6)) IN ('<scrip', '<style')"
+    return f"lower(substr({t}, 1, 6)) IN ('<scrip', '<style', '<title', '<texta')"
 
 
 def _is_raw(t: str) -> str:
-    return f"({_may_be_raw(t)} AND {t} RLIKE {lit(r'(?is)^<(?:script|style)\b.*</(?:script|style)\s*>$')})"
+    """A raw-text element whose start tag is complete."""
+    return f"({_may_be_raw(t)} AND {t} RLIKE {lit(_RAW_TOKEN.split('(.*?)')[0])})"
 
 
 def tag_name(t: str) -> str:
-    """Lower-case tag name of a tag token, '' for any other token."""
-    return f"lower(regexp_extract({t}, {lit(r'^</?([a-zA-Z][^\s/>]*)')}, 1))"
+    """Lower-case tag name of a tag token, '' for any other token and for a tag that the document ends in."""
+    return f"IF(endswith({t}, '>') OR {_is_raw(t)}, lower(regexp_extract({t}, {lit(r'^</?([a-zA-Z][^\s/>]*)')}, 1)), '')"
 
 
 def is_text(t: str) -> str:
@@ -87,12 +99,13 @@ def is_text(t: str) -> str:
 
 
 def elements(toks: str, inline: list[str] | None = None) -> str:
-    """Element list of a token array, in document order: array<struct<i, z, s, e, own, tag, anc>>.
+    """Element list of a token array, in document order: array<struct<i, z, s, e, own, tag, anc, nth, item>>.
 
     A fold over the tags keeps the stack of open elements.  ``s`` and ``e`` are token positions of the start tag and of
     the end (the end tag itself when ``own``, else the token before which the element ends); void and
-    raw-text elements, and those nested deeper than browsers nest, end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
-    descendant, so descendants are a slice of the list; ``anc`` holds the list positions of the ancestors, outermost first.
+    raw-text elements end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
+    descendant, so descendants are a slice of the list; ``anc`` holds the list positions of the ancestors, outermost first;
+    ``nth`` is the place among the children of its parent and ``item`` that among its list items, from 1, if no element was left out.
     The fold is nested three deep (runs of 16 tags, 16 runs, all): each step copies its accumulator, so the accumulator
     of the innermost one, which runs per tag, stays small.  Inline elements never change where
     other elements start or end, so with ``inline`` given all others of them are left out of the list.
@@ -107,12 +120,12 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
     )
     tag = (
         f"struct(i AS s, startswith(t, '</') AS closes, n AS tag, endswith(t, '/>') AS sc, IF(startswith(t, '</'), {end_class}, {start_class}) AS cls, "
-        f"{in_list('n', VOID)} OR (n IN ('script', 'style') AND {_is_raw('t')}) AS void)"
+        f"{in_list('n', [*VOID, *RAW])} AS void)"
     )
     no_tag = "NOT startswith(t, '<') OR t = '<' OR startswith(t, '<!') OR startswith(t, '<?')"
     tags = (
         f"filter(transform({toks}, (t, i) -> CASE WHEN {no_tag} THEN NULL ELSE "
-        + let("n", tag_name("t"), f"IF({kept}, {tag}, NULL)")
+        + let("n", tag_name("t"), f"IF(n <> '' AND {kept}, {tag}, NULL)")
         + " END), g -> g IS NOT NULL)"
     )
     opened_closes = "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list('z', r[1])}" for c, r in _IMPLIED.items()) + " ELSE false END"
@@ -147,32 +160,36 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         + " END"
     )
     keep = f"CAST(IF(t.closes, {kept_by_end}, {kept_by_start}) AS INT)"
-    leaf = f"(t.void OR {size} >= {MAX_DEPTH} OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR exists(a.tg, z -> {in_list('z', FOREIGN)}))))"
+    leaf = f"(t.void OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR exists(a.tg, z -> {in_list('z', FOREIGN)}))))"
     base = {v: f"IF(k = {size}, a.{v}, slice(a.{v}, 1, k))" for v in ("st", "tg")}
     ended = (
         f"IF(k = {size}, a.cl, concat(a.cl, transform(slice(a.st, k + 1, {size} - k), "
         "(z, j) -> struct(z AS i, t.s AS e, t.closes AND j = 0 AS own, a.n AS z))))"
     )
+    # children seen so far per open element (and of the document, first), list items in the upper half
+    counts = f"IF(k = {size}, a.cn, slice(a.cn, 1, k + 1))"
+    seen = f"element_at(a.cn, k + 1) + IF(t.tag = 'li', {1 << 32} + 1, 1)"
+    counted = "concat(slice(a.cn, 1, k), array(c))"
+    listed = f"IF(k <= {LISTED}, {base['st']}, concat(slice(a.st, 1, {LISTED - 1}), array(element_at(a.st, k))))"
+    own = f"struct(a.n AS i, t.s AS s, t.tag AS tag, %s AS x, {listed} AS anc, c AS c)"
     on_end = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, a.n AS n, a.m AS m, a.op AS op, "
+        f"struct({base['st']} AS st, {base['tg']} AS tg, {counts} AS cn, a.n AS n, a.m AS m, a.op AS op, "
         f"{ended} AS cl)"
     )
     on_leaf = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, a.n + 1 AS n, a.m AS m, "
-        f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, -1 AS x, {base['st']} AS anc)) AS op, "
-        f"{ended} AS cl)"
+        f"struct({base['st']} AS st, {base['tg']} AS tg, {counted} AS cn, a.n + 1 AS n, a.m AS m, "
+        f"array_append(a.op, {own % '-1'}) AS op, {ended} AS cl)"
     )
     on_start = (
-        f"struct(array_append({base['st']}, a.n) AS st, array_append({base['tg']}, t.tag) AS tg, "
-        f"a.n + 1 AS n, a.m + 1 AS m, "
-        f"array_append(a.op, struct(a.n AS i, t.s AS s, t.tag AS tag, a.m AS x, {base['st']} AS anc)) AS op, "
-        f"{ended} AS cl)"
+        f"struct(array_append({base['st']}, a.n) AS st, array_append({base['tg']}, t.tag) AS tg, array_append({counted}, 0L) AS cn, "
+        f"a.n + 1 AS n, a.m + 1 AS m, array_append(a.op, {own % 'a.m'}) AS op, {ended} AS cl)"
     )
+    on_start, on_leaf = let("c", seen, on_start), let("c", seen, on_leaf)
     step = let("k", keep, f"CASE WHEN t.closes THEN IF(k = {size}, a, {on_end}) WHEN {leaf} THEN {on_leaf} ELSE {on_start} END")
-    opened, closed = "array<struct<i:int,s:int,tag:string,x:int,anc:array<int>>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
+    opened, closed = "array<struct<i:int,s:int,tag:string,x:int,anc:array<int>,c:bigint>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
 
     def state(v: str) -> str:
-        return f"{v}.st AS st, {v}.tg AS tg, {v}.n AS n, {v}.m AS m"
+        return f"{v}.st AS st, {v}.tg AS tg, {v}.cn AS cn, {v}.n AS n, {v}.m AS m"
 
     def empty(depth: str) -> str:
         return f"CAST(array() AS {depth.format(opened)}) AS op, CAST(array() AS {depth.format(closed)}) AS cl"
@@ -187,7 +204,7 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         f"f -> struct({state('f')}, array_append(o.op, flatten(f.op)) AS op, array_append(o.cl, flatten(f.cl)) AS cl))"
     )
     start = (
-        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, "
+        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, array(0L) AS cn, "
         f"0 AS n, 0 AS m, {empty('array<{}>')})"
     )
     fold = f"aggregate(sequence(0, greatest(size(g) - 1, 0) DIV {_CHUNK * _FAN}), {start}, (o, u) -> {per_run})"
@@ -196,7 +213,8 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         "q",
         ends,
         "transform(flatten(r.op), o -> struct(o.i AS i, IF(o.x < 0, o.i + 1, q[o.x].z) AS z, o.s AS s, "
-        "IF(o.x < 0, o.s, q[o.x].e) AS e, o.x >= 0 AND q[o.x].own AS own, o.tag AS tag, o.anc AS anc))",
+        "IF(o.x < 0, o.s, q[o.x].e) AS e, o.x >= 0 AND q[o.x].own AS own, o.tag AS tag, o.anc AS anc, "
+        f"CAST(o.c % {1 << 32} AS INT) AS nth, CAST(o.c DIV {1 << 32} AS INT) AS item))",
     )
     return let("g", tags, let("r", fold, joined))
 
@@ -208,21 +226,20 @@ def start_tags(toks: str, names: list[str] | None = None) -> str:
     found = f"filter(transform({toks}, (t, j) -> IF(startswith(t, '<') AND NOT startswith(t, '</') AND {wanted}, {tag}, NULL)), g -> g IS NOT NULL)"
     return (
         f"transform({found}, (g, j) -> struct(j AS i, j + 1 AS z, g.s AS s, g.s AS e, false AS own, g.tag AS tag, "
-        "CAST(array() AS array<int>) AS anc))"
+        "CAST(array() AS array<int>) AS anc, 0 AS nth, 0 AS item))"
     )
 
 
 def attribute_list(tok: str) -> str:
     """Attributes of a tag token as array<struct<name, value>> in source order."""
-    quoted = r"""(?s)^<[^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*+>"""
-    # a script or style token holds its content too: look at the start tag only
-    start_tag = f"IF({_may_be_raw(tok)}, regexp_extract({tok}, {lit(quoted)}, 0), {tok})"
+    # a raw-text token holds its content too: look at the start tag only
+    start_tag = f"IF({_may_be_raw(tok)}, regexp_extract({tok}, {lit(_START_TAG)}, 0), {tok})"
     body = f"regexp_replace({start_tag}, {lit(r'^<[^\s/>]+')}, '')"
-    pattern = lit(r"""[^\s"'<>/=]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?""")
+    pattern = lit(_ATTRIBUTE)
     after = f"regexp_replace(substr(y, instr(y, '=') + 1), {lit(r'^\s+')}, '')"
     value = let("v", after, f"IF(substr(v, 1, 1) IN ('\"', {lit(chr(39))}), substr(v, 2, length(v) - 2), v)")
     return (
-        f"transform(regexp_extract_all({body}, {pattern}, 0), y -> struct(lower(regexp_extract(y, {lit(r'^[^\s=]+')}, 0)) AS name, "
+        f"transform(regexp_extract_all({body}, {pattern}, 0), y -> struct(lower(regexp_extract(y, {lit(r'^=?[^\s=]*')}, 0)) AS name, "
         f"IF(instr(y, '=') = 0, '', {value}) AS value))"
     )
 
@@ -232,7 +249,7 @@ def attribute(tok: str, name: str) -> str:
     found = let(
         "h",
         f"get(filter({attribute_list(tok)}, w -> w.name = {lit(name)}), 0).value",
-        decode_entities("h"),
+        decode_entities("h", attribute=True),
     )
     return f"CASE WHEN contains(lower({tok}), {lit(name)}) THEN {found} END"
 
@@ -244,7 +261,7 @@ def attributes(tok: str) -> str:
         "l",
         attribute_list(tok),
         f"map_from_arrays({names}, transform({names}, n -> "
-        + let("h", "get(filter(l, w -> w.name = n), 0).value", decode_entities("h"))
+        + let("h", "get(filter(l, w -> w.name = n), 0).value", decode_entities("h", attribute=True))
         + "))",
     )
 
@@ -259,13 +276,18 @@ def inner_tokens(toks: str, x: str) -> str:
 
 
 def raw_content(tok: str) -> str:
-    """Content of a script or style token."""
-    return f"regexp_replace({tok}, {lit(r'(?is)^<(?:script|style)\b[^>]*>|</(?:script|style)\s*>$')}, '')"
+    """Content of a raw-text token as it stands."""
+    return f"regexp_extract({tok}, {lit(_RAW_TOKEN)}, 2)"
+
+
+def _raw_text(tok: str) -> str:
+    """Content of a raw-text token as text."""
+    return f"IF(lower(substr({tok}, 1, 2)) = '<t', {decode_entities(raw_content(tok))}, {raw_content(tok)})"
 
 
 def texts(toks: str) -> str:
-    """Per token: decoded text, content of a script or style, NULL for everything else; parallel to ``toks``."""
-    return f"transform({toks}, t -> CASE WHEN {is_text('t')} THEN {decode_entities('t')} WHEN {_is_raw('t')} THEN {raw_content('t')} END)"
+    """Per token: decoded text, content of a raw-text element, NULL for everything else; parallel to ``toks``."""
+    return f"transform({toks}, t -> CASE WHEN {is_text('t')} THEN {decode_entities('t')} WHEN {_is_raw('t')} THEN {_raw_text('t')} END)"
 
 
 def attribute_maps(toks: str, els: str) -> str:
@@ -280,7 +302,7 @@ def text_content(x: str) -> str:
 
 
 def inner_html(toks: str, x: str) -> str:
-    is_raw = f"{x}.s = {x}.e AND {in_list(f'{x}.tag', ['script', 'style'])}"
+    is_raw = f"{x}.s = {x}.e AND {in_list(f'{x}.tag', RAW)}"
     return f"IF({is_raw}, {raw_content(f'{toks}[{x}.s]')}, array_join({inner_tokens(toks, x)}, ''))"
 
 
@@ -290,23 +312,17 @@ def outer_html(toks: str, x: str) -> str:
 
 def title(toks: str) -> str:
     """Document title: text of the first title element, white space collapsed; '' when there is none."""
-    at = f"array_position(transform({toks}, t -> {in_list('lower(substr(t, 1, 7))', ['<title>', '<title '])}), true)"
-    text = collapse_space(decode_entities("c"))
-    return let(
-        "p",
-        f"CAST({at} AS INT)",
-        let("c", f"get({toks}, p)", f"IF(p = 0 OR c IS NULL OR NOT {is_text('c')}, '', {js_trim(text)})"),
-    )
+    first = f"get(filter({toks}, t -> lower(substr(t, 1, 6)) = '<title' AND {_is_raw('t')}), 0)"
+    return let("c", first, f"IF(c IS NULL, '', {js_trim(collapse_space(decode_entities(raw_content('c'))))})")
 
 
 def body_text(toks: str, visible: bool = True) -> str:
-    """Text of the body (of the whole document when no body tag is given)."""
-    start = f"array_position(transform({toks}, t -> lower(substr(t, 1, 5)) = '<body'), true)"
-    keep, text = is_text("t"), decode_entities("t")
-    if not visible:
-        keep, text = f"({keep} OR {_is_raw('t')})", f"IF({is_text('t')}, {text}, {raw_content('t')})"
+    """Text of the body (of the whole document when no body tag is given); scripts and styles only if not ``visible``."""
+    start = f"array_position(transform({toks}, t -> lower(substr(t, 1, 5)) = '<body' AND {tag_name('t')} = 'body'), true)"
+    raw = _is_raw("t") if not visible else f"(lower(substr(t, 1, 2)) = '<t' AND {_is_raw('t')})"
     return let(
         "p",
         f"CAST({start} AS INT)",
-        f"array_join(transform(filter(slice({toks}, p + 1, size({toks})), t -> {keep}), t -> {text}), '')",
+        f"array_join(transform(filter(slice({toks}, p + 1, size({toks})), t -> {is_text('t')} OR {raw}), "
+        f"t -> IF({is_text('t')}, {decode_entities('t')}, {_raw_text('t')})), '')",
     )

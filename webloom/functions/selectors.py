@@ -17,6 +17,7 @@ _PART = re.compile(
     r"""\#(?P<id>[\w-]+)|\.(?P<cls>[\w-]+)"""
     r"""|\[(?P<attr>[\w:-]+)(?:(?P<op>[*^$~]?=)["']?(?P<val>[^"'\]]*)["']?(?P<ci>\s+i)?)?\]"""
     r"""|:not\((?P<neg>[^()]+)\)"""
+    r"""|:nth-child\(\s*(?P<nth>[^()]+?)\s*\)|:(?P<first>first-child)"""
 )
 
 
@@ -27,13 +28,18 @@ class Step:
     child: bool = False
 
 
+def alternatives(selector: str) -> list[str]:
+    """The selectors of a comma-separated list; commas in brackets and parentheses do not split."""
+    return [s.strip() for s in re.split(r",(?![^\[\]]*\])(?![^()]*\))", selector)]
+
+
 def parse(selector: str) -> list[list[Step]]:
     """'nav > a.x, h1' -> [[nav, a.x (child)], [h1]]"""
-    return [[_step(w) for w in _words(path)] for path in re.split(r",(?![^\[\]]*\])", selector)]
+    return [[_step(w) for w in _words(path)] for path in alternatives(selector)]
 
 
 def _words(path: str) -> list[str]:
-    words = re.findall(r"""(?:>\s*)?(?:\[[^\]]*\]|:not\([^)]*\)|[^\s>\[:])+""", path.strip())
+    words = re.findall(r"""(?:>\s*)?(?:\[[^\]]*\]|:not\((?:[^()]|\([^()]*\))*\)|:nth-child\([^)]*\)|:first-child|[^\s>\[:])+""", path.strip())
     if not words or re.sub(r"\s", "", "".join(words)) != re.sub(r"\s", "", path):
         raise ValueError(f"unsupported selector: {path!r}")
     return words
@@ -61,20 +67,20 @@ def tags_of(selector: str) -> set[str] | None:
     return None if any(not s.tag for s in steps) else {s.tag for s in steps}
 
 
-def predicate(selector: str, x: str = "x") -> str:
-    """Boolean SQL text about element ``x``; reads ``els`` and the attribute maps ``ats``."""
-    return "(" + " OR ".join(_path(path, x, 0) for path in parse(selector)) + ")"
+def predicate(selector: str, x: str = "x", rooted: bool = False) -> str:
+    """Boolean SQL text about element ``x``; reads ``els`` and the attribute maps ``ats``.  ``rooted``: the first step has no parent."""
+    return "(" + " OR ".join(_path(path, x, 0, rooted) for path in parse(selector)) + ")"
 
 
-def _path(path: list[Step], x: str, depth: int) -> str:
+def _path(path: list[Step], x: str, depth: int, rooted: bool = False) -> str:
     here = _matches(path[-1], x)
     if len(path) == 1:
-        return here
+        return f"({here} AND size({x}.anc) = 0)" if rooted else here
     if path[-1].child:
         parent = "els[try_element_at(%s.anc, -1)]" % x
-        return f"({here} AND size({x}.anc) > 0 AND {_path(path[:-1], parent, depth)})"
+        return f"({here} AND size({x}.anc) > 0 AND {_path(path[:-1], parent, depth, rooted)})"
     v = f"d{depth}"
-    return f"({here} AND exists({x}.anc, {v} -> {_path(path[:-1], f'els[{v}]', depth + 1)}))"
+    return f"({here} AND exists({x}.anc, {v} -> {_path(path[:-1], f'els[{v}]', depth + 1, rooted)}))"
 
 
 def attribute_of(x: str, name: str) -> str:
@@ -89,6 +95,8 @@ def _matches(step: Step, x: str) -> str:
             tests.append(f"coalesce({attribute_of(x, 'id')} = {lit(t['id'])}, false)")
         elif t["cls"]:
             tests.append(_has_word(attribute_of(x, "class"), lit(t["cls"])))
+        elif t["nth"] or t["first"]:
+            tests.append(_nth_test(x, t["nth"] or "1"))
         elif t["neg"]:
             tests.append(f"NOT {_matches(_step(t['neg']), x)}")
         else:
@@ -96,6 +104,19 @@ def _matches(step: Step, x: str) -> str:
     return "(" + (" AND ".join(tests) or "true") + ")"
 
 
+def _nth_test(x: str, place: str) -> str:
+    """``:nth-child`` of n, odd, even or an + b."""
+    found = re.fullmatch(r"(?:([+-]?\d*)n)?\s*(?:([+-]?)\s*(\d+))?", {"odd": "2n+1", "even": "2n"}.get(place.lower(), place.lower()))
+    if not found or not place:
+        raise ValueError(f"unsupported place: {place!r}")
+    step = found[1]
+    step = 0 if step is None else int(step + "1") if step in ("", "+", "-") else int(step)
+    offset = int((found[2] or "") + found[3]) if found[3] else 0
+    if not step:
+        return f"{x}.nth = {offset}"
+    return f"(({x}.nth - ({offset})) % {abs(step)} = 0 AND {x}.nth {'>=' if step > 0 else '<='} {offset})"
+
+
 def _has_word(value: str, word: str) -> str:
     return f"coalesce(contains({value}, {word}) AND array_contains(split({value}, {lit(r'[ \t\r\n\f]+')}), {word}), false)"
 
@@ -113,11 +134,16 @@ def _attribute_test(x: str, t: dict) -> str:
     return f"coalesce({test.format(value, want)}, false)"
 
 
+def _counts(selector: str) -> bool:
+    """Whether a selector asks for places among siblings."""
+    return ":nth-child" in selector or ":first-child" in selector
+
+
 def inline_tags(selectors: list[str]) -> list[str] | None:
     """The non-block tags that selectors name, None when some selector needs every element."""
     out: set[str] = set()
     for s in selectors:
-        tags = tags_of(s)
+        tags = None if _counts(s) else tags_of(s)
         if tags is None:
             return None
         out |= tags
@@ -126,4 +152,4 @@ def inline_tags(selectors: list[str]) -> list[str] | None:
 
 def is_flat(selector: str) -> bool:
     """True when the selector looks at the element itself only, so that start tags are enough to test it."""
-    return all(len(path) == 1 for path in parse(selector))
+    return not _counts(selector) and all(len(path) == 1 for path in parse(selector))

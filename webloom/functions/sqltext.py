@@ -14,6 +14,11 @@ def lit(value: str) -> str:
     return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL text."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def in_list(expr: str, values: Iterable[str]) -> str:
     return f"{expr} IN ({', '.join(lit(v) for v in values)})"
 
@@ -44,3 +49,13 @@ def in_memory(text: str) -> str:
 def doc_expr(text: str) -> Column:
     """Column of SQL text over the parsed columns of a page."""
     return F.expr(in_memory(text))
+
+
+def first_few(array: str, n: int | None) -> str:
+    """The first n entries of an array, all without a limit."""
+    return array if n is None else f"slice({array}, 1, {int(n)})"
+
+
+def cut(text: str, n: int | None) -> str:
+    """The first n characters, all without a limit."""
+    return text if n is None else f"substr({text}, 1, {int(n)})"

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from webloom.functions.sqltext import let, lit
+from webloom.functions.sqltext import in_list, let, lit
+
+BLANKS = " \t\n\r\f"
 
 # Fixed value: the splitting pattern of RFC 3986, appendix B.
-_RFC = lit(r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?")
+RFC3986 = r"^(([^:/?#]+):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(#(.*))?"
+_RFC = lit(RFC3986)
 
 
 def _group(url: str, n: int) -> str:
@@ -36,17 +39,23 @@ def _parts(url: str) -> str:
     )
 
 
-def _without_dots(p: str) -> str:
+# The schemes whose references are resolved.
+RELATIVE_SCHEMES = "ftp http gopher nntp imap wais file https shttp mms prospero rtsp rtspu sftp svn svn+ssh ws wss".split()
+
+
+def _without_dots(p: str, rooted: str) -> str:
+    """Dot segments resolved; empty segments go only where the reference was relative to a folder."""
     folded = (
-        "aggregate(filter(seg, (s, i) -> s <> '' OR i = 0 OR i = size(seg) - 1), CAST(array() AS array<string>), (a, s) -> CASE "
+        f"aggregate(filter(seg, (s, i) -> s <> '' OR {rooted} OR i = 0 OR i = size(seg) - 1), CAST(array() AS array<string>), (a, s) -> CASE "
         "WHEN s = '.' THEN a WHEN s = '..' THEN slice(a, 1, greatest(size(a) - 1, 1)) ELSE array_append(a, s) END, "
         "a -> concat(array_join(a, '/'), IF(try_element_at(seg, -1) IN ('.', '..'), '/', '')))"
     )
     return let("seg", f"split({p}, '/')", folded)
 
 
-def url_join(base: str, ref: str) -> str:
-    """Absolute URL of a reference: scheme-relative, rooted, relative, query-only, fragment-only, empty."""
+def url_join(base: str, given: str) -> str:
+    """Absolute URL of a reference: scheme-relative, rooted, relative, query-only, fragment-only, empty; blanks around it do not count."""
+    ref = "ref_"
     query = "IF(r.q IN ('', '?'), '', r.q)"
     fragment = "IF(r.f IN ('', '#'), '', r.f)"
     base_query = "IF(b.q IN ('', '?'), '', b.q)"
@@ -60,17 +69,18 @@ def url_join(base: str, ref: str) -> str:
         let(
             "r",
             _parts(ref),
-            "CASE WHEN r.s <> '' AND (lower(r.s) <> lower(b.s) OR r.slashes <> '') THEN " + ref
+            f"CASE WHEN r.s = '' AND b.s <> '' AND NOT {in_list('lower(b.s)', RELATIVE_SCHEMES)} THEN {ref} WHEN r.s <> '' AND (lower(r.s) <> lower(b.s) OR r.slashes <> '') THEN " + ref
             + " WHEN r.slashes <> '' AND r.a <> '' THEN concat(b.s, ':', " + ref + ")"
             + f" WHEN r.p = '' THEN concat(b.s, ':', b.slashes, b.p, IF({query} <> '', {query}, {base_query}), {fragment})"
-            + f" ELSE concat(b.s, ':', b.slashes, {_without_dots(merged)}, {query}, {fragment}) END",
+            + f" ELSE concat(b.s, ':', b.slashes, {_without_dots(merged, "startswith(r.p, '/')")}, {query}, {fragment}) END",
         ),
     )
-    plain = f"{ref} RLIKE {lit('^/[^/]')} AND NOT contains({ref}, '/.') AND NOT contains({ref}, '//') AND NOT {ref} RLIKE {lit('[?#]$')}"
-    return (
+    plain = f"{origin(base)} <> '' AND {ref} RLIKE {lit('^/[^/]')} AND NOT contains({ref}, '/.') AND NOT contains({ref}, '//') AND NOT {ref} RLIKE {lit('[?#]$')}"
+    resolved = (
         f"CASE WHEN {ref} = '' THEN {base} WHEN {ref} RLIKE '^https?://' THEN {ref} "
         f"WHEN {plain} THEN concat({origin(base)}, {ref}) ELSE {full} END"
     )
+    return let("ref_", f"btrim({given}, {lit(BLANKS)})", resolved)
 
 
 def is_internal(url: str, page_url: str) -> str:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import doc_expr, let, lit
+from webloom.functions.sqltext import cut, doc_expr, first_few, let, lit
 from webloom.functions.urls import scheme, url_join
 from webloom.operators.dom import attr, count_of, dom, first_of, has, rows_of, text, with_tokens
-from webloom.operators.extract import link_targets
 from webloom.operators.forms import LABEL_IDS, field_type, labelled
-from webloom.operators.skew import hot_keys, salted_join
+from webloom.operators.skew import salted_join
+from webloom.session import checkpointed
 
 HEADINGS = "h1, h2, h3, h4, h5, h6"
 ISSUE_TYPES = ["missing_alt", "missing_label", "heading_skip", "button_no_name", "empty_link"]
@@ -33,23 +33,23 @@ def _empty(name: str, x: str = "x") -> str:
     return f"coalesce({attr(name, x)}, '') = ''"
 
 
-def heading_skips(pages: DataFrame) -> DataFrame:
+def heading_skips(pages: DataFrame, text_length: int | None = None) -> DataFrame:
     """(page_id, pos, tag, previous_level, level, text): headings more than one level below the one before (0 at the start)."""
-    return rows_of(dom(pages, [HEADINGS]), _heading_skips(), "page_id")
+    return rows_of(dom(pages, [HEADINGS]), _heading_skips(text_length), "page_id")
 
 
-def _heading_skips() -> str:
+def _heading_skips(text_length: int | None) -> str:
     heads = f"filter(els, x -> {predicate(HEADINGS)})"
     level = "CAST(substr(x.tag, 2) AS INT)"
     before = "IF(j = 0, 0, CAST(substr(get(hs, j - 1).tag, 2) AS INT))"
     rows = (
         f"transform(hs, (x, j) -> struct(x.s AS pos, x.tag AS tag, {before} AS previous_level, {level} AS level, "
-        f"IF({level} - {before} > 1, substr({H.text_content('x')}, 1, 50), '') AS text))"
+        f"IF({level} - {before} > 1, {cut(H.text_content('x'), text_length)}, '') AS text))"
     )
     return let("hs", heads, f"filter({rows}, r -> r.level - r.previous_level > 1)")
 
 
-def _issues() -> str:
+def _issues(text_length: int | None = None) -> str:
     def issues(kind: str, condition: str, element: str, detail: str, message: str) -> str:
         return (
             f"transform(filter(els, x -> {condition}), x -> struct(x.s AS pos, {lit(kind)} AS type, {element} AS element, "
@@ -58,7 +58,7 @@ def _issues() -> str:
 
     unnamed = f"{_empty('aria-label')} AND {_empty('aria-labelledby')}"
     skips = (
-        f"transform({_heading_skips()}, r -> struct(r.pos AS pos, 'heading_skip' AS type, r.tag AS element, r.text AS detail, "
+        f"transform({_heading_skips(text_length)}, r -> struct(r.pos AS pos, 'heading_skip' AS type, r.tag AS element, r.text AS detail, "
         "concat('Heading level skipped from h', r.previous_level, ' to h', r.level) AS message))"
     )
     parts = [
@@ -78,14 +78,14 @@ def _issues() -> str:
             "''",
             "Button has no accessible name",
         ),
-        issues("empty_link", f"x.tag = 'a' AND {attr('href')} IS NULL", "'a'", f"substr({H.text_content('x')}, 1, 50)", "Link has no href or empty href"),
+        issues("empty_link", f"x.tag = 'a' AND {attr('href')} IS NULL", "'a'", cut(H.text_content('x'), text_length), "Link has no href or empty href"),
     ]
     return f"concat({', '.join(parts)})"
 
 
-def a11y_issues(pages: DataFrame) -> DataFrame:
+def a11y_issues(pages: DataFrame, text_length: int | None = None) -> DataFrame:
     """(page_id, pos, type, element, detail, message): one row per accessibility issue, five rules."""
-    return rows_of(dom(pages).withColumn("label_ids", doc_expr(LABEL_IDS)), _issues(), "page_id")
+    return rows_of(dom(pages).withColumn("label_ids", doc_expr(LABEL_IDS)), _issues(text_length), "page_id")
 
 
 def a11y_summary(pages: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def a11y_summary(pages: DataFrame) -> DataFrame:
     )
 
 
-def seo_audit(pages: DataFrame) -> DataFrame:
+def seo_audit(pages: DataFrame, h1_length: int | None = None) -> DataFrame:
     """One row per page: title, meta, Open Graph and Twitter tags, canonical, headings, structured data and issues."""
     doc = dom(pages, ["h1", "link", "title"]).withColumn("title", doc_expr(H.title("toks"))).withColumn("metas", doc_expr(_named_metas()))
 
@@ -126,7 +126,7 @@ def seo_audit(pages: DataFrame) -> DataFrame:
         "twitter_description": meta("twitter:description"),
         "twitter_image": meta("twitter:image"),
         "h1_count": count_of("h1"),
-        "h1_text": first_of("h1", f"substr({H.text_content('x')}, 1, 100)"),
+        "h1_text": first_of("h1", cut(H.text_content('x'), h1_length)),
         "structured_data": f"transform({jsonld}, v -> to_json(v))",
     }
     out = doc.select("page_id", "url", "title", doc_expr("CAST(length(title) AS BIGINT)").alias("title_length"), *[doc_expr(e).alias(n) for n, e in columns.items()])
@@ -182,38 +182,38 @@ def mixed_content(pages: DataFrame) -> DataFrame:
     )
 
 
-def checked_links(pages: DataFrame, max_check: int = 50) -> DataFrame:
+def checked_links(pages: DataFrame, max_check: int | None = None, text_length: int | None = None) -> DataFrame:
     """(page_id, link_no, href, text, total_links): the links that a link check looks at.
 
-    The first ``max_check`` links of a page count before javascript:, mailto: and tel: links are left out.
+    With ``max_check`` only that many links of a page are looked at, counted before javascript:, mailto: and tel: links are left out.
     """
     ref = f"coalesce({attr('href')}, '')"
     links = (
         f"transform(filter(els, x -> x.tag IN ('a', 'area') AND {attr('href')} IS NOT NULL), x -> "
-        f"struct({let('ref', ref, url_join('url', 'ref'))} AS href, substr({H.text_content('x')}, 1, 50) AS text))"
+        f"struct({let('ref', ref, url_join('url', 'ref'))} AS href, {cut(H.text_content('x'), text_length)} AS text))"
     )
     doc = dom(pages, ["a", "area"]).withColumn("links", doc_expr(links)).withColumn("total_links", doc_expr("CAST(size(links) AS BIGINT)"))
-    out = doc.select("page_id", "total_links", F.posexplode_outer(doc_expr(f"slice(links, 1, {int(max_check)})")).alias("link_no", "l"))
+    out = doc.select("page_id", "total_links", F.posexplode_outer(doc_expr(first_few("links", max_check))).alias("link_no", "l"))
     kept = "l IS NULL OR NOT (l.href = '' OR startswith(l.href, 'javascript:') OR startswith(l.href, 'mailto:') OR startswith(l.href, 'tel:'))"
     return out.select("page_id", "total_links", "link_no", doc_expr(f"IF({kept}, l.href, NULL)").alias("href"), "l.text")
 
 
-def broken_links(pages: DataFrame, status: DataFrame, max_check: int = 50) -> DataFrame:
+def broken_links(pages: DataFrame, status: DataFrame, max_check: int | None = None, text_length: int | None = None) -> DataFrame:
     """(page_id, href, status, text): checked links that answer with 400 or more, or not at all (status NULL); ``status`` is (url, status)."""
-    links = checked_links(pages, max_check).where("href IS NOT NULL")
-    return _with_status(links, pages, status).where("status IS NULL OR status >= 400").select("page_id", "href", "status", "text")
+    links = checkpointed(checked_links(pages, max_check, text_length).where("href IS NOT NULL"))
+    return _with_status(links, status).where("status IS NULL OR status >= 400").select("page_id", "href", "status", "text")
 
 
-def _with_status(links: DataFrame, pages: DataFrame, status: DataFrame) -> DataFrame:
-    """Links with the status of their target; targets that a large share of the links name are spread out."""
+def _with_status(links: DataFrame, status: DataFrame) -> DataFrame:
+    """Links, written before, with the status of their target; targets that very many links name are spread out."""
     answers = status.groupBy(F.col("url").alias("href")).agg(F.min("status").alias("status"))
-    return salted_join(links, answers, "href", ["page_id", "link_no"], hot_keys(link_targets(pages), "href"))
+    return salted_join(links, answers, "href", ["page_id", "link_no"])
 
 
-def broken_link_summary(pages: DataFrame, status: DataFrame, max_check: int = 50) -> DataFrame:
+def broken_link_summary(pages: DataFrame, status: DataFrame, max_check: int | None = None) -> DataFrame:
     """(page_id, total_links, checked, broken); pages without links kept."""
-    links = checked_links(pages, max_check)
-    joined = _with_status(links, pages, status)
+    links = checkpointed(checked_links(pages, max_check).drop("text"))
+    joined = _with_status(links, status)
     return joined.groupBy("page_id").agg(
         F.max("total_links").alias("total_links"),
         F.count("href").alias("checked"),
@@ -229,7 +229,7 @@ def image_audit(pages: DataFrame, sizes: DataFrame | None = None) -> DataFrame:
     images = _images(pages)
     if sizes is not None:
         known = sizes.groupBy("src").agg(F.max("natural_width").alias("natural_width"), F.max("natural_height").alias("natural_height"))
-        images = images.join(known, "src", "left")
+        images = salted_join(checkpointed(images), known, "src", ["page_id", "pos"])
     else:
         images = images.withColumn("natural_width", F.lit(None).cast("int")).withColumn("natural_height", F.lit(None).cast("int"))
     issues = (
@@ -331,6 +331,5 @@ def memory_report(samples: DataFrame) -> DataFrame:
 
 def heading_order(pages: DataFrame) -> DataFrame:
     """(page_id, ordinal, tag, text): headings numbered per page."""
-    heads = rows_of(dom(pages, [HEADINGS]), f"transform(filter(els, x -> {predicate(HEADINGS)}), x -> struct(x.s AS pos, x.tag AS tag, {text()} AS text))", "page_id")
-    order = Window.partitionBy("page_id").orderBy("pos")
-    return heads.withColumn("ordinal", F.row_number().over(order) - 1).drop("pos")
+    heads = f"transform(filter(els, x -> {predicate(HEADINGS)}), (x, j) -> struct(j AS ordinal, x.tag AS tag, {text()} AS text))"
+    return rows_of(dom(pages, [HEADINGS]), heads, "page_id").select("page_id", "tag", "text", "ordinal")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,9 +11,9 @@ from webloom.functions import html as H
 from webloom.functions.selectors import predicate
 from webloom.functions.sqltext import doc_expr, lit
 from webloom.functions.text import js_trim
-from webloom.functions.urls import file_name, glob_match, netloc, url_join
+from webloom.functions.urls import RFC3986, file_name, glob_match, netloc, url_join
 from webloom.operators.dom import attr, dom, text
-from webloom.operators.extract import link_targets
+from webloom.operators.extract import link_hrefs, link_targets
 from webloom.operators.skew import salted_join
 from webloom.session import checkpointed
 
@@ -29,15 +31,19 @@ def one_per_url(pages: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.join(captures(pages), ["url", "page_id"], "left_semi")
 
 
-def stored_pages(pages: DataFrame, urls: DataFrame) -> DataFrame:
-    """The page that counts for each of the URLs, found by its id, so that copies of a URL are left behind."""
-    wanted = captures(pages).join(urls.select("url").distinct(), "url", "left_semi")
-    return pages.join(wanted, ["url", "page_id"], "left_semi")
+def of_domain(pages: DataFrame, domain: str) -> DataFrame:
+    """Pages of one authority; two narrow columns decide before any HTML is parsed."""
+    return pages.where(doc_expr(f"{netloc('url')} IN ({lit(domain)}, '')"))
 
 
 def link_edges(pages: DataFrame, follow: str | None = None, exclude: str | None = None, domain: str | None = None) -> DataFrame:
-    """(src_url, dst_url): distinct links that a crawl may follow."""
-    edges = link_targets(pages).select("page_id", "url", F.col("href").alias("dst_url"))
+    """(src_url, dst_url): distinct links that a crawl may follow; with ``domain`` from and to its pages only."""
+    source = pages if domain is None else of_domain(pages, domain)
+    edges = _followed(link_targets(source).select("page_id", "url", F.col("href").alias("dst_url")), follow, exclude, domain)
+    return one_per_url(source, edges.distinct()).select(F.col("url").alias("src_url"), "dst_url")
+
+
+def _followed(edges: DataFrame, follow: str | None, exclude: str | None, domain: str | None) -> DataFrame:
     edges = edges.where(~F.col("dst_url").startswith("javascript:") & ~F.col("dst_url").startswith("mailto:"))
     if follow:
         edges = edges.where(doc_expr(glob_match("dst_url", follow)))
@@ -45,7 +51,11 @@ def link_edges(pages: DataFrame, follow: str | None = None, exclude: str | None
         edges = edges.where(~doc_expr(glob_match("dst_url", exclude)))
     if domain is not None:
         edges = edges.where(doc_expr(f"{netloc('dst_url')} IN ({lit(domain)}, '')"))
-    return one_per_url(pages, edges.distinct()).select(F.col("url").alias("src_url"), "dst_url")
+    return edges
+
+
+def _texts(selector: str | None) -> str:
+    return f"filter(transform(filter(els, x -> {predicate(selector)}), x -> {text()}), s -> s <> '')" if selector else "CAST(NULL AS array<string>)"
 
 
 def crawl(
@@ -59,12 +69,17 @@ def crawl(
     """(url, depth, title, extracted, error): breadth-first from ``seed`` within its domain.
 
     A URL counts once, at the first level it is seen; only the exact string identifies it.  URLs without a
-    stored page give an ``error`` row.  Edges are taken from the pages once; a level is one join of the frontier with the edges,
-    one distinct and one anti join, and is written to the checkpoint folder.
+    stored page give an ``error`` row.  The pages of the domain are parsed once, to targets, title and texts, and written; a level is
+    one join of the frontier with the edges, one distinct and one anti join.
     """
     spark = pages.sparkSession
-    domain = spark.range(1).select(doc_expr(netloc(lit(seed))).alias("d")).first()["d"]
-    edges = checkpointed(link_edges(pages, follow, exclude, domain))
+    domain = re.match(RFC3986, seed)[4] or ""
+    source = of_domain(pages, domain)
+    doc = dom(source, ["title"] if extract is None else [extract, "title"])
+    doc = doc.select("page_id", "url", doc_expr(link_hrefs()).alias("hrefs"), doc_expr(H.title("toks")).alias("title"), doc_expr(_texts(extract)).alias("extracted"))
+    stored = checkpointed(one_per_url(source, doc).drop("page_id"))
+    edges = _followed(stored.select(F.col("url").alias("src_url"), F.explode("hrefs").alias("dst_url")), follow, exclude, domain)
+    edges = checkpointed(edges.distinct())
     visited = spark.createDataFrame([(seed, 0)], "url string, depth int")
     frontier = visited
     for level in range(1, depth + 1):
@@ -73,10 +88,7 @@ def crawl(
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
-    hits = dom(stored_pages(pages, visited), ["title"] if extract is None else [extract, "title"])
-    texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = hits.select("url", doc_expr(H.title("toks")).alias("title"), doc_expr(texts).alias("extracted"))
-    out = visited.join(found, "url", "left")
+    out = visited.join(stored.drop("hrefs"), "url", "left")
     return out.withColumn("error", F.when(F.col("title").isNull(), F.lit("page not stored")))
 
 
@@ -87,46 +99,58 @@ def crawl_documents(crawled: DataFrame) -> DataFrame:
     return named.groupBy("file").agg(F.max_by(row, F.struct("depth", "url")).alias("r")).select("file", "r.*")
 
 
-def paginate(pages: DataFrame, start: DataFrame, next_selector: str, extract: str, max_pages: int = 10) -> tuple[DataFrame, DataFrame]:
-    """Follow the first next-link of a page until it is missing, disabled, leads nowhere or ``max_pages`` is reached.
+def paginate(pages: DataFrame, start: DataFrame, next_selector: str, extract: str, max_pages: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Follow the first next-link of a page until it is missing, disabled, leads nowhere or back, or ``max_pages`` is reached.
 
     ``start`` is (url); any number of chains run side by side.  Returns the items (start_url, page_no, pos, item), duplicates
     kept, and the counts (start_url, pages, n_items); ``pages`` counts the next-links taken.
+
+    A page has one next page at most, so a walk of n pages takes log2(n) joins: what is known of every chain is put behind itself with steps of
+    twice the length each time.  A chain that comes back to a page goes on up to ``max_pages``; without a limit it ends there.
     """
     doc = dom(pages, [next_selector, extract])
     nxt = f"get(filter(els, x -> {predicate(next_selector)}), 0)"
     disabled = "x.d IS NOT NULL OR array_contains(split(coalesce(x.c, ''), ' +'), 'disabled')"
     link = f"get(transform(array({nxt}), x -> IF(x IS NULL, NULL, struct({attr('disabled')} AS d, {attr('class')} AS c, {attr('href')} AS h))), 0)"
-    items = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')"
-    doc = doc.select("page_id", "url", doc_expr(items).alias("items"), doc_expr(link).alias("x"))
+    doc = doc.select("page_id", "url", doc_expr(_texts(extract)).alias("items"), doc_expr(link).alias("x"))
     doc = doc.withColumn("next_url", doc_expr(f"IF(x IS NULL OR {disabled} OR x.h IS NULL, NULL, {url_join('url', 'x.h')})"))
     doc = checkpointed(one_per_url(pages, doc).select("url", "items", "next_url"))
-    at = start.select(F.col("url").alias("start_url"), "url").distinct()
-    taken, steps = [], doc.select("url", "next_url")
-    for page in range(1, max_pages + 1):
-        at = checkpointed(at.join(steps, "url").withColumn("page_no", F.lit(page)))
-        if at.isEmpty():
+    steps = doc.select("url", "next_url")
+    walked = start.select(F.col("url").alias("start_url"), "url", F.lit(1).cast("bigint").alias("page_no")).distinct().join(steps.select("url"), "url", "left_semi")
+    # hops of `length` links between stored pages; those that lead nowhere are left out
+    hops = steps.where("next_url IS NOT NULL").join(steps.select(F.col("url").alias("next_url")), "next_url", "left_semi").select("url", F.col("next_url").alias("far"))
+    length = 1
+    while max_pages is None or length < max_pages:
+        walked, hops = checkpointed(walked), checkpointed(hops)
+        more = salted_join(walked, hops, "url", "start_url", how="inner").select("start_url", F.col("far").alias("url"), (F.col("page_no") + length).alias("page_no"))
+        if max_pages is None:  # a chain that comes back ends where it does
+            more = more.join(walked.select("start_url", "url"), ["start_url", "url"], "left_anti").groupBy("start_url", "url").agg(F.min("page_no").alias("page_no"))
+        else:
+            more = more.where(F.col("page_no") <= max_pages)
+        more = checkpointed(more)
+        if more.isEmpty():
             break
-        taken.append(at)
-        at = at.where("next_url IS NOT NULL").select("start_url", F.col("next_url").alias("url"))
-    walked = taken[0]
-    for t in taken[1:]:
-        walked = walked.unionByName(t)
-    clicks = F.sum(F.col("next_url").isNotNull().cast("bigint"))
-    rows = salted_join(walked, doc.select("url", "items"), "url", "start_url", how="inner")
+        walked = walked.unionByName(more.select(walked.columns))
+        onward = hops.select(F.col("url").alias("far"), F.col("far").alias("further"))
+        hops = hops.join(onward, "far").select("url", F.col("further").alias("far"))
+        length *= 2
+    rows = salted_join(checkpointed(walked), doc, "url", "start_url", how="inner")
     out = rows.select("start_url", "page_no", F.posexplode_outer("items").alias("pos", "item")).where("item IS NOT NULL")
+    clicks = F.sum(F.col("next_url").isNotNull().cast("bigint"))
     counts = rows.groupBy("start_url").agg(clicks.alias("pages"), F.sum(F.size("items")).cast("bigint").alias("n_items"))
-    return out, counts
+    return out.withColumn("page_no", F.col("page_no").cast("int")), counts
 
 
 def batch_urls(urls: DataFrame, pages: DataFrame, extract: str | None = None) -> DataFrame:
     """(line_no, url, texts, title, error): one row per requested URL, duplicates included.
 
     ``urls`` is (line_no, url).  With a selector the texts of its matches, else the title; URLs without a page give an error.
+    Pages are narrowed to that before they meet the URLs, so no HTML moves.
     """
-    stored = dom(stored_pages(pages, urls), [extract] if extract else ["title"])
-    texts = f"filter(transform(filter(els, x -> {predicate(extract)}), x -> {text()}), s -> s <> '')" if extract else "CAST(NULL AS array<string>)"
-    found = stored.select("url", doc_expr(texts).alias("texts"), doc_expr(H.title("toks") if not extract else "CAST(NULL AS STRING)").alias("title"), F.lit(True).alias("ok"))
+    title = H.title("toks") if not extract else "CAST(NULL AS STRING)"
+    doc = dom(pages, [extract] if extract else ["title"]).select("page_id", "url", doc_expr(_texts(extract)).alias("texts"), doc_expr(title).alias("title"))
+    # one row per URL, the lowest page_id, reduced before it moves
+    found = doc.groupBy("url").agg(F.min_by(F.struct("texts", "title", F.lit(True).alias("ok")), "page_id").alias("f")).select("url", "f.*")
     out = salted_join(urls, found, "url", "line_no")
     return out.withColumn("error", F.when(F.col("ok").isNull(), F.lit("page not stored"))).drop("ok")
 
@@ -137,25 +161,41 @@ def in_corpus(links: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def extract_steps(pages: DataFrame, steps: list[dict]) -> DataFrame:
-    """(page_id, step, action, selector, data ARRAY, status): ordered steps over every page, all on one element list.
+    """(page_id, step, action, selector, data ARRAY, status, error): ordered steps, all on one element list per page.
 
-    A step is {'goto': url}, {'extract': {'selector': s}} or {'wait': {…}}; ``goto`` moves to another stored page only in the
-    sense that it names the page, so every page is its own target.  Anything else is an unknown action with status 'error'.
+    A step is {'goto': url}, {'extract': {'selector': s}} or {'wait': {…}}.  Steps before the first ``goto`` run on every page; a
+    ``goto`` selects the stored page of its URL (the lowest page_id) for the steps behind it, and an unknown URL is an error row without a page.
+    Anything else is an unknown action with status 'error'.
     """
     selectors = [s["extract"]["selector"] for s in steps if "extract" in s]
-    structs = []
+    targets = [s["goto"] for s in steps if "goto" in s]
+    structs, here = [], "true"
     for n, step in enumerate(steps, 1):
         action = next((a for a in ("goto", "extract", "wait") if a in step), "unknown")
-        selector, data, status = "CAST(NULL AS STRING)", "CAST(NULL AS array<string>)", "'success'"
+        selector, data, status, error = "CAST(NULL AS STRING)", "CAST(NULL AS array<string>)", "'success'", "CAST(NULL AS STRING)"
         if action == "goto":
+            here = f"url = {lit(step['goto'])} AND counts"
             data = "array(url)"
         elif action == "extract":
             path = step["extract"]["selector"]
             inner = f"filter(transform(filter(els, x -> {predicate(path)}), x -> {H.text_content('x')}), s -> s <> '')"
             selector, data, status = lit(path), f"transform({inner}, s -> {js_trim('s')})", "CAST(NULL AS STRING)"
         elif action == "unknown":
-            status = "'error'"
-        structs.append(f"struct({n} AS step, {lit(action)} AS action, {selector} AS selector, {data} AS data, {status} AS status)")
-    doc = dom(pages, selectors or ["title"])
-    out = doc.select("page_id", F.explode_outer(doc_expr(f"array({', '.join(structs)})")).alias("r"))
-    return out.select("page_id", "r.*")
+            status, error = "'error'", lit(f"Unknown action: {next(iter(step), '')}")
+        row = f"struct({n} AS step, {lit(action)} AS action, {selector} AS selector, {data} AS data, {status} AS status, {error} AS error)"
+        structs.append(f"IF({here}, {row}, NULL)")
+    first = captures(pages.where(F.col("url").isin(targets))) if targets else None
+    source = pages if targets and "goto" not in steps[0] else pages.where(F.col("url").isin(targets)) if targets else pages
+    doc = dom(source, selectors or ["title"])
+    if first is None:
+        doc = doc.withColumn("counts", F.lit(True))
+    else:  # one row per goto: as long as the list of steps
+        doc = doc.join(F.broadcast(first.withColumnRenamed("page_id", "first_")), "url", "left").withColumn("counts", F.col("page_id").eqNullSafe(F.col("first_")))
+    out = doc.select("page_id", F.explode_outer(doc_expr(f"filter(array({', '.join(structs)}), r -> r IS NOT NULL)")).alias("r")).where("r IS NOT NULL")
+    out = out.select("page_id", "r.*")
+    if first is None:
+        return out
+    asked = pages.sparkSession.createDataFrame([(n, s["goto"]) for n, s in enumerate(steps, 1) if "goto" in s], "step int, url string")
+    lost = asked.join(F.broadcast(first), "url", "left_anti")
+    missing = lost.select(F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "step", F.lit("goto").alias("action"), F.lit(None).cast("string").alias("selector"), F.lit(None).cast("array<string>").alias("data"), F.lit("error").alias("status"), F.concat(F.lit("page not stored: "), F.col("url")).alias("error"))
+    return out.unionByName(missing)

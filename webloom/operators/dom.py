@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import attribute_of, inline_tags, is_flat, predicate, tags_of
-from webloom.functions.sqltext import doc_expr, lit
+from webloom.functions.sqltext import doc_expr, first_few, lit
 from webloom.functions.text import js_trim
 
 
@@ -60,14 +60,16 @@ def keep_pages(doc: DataFrame, condition: str, columns: list[str]) -> DataFrame:
     return rows_of(doc, f"array(struct({condition} AS keep_))", *columns).where("keep_").drop("keep_")
 
 
-def select(doc: DataFrame, selector: str, columns: dict[str, str] | None = None, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def select(doc: DataFrame, selector: str, columns: dict[str, str] | None = None, keep: tuple[str, ...] = ("page_id",), rooted: bool = False, limit: int | None = None) -> DataFrame:
     """One row per matching element in document order.
 
-    ``columns`` maps a name to SQL text over ``x`` (the element) and the parsed columns.
+    ``columns`` maps a name to SQL text over ``x`` (the element) and the parsed columns.  ``rooted``: the first step has no parent.
+    ``limit``: the first so many matches of a page only.
     """
     fields = {"pos": "x.s", **({"tag": "x.tag"} if columns is None else columns)}
     struct = "struct(" + ", ".join(f"{e} AS {n}" for n, e in fields.items()) + ")"
-    return rows_of(doc, f"transform(filter(els, x -> {predicate(selector)}), x -> {struct})", *keep)
+    found = first_few(f"filter(els, x -> {predicate(selector, rooted=rooted)})", limit)
+    return rows_of(doc, f"transform({found}, x -> {struct})", *keep)
 
 
 def text(x: str = "x") -> str:
@@ -122,13 +124,8 @@ def closest(doc: DataFrame, selector: str, ancestor: str) -> DataFrame:
 
 def nth_child(doc: DataFrame, selector: str, n: int, value: str | None = None) -> DataFrame:
     """Matches that are the n-th child of their parent, 1-based: (page_id, pos, text)."""
-    struct = (
-        "struct(x.s AS pos, coalesce(try_element_at(x.anc, -1), -1) AS parent, "
-        f"{predicate(selector)} AS hit, IF({predicate(selector)}, {value or text()}, NULL) AS text)"
-    )
-    rows = rows_of(doc, f"transform(els, x -> {struct})", "page_id")
-    order = Window.partitionBy("page_id", "parent").orderBy("pos")
-    return rows.withColumn("nth", F.row_number().over(order)).where(F.col("hit") & (F.col("nth") == n)).select("page_id", "pos", "text")
+    out = select(doc, selector, {"text": value or text(), "nth": "x.nth"})
+    return out.where(F.col("nth") == n).drop("nth")
 
 
 def path_query(doc: DataFrame, steps: list[tuple[str, str]], attribute: str | None = None, as_text: bool = False) -> DataFrame:
@@ -144,10 +141,7 @@ def path_query(doc: DataFrame, steps: list[tuple[str, str]], attribute: str | No
             raise ValueError(f"unknown axis: {axis!r}")
         selector += (" > " if axis == "/" else " ") + test if selector else test
     value = f"coalesce({attr(attribute)}, '')" if attribute else text() if as_text else H.outer_html("toks", "x")
-    out = select(doc, selector, {"result": value, "root": "size(x.anc)"})
-    if steps[0][0] == "/" and len(steps) == 1:
-        out = out.where("root = 0")
-    return out.drop("root")
+    return select(doc, selector, {"result": value}, rooted=steps[0][0] == "/")
 
 
 def inner_html(doc: DataFrame, selector: str) -> DataFrame:

@@ -34,10 +34,19 @@ def link_targets(pages: DataFrame) -> DataFrame:
 
     The targets are complete before the explode, so that later filters on them cost no second evaluation.
     """
+    return rows_of(with_tokens(pages), _links(), "page_id", "url")
+
+
+def _links() -> str:
+    """array<struct<pos, href>> of the links of a page, from its tokens and its URL."""
     anchors = "filter(transform(toks, (t, i) -> IF(lower(substr(t, 1, 2)) = '<a' AND t RLIKE '^..[\\\\s]', struct(i AS pos, t AS tok), NULL)), a -> a IS NOT NULL)"
     target = let("ref", H.attribute("a.tok", "href"), f"IF(coalesce(ref, '') = '', NULL, {url_join('url', 'ref')})")
-    links = f"filter(transform({anchors}, a -> struct(a.pos AS pos, {target} AS href)), l -> l.href IS NOT NULL)"
-    return rows_of(with_tokens(pages), links, "page_id", "url")
+    return f"filter(transform({anchors}, a -> struct(a.pos AS pos, {target} AS href)), l -> l.href IS NOT NULL)"
+
+
+def link_hrefs() -> str:
+    """Resolved targets of a page's links, as SQL text over ``toks`` and ``url``."""
+    return f"transform({_links()}, l -> l.href)"
 
 
 def extract_attr(pages: DataFrame, selector: str, name: str, all: bool = True) -> DataFrame:
@@ -118,11 +127,45 @@ def extract_regex(pages: DataFrame, pattern: str, selector: str | None = None) -
     Without groups the array holds the whole match; otherwise one entry per group.
     """
     n = re.compile(pattern).groups
+    pattern = java_pattern(pattern)
     source = H.body_text("toks", visible=False) if selector is None else f"coalesce({first_of(selector, H.text_content('x'))}, '')"
     doc = with_tokens(pages) if selector is None else dom(pages, [selector])
     return regex_matches(doc.select("page_id", doc_expr(source).alias("text")), "text", pattern, n, "page_id")
 
 
+def java_pattern(pattern: str) -> str:
+    """A Python pattern in Java's spelling: named groups and their back references by number."""
+    names = re.compile(pattern).groupindex
+    out, i, in_class = "", 0, False
+    while i < len(pattern):
+        named = None if in_class else re.match(r"\(\?P<(\w+)>|\(\?P=(\w+)\)", pattern[i:])
+        if named:
+            out += "(" if named[1] else f"(?:\\{names[named[2]]})"
+            i += named.end()
+        elif pattern[i] == "\\":
+            out += {"\\Z": r"\z"}.get(pattern[i : i + 2], pattern[i : i + 2])
+            i += 2
+        else:
+            in_class = pattern[i] == "[" or (in_class and pattern[i] != "]")
+            out += r"\[" if pattern[i] == "[" and out and in_class and _inside_class(pattern, i) else pattern[i]
+            i += 1
+    return out
+
+
+def _inside_class(pattern: str, at: int) -> bool:
+    """Whether the bracket at a place lies in a character class already."""
+    open_, i = False, 0
+    while i < at:
+        if pattern[i] == "\\":
+            i += 1
+        elif pattern[i] == "[":
+            open_ = True
+        elif pattern[i] == "]":
+            open_ = False
+        i += 1
+    return open_
+
+
 def regex_matches(df: DataFrame, column: str, pattern: str, n_groups: int, *keep: str) -> DataFrame:
     """(keep…, match_no, groups ARRAY): all matches of a pattern in a text column, '.' and '^$' spanning lines."""
     wanted = [0] if n_groups == 0 else list(range(1, n_groups + 1))
@@ -132,7 +175,7 @@ def regex_matches(df: DataFrame, column: str, pattern: str, n_groups: int, *keep
         zipped = f"transform({parts[0]}, m -> array(m))"
     else:
         zipped = let("g", f"array({', '.join(parts)})", "transform(sequence(1, size(g[0])), j -> transform(g, a -> a[j - 1]))")
-        zipped = f"IF({column} RLIKE {regex}, {zipped}, CAST(array() AS array<array<string>>))"
+        zipped = zipped.replace("sequence(1, size(g[0]))", "slice(sequence(1, size(g[0]) + 1), 1, size(g[0]))")
     out = df.select(*keep, F.posexplode_outer(doc_expr(zipped)).alias("match_no", "groups")).where("match_no IS NOT NULL")
     return out.select(*keep, "match_no", "groups")
 
@@ -219,8 +262,3 @@ def text_range(pages: DataFrame, selector: str, start: int, end: int | None = No
     out = dom(pages, [selector]).select("page_id", doc_expr(value).alias("t0")).withColumn("t0", doc_expr(H.decode_entities("t0")))
     begin = f"least({int(start)}, length(t0))"
     return out.select("page_id", doc_expr(f"substring(t0, {begin} + 1, greatest({stop} - {begin}, 0))").alias("text"))
-
-
-def readable(value: str) -> str:
-    """White space collapsed and trimmed."""
-    return js_trim(collapse_space(value))

@@ -73,9 +73,9 @@ def ws_summary(messages: DataFrame) -> DataFrame:
     )
 
 
-def ws_payloads(messages: DataFrame, length: int = 200) -> DataFrame:
-    """Messages with the payload cut to its first characters, as a report shows them."""
-    return messages.withColumn("payload", F.substring("payload", 1, length))
+def ws_payloads(messages: DataFrame, length: int | None = None) -> DataFrame:
+    """Messages with the payload cut to its first characters, as a report shows them; whole without a length."""
+    return messages if length is None else messages.withColumn("payload", F.substring("payload", 1, length))
 
 
 def attempt_outcome(attempts: DataFrame, max_attempts: int) -> DataFrame:

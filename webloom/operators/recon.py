@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import doc_expr, in_list, let, lit
+from webloom.functions.sqltext import cut, doc_expr, first_few, in_list, let, lit
 from webloom.functions.text import js_trim
 from webloom.functions.urls import is_internal, url_join
 from webloom.operators.dom import attr, count_of, dom, has, rows_of, text
@@ -33,8 +33,8 @@ def _css(x: str, with_id: bool = True) -> str:
     return f"concat({x}.tag, IF(coalesce({attr('id', x)}, '') <> '', concat('#', {attr('id', x)}), {by_class}))"
 
 
-def recon(pages: DataFrame) -> DataFrame:
-    """One row per page: title, page type, headings, forms, tables, link and image counts."""
+def recon(pages: DataFrame, max_fields: int | None = None, max_headings: int | None = None, heading_length: int | None = None) -> DataFrame:
+    """One row per page: title, page type, headings, forms, tables, link and image counts; limits apply only where given."""
     doc = dom(pages)
     field_name = (
         f"coalesce(nullif({attr('name', 'y')}, ''), nullif({attr('id', 'y')}, ''), nullif({attr('placeholder', 'y')}, ''), {field_type('y')})"
@@ -45,7 +45,7 @@ def recon(pages: DataFrame) -> DataFrame:
     forms = (
         f"transform(filter(els, x -> {predicate("form, [role='form']")}), (x, n) -> struct(n AS index, {_css('x')} AS selector, "
         f"IF(x.tag = 'form', {action}, NULL) AS action, IF(x.tag = 'form', {method}, 'GET') AS method, size({fields}) AS field_count, "
-        f"transform(slice({fields}, 1, 8), y -> {field_name}) AS field_names))"
+        f"transform({first_few(fields, max_fields)}, y -> {field_name}) AS field_names))"
     )
     first_row = f"get(filter({H.descendants('x')}, y -> y.tag = 'tr'), 0)"
     tables = (
@@ -55,8 +55,8 @@ def recon(pages: DataFrame) -> DataFrame:
         + " AS cols))"
     )
     headings = (
-        f"transform(slice(filter(els, x -> {predicate('h1, h2, h3')}), 1, 20), "
-        f"x -> struct(upper(x.tag) AS tag, substr({text()}, 1, 120) AS text))"
+        f"transform({first_few('filter(els, x -> ' + predicate('h1, h2, h3') + ')', max_headings)}, "
+        f"x -> struct(upper(x.tag) AS tag, {cut(text(), heading_length)} AS text))"
     )
     hrefs = let("ref", attr("href"), url_join("url", "ref"))
     globals_ = " OR ".join(f"contains(t, {lit(g)})" for g in SPA_GLOBALS)

@@ -5,29 +5,37 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SALTS = 64
-HOT_SHARE = 500
+from webloom.session import checkpointed
 
+ROWS = 1_000_000  # rows of one key that a task should get at most
+LISTED = 1_000_000  # keys in the list that is broadcast; with ROWS rows each that is a table of 10^12 rows
 
-def hot_keys(df: DataFrame, key: str) -> DataFrame:
-    """(key): values that hold at least one row in HOT_SHARE; by definition at most HOT_SHARE rows."""
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_"))
-    total = counts.agg(F.sum("n_").alias("t_"))
-    return counts.where(F.col("n_") * HOT_SHARE >= total.scalar()).select(key)
 
+def hot_keys(df: DataFrame, key: str, rows: int = ROWS) -> DataFrame:
+    """(key, salts): values with more than ``rows`` rows and the number of tasks to spread each over.
 
-def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str | list[str], hot: DataFrame | None = None, how: str = "left") -> DataFrame:
-    """Join on ``key`` with the hot keys of ``left`` spread over SALTS tasks; ``right`` has one row per key.
+    One partial aggregate over the keys.  The list is as long as the table has times ``rows``, and never longer than
+    LISTED: beyond that only the most frequent keys are spread.
+    """
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n_")).where(F.col("n_") > rows)
+    return counts.orderBy(F.desc("n_")).limit(LISTED).select(key, F.ceil(F.col("n_") / rows).cast("int").alias("salts_"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, spread_by: str | list[str], hot: DataFrame | None = None, how: str = "left", rows: int = ROWS) -> DataFrame:
+    """Join on ``key`` with the hot keys of ``left`` spread over tasks of about ``rows`` rows; ``right`` has one row per key.
 
-    Only the hot rows of ``right`` are copied.  The list of hot keys is at most HOT_SHARE long, so it is broadcast.
+    Only the hot rows of ``right`` are copied.  The list of hot keys is written once, so ``left`` is read once for it, and
+    its length is bounded (``hot_keys``), so it is broadcast.  ``left`` should be a written or cheap table.
     """
-    hot = (hot_keys(left, key) if hot is None else hot).select(F.col(key).alias("hot_"))
+    hot = checkpointed(hot_keys(left, key, rows) if hot is None else hot).withColumnRenamed(key, "hot_")
+    if hot.isEmpty():
+        return left.join(right, key, how)
     hot = F.broadcast(hot)
     columns = [spread_by] if isinstance(spread_by, str) else spread_by
-    salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.hash(*columns), F.lit(SALTS))).otherwise(0)
-    salted = left.join(hot, F.col(key) == F.col("hot_"), "left").withColumn("salt_", salt).drop("hot_")
-    last = F.when(F.col("hot_").isNotNull(), SALTS - 1).otherwise(0)
-    copies = right.join(hot, F.col(key) == F.col("hot_"), "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), last))).drop("hot_")
+    salt = F.when(F.col("hot_").isNotNull(), F.pmod(F.hash(*columns), F.col("salts_"))).otherwise(0)
+    salted = left.join(hot, F.col(key) == F.col("hot_"), "left").withColumn("salt_", salt).drop("hot_", "salts_")
+    last = F.when(F.col("hot_").isNotNull(), F.col("salts_") - 1).otherwise(0)
+    copies = right.join(hot, F.col(key) == F.col("hot_"), "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), last))).drop("hot_", "salts_")
     return salted.join(copies, [key, "salt_"], how).drop("salt_")
 
 

@@ -35,10 +35,10 @@ def kv_get(state: DataFrame, name: str, column: str = "key") -> DataFrame:
     return state.where(F.col(column) == F.lit(name))
 
 
-def collect_until(batches: DataFrame, max_items: int = 100, flat_rounds: int = 3) -> DataFrame:
+def collect_until(batches: DataFrame, max_items: int | None = None, flat_rounds: int = 3) -> DataFrame:
     """(stream_id, item, round, pos): distinct items over the rounds of a stream.
 
-    Collecting stops after ``flat_rounds`` rounds in a row without a new item, or once ``max_items`` are
+    Collecting stops after ``flat_rounds`` rounds in a row without a new item, or once ``max_items``, if given, are
     there; items count in the order (round, pos) of their first appearance.  ``batches`` is (stream_id, round, pos, item); rounds count
     from 1 and a round without items still counts.
     """
@@ -50,6 +50,8 @@ def collect_until(batches: DataFrame, max_items: int = 100, flat_rounds: int = 3
     gaps = fresh.withColumn("before", F.lag("round", 1, 0).over(after)).withColumn("flat", F.col("round") - F.col("before") > flat_rounds)
     reached = gaps.withColumn("stopped", F.max(F.col("flat").cast("int")).over(after.rowsBetween(Window.unboundedPreceding, 0)))
     reached = reached.withColumn("had", F.sum("n").over(after) - F.col("n"))
+    if max_items is None:
+        return first.join(reached.where("stopped = 0").select("stream_id", "round"), ["stream_id", "round"]).select("stream_id", "item", "round", "pos")
     open_rounds = reached.where((F.col("stopped") == 0) & (F.col("had") < max_items)).select("stream_id", "round", "had")
     # a round never gives more than max_items, so its rows are cut to that before anything is joined
     within = Window.partitionBy("stream_id", "round").orderBy("pos", "item")

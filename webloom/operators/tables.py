@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
-from webloom.functions.selectors import predicate
-from webloom.functions.sqltext import doc_expr, let, lit
+from webloom.functions.selectors import alternatives, predicate
+from webloom.functions.sqltext import doc_expr, let, lit, quoted
 from webloom.operators.dom import count_of, dom, rows_of, text
 
 # Selectors tried in this order when a table selector gives no data rows.
@@ -124,11 +124,11 @@ def extract_records(pages: DataFrame, container: str, fields: dict[str, str] | s
 
     def value(chain: str) -> str:
         tries = [
-            f"nullif(get(transform(slice(filter({H.descendants('x')}, y -> {predicate(s.strip(), 'y')}), 1, 1), y -> {text('y')}), 0), '')"
-            for s in chain.split(",")
+            f"nullif(get(transform(slice(filter({H.descendants('x')}, y -> {predicate(s, 'y')}), 1, 1), y -> {text('y')}), 0), '')"
+            for s in alternatives(chain)
         ]
         return f"coalesce({', '.join(tries)})"
 
-    record = ", ".join(f"{value(chain)} AS `{name}`" for name, chain in fields.items())
+    record = ", ".join(f"{value(chain)} AS {quoted(name)}" for name, chain in fields.items())
     records = f"transform(filter(els, x -> {predicate(container)}), x -> struct(x.s AS pos, {record}))"
     return rows_of(dom(pages), records, "page_id")

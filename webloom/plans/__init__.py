@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["page_queries", "document_queries", "more_queries", "log_queries", "stream_queries"]
+MODULES = ["page_queries", "document_queries", "more_queries", "log_queries", "stream_queries", "edge_queries"]
 
 
 def load_queries():

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.plans.registry import table
-from webloom.sources.readers import spread
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -19,7 +18,7 @@ def esc(expr: str) -> str:
 
 
 def _pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    return spread(df).selectExpr(f"CAST({key} AS BIGINT) AS page_id", f"{url} AS url", f"{html} AS html")
+    return df.selectExpr(f"CAST({key} AS BIGINT) AS page_id", f"{url} AS url", f"{html} AS html")
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ def sitemap_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"ELSE concat('<?xml version=\"1.0\" encoding=\"UTF-8\"?><urlset {ns}><url><loc>https://s.example.com/', o_orderkey, '</loc><lastmod>', {day('o_orderdate')}, '</lastmod>"
         "<priority>0.', o_orderkey % 10, '</priority></url><url><loc>https://s.example.com/', o_orderkey, '/b</loc><changefreq>daily</changefreq></url></urlset>') END"
     )
-    return spread(table(spark, sf_dir, "orders")).selectExpr("concat('https://s.example.com/map/', o_orderkey) AS url", "200 AS status", f"{xml} AS xml")
+    return table(spark, sf_dir, "orders").selectExpr("concat('https://s.example.com/map/', o_orderkey) AS url", "200 AS status", f"{xml} AS xml")
 
 
 def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +153,7 @@ def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         "'\"/><entry><title type=\"text\">', o_orderpriority, '</title><link href=\"https://f.example.com/i/', o_orderkey, '\"/><id>', o_orderkey, "
         f"'</id><published>', {day('o_orderdate')}, '</published><summary>', o_orderstatus, '</summary></entry><entry><id>x</id></entry></feed>')"
     )
-    return spread(table(spark, sf_dir, "orders")).selectExpr("concat('https://f.example.com/', o_orderkey) AS url", f"IF(o_orderkey % 2 = 0, {rss}, {atom}) AS xml")
+    return table(spark, sf_dir, "orders").selectExpr("concat('https://f.example.com/', o_orderkey) AS url", f"IF(o_orderkey % 2 = 0, {rss}, {atom}) AS xml")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,4 +275,4 @@ def aria_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
         "' that goes on for a while\\n\\n    - text: Star\\n    - text: Python\\n    - link \"', p_size, ' stars\"\\n    - text: Updated on Mar ', p_size % 28 + 1, ', 2024\\n  - contentinfo: end\\n    - text: lost\\n"
         "  - article:\\n    - text: \"', p_size, 'k\"\\n    - article:\\n      - heading \"inner\"\\n      - text: 2 today\\n    - text: \"tail\"')"
     )
-    return spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS page_id", f"{snapshot} AS snapshot")
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", f"{snapshot} AS snapshot")

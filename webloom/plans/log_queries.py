@@ -138,7 +138,7 @@ def ws_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("ws_payloads", "SELECT event_id, left(repeat(props, 30), 200) AS payload FROM events")
 def ws_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return netlog.ws_payloads(fx.ws_messages(spark, sf_dir)).select("event_id", "payload")
+    return netlog.ws_payloads(fx.ws_messages(spark, sf_dir), 200).select("event_id", "payload")
 
 
 @query("attempt_outcome", f"""

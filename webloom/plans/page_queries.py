@@ -15,7 +15,7 @@ from webloom.sources import readers, sinks
 
 # The token pattern as the checking engine spells it, and the token table built with it.
 PATTERN = (
-    r"""(?si)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<[!?][^>]*>"""
+    r"""(?si)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<title\b[^>]*>.*?</title\s*>|<[!?][^>]*>"""
     r"""|</?[a-z][^>"'']*(?:"[^"]*"[^>"'']*|''[^'']*''[^>"'']*)*>|[^<]+|<"""
 )
 TOKS = f"""toks AS (
@@ -56,7 +56,7 @@ def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {TOKS}
 SELECT page_id, pos, tok, {TAG} AS tag,
   CASE WHEN tok NOT LIKE '<%' OR tok = '<' THEN 'text' WHEN tok LIKE '<!--%' THEN 'comment' WHEN tok LIKE '<!%' THEN 'decl'
-       WHEN tok LIKE '</%' THEN 'close' WHEN tok LIKE '<script%' OR tok LIKE '<style%' THEN 'raw'
+       WHEN tok LIKE '</%' THEN 'close' WHEN tok LIKE '<script%' OR tok LIKE '<style%' OR tok LIKE '<title%' THEN 'raw'
        WHEN {TAG} IN ('br', 'meta', 'img', 'link', 'hr') THEN 'void' ELSE 'open' END AS kind
 FROM toks""")
 def dom_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +77,7 @@ WITH {TOKS}, tags AS (SELECT page_id, pos, tok, {TAG} AS tag, tok LIKE '</%' AS
  own AS (SELECT s.page_id, s.pos, s.tag, min(e.pos) AS end_pos FROM starts s LEFT JOIN ends e ON e.page_id = s.page_id AND e.pos > s.pos AND
    CASE WHEN s.tag = 'p' THEN e.what IN ('p', '/p', '/article') WHEN s.tag = 'b' THEN e.what IN ('/b', 'p', '/p', '/article') ELSE e.what = '/' || s.tag END
    GROUP BY ALL)
-SELECT page_id, tag, pos AS start_pos, CASE WHEN tag IN ('br', 'meta', 'script', 'style') THEN pos ELSE coalesce(end_pos, (SELECT count(*) FROM toks t WHERE t.page_id = own.page_id)) END AS end_pos FROM own""")
+SELECT page_id, tag, pos AS start_pos, CASE WHEN tag IN ('br', 'meta', 'script', 'style', 'title') THEN pos ELSE coalesce(end_pos, (SELECT count(*) FROM toks t WHERE t.page_id = own.page_id)) END AS end_pos FROM own""")
 def dom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = dom.element_table(pages(spark, sf_dir))
     return els.select("page_id", "tag", F.col("start_pos").cast("bigint").alias("start_pos"), F.col("end_pos").cast("bigint").alias("end_pos"))
@@ -453,7 +453,7 @@ WHERE {ORIGIN} || {DECODE.format(HREF)} NOT IN (SELECT url FROM pages)""")
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = pages(spark, sf_dir)
     stored = df.select("url", F.lit(200).alias("status"))
-    return audit.broken_links(df, stored)
+    return audit.broken_links(df, stored, max_check=50, text_length=50)
 
 
 @query("broken_link_summary", f"""
@@ -492,13 +492,18 @@ def batch_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("extract_steps", f"""
-SELECT page_id, 1 AS step, 'goto' AS action, NULL AS selector, url AS data, 'success' AS status FROM pages
-UNION ALL SELECT page_id, 2, 'extract', 'h1', trim({DECODE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), NULL FROM pages
-UNION ALL SELECT page_id, 3, 'wait', NULL, NULL, 'success' FROM pages
-UNION ALL SELECT page_id, 4, 'unknown', NULL, NULL, 'error' FROM pages""")
+WITH u AS (SELECT min(page_id) AS page_id, url FROM pages WHERE url = (SELECT min(url) FROM pages) GROUP BY url)
+SELECT page_id, 1 AS step, 'extract' AS action, 'h1' AS selector, trim({DECODE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}) AS data, NULL AS status, NULL AS error FROM pages
+UNION ALL SELECT page_id, 2, 'wait', NULL, NULL, 'success', NULL FROM pages
+UNION ALL SELECT page_id, 3, 'unknown', NULL, NULL, 'error', 'Unknown action: hop' FROM pages
+UNION ALL SELECT page_id, 4, 'goto', NULL, url, 'success', NULL FROM u
+UNION ALL SELECT page_id, 5, 'extract', 'h1', trim({DECODE.format("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")}), NULL, NULL FROM pages JOIN u USING (page_id)
+UNION ALL SELECT NULL, 6, 'goto', NULL, NULL, 'error', 'page not stored: http://nowhere.invalid/'""")
 def extract_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    steps = [{"goto": "*"}, {"extract": {"selector": "h1"}}, {"wait": {"selector": "h1"}}, {"hop": 1}]
-    out = crawl.extract_steps(pages(spark, sf_dir), steps)
+    steps = [{"extract": {"selector": "h1"}}, {"wait": {"selector": "h1"}}, {"hop": 1}]
+    df = pages(spark, sf_dir)
+    steps += [{"goto": df.agg(F.min("url")).first()[0]}, {"extract": {"selector": "h1"}}, {"goto": "http://nowhere.invalid/"}]
+    out = crawl.extract_steps(df, steps)
     return out.withColumn("data", F.array_join("data", "|")).withColumn("step", F.col("step").cast("bigint"))
 
 
@@ -517,9 +522,7 @@ def export_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("limit_per_page", f"""
 WITH {LINKS} SELECT page_id, {DECODE.format(HREF)} AS href FROM links WHERE n < 2""")
 def limit_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    anchors = f"slice(filter(els, x -> x.tag = 'a'), 1, 2)"
-    doc = dom.dom(pages(spark, sf_dir), ["a"]).withColumn("els", F.expr(anchors))
-    return dom.select(doc, "a", {"href": dom.attr("href")}).select("page_id", "href")
+    return dom.select(dom.dom(pages(spark, sf_dir), ["a"]), "a", {"href": dom.attr("href")}, limit=2).select("page_id", "href")
 
 
 @query("document_order", f"""

@@ -42,12 +42,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     Cuts the lineage, survives the loss of executors, computes every row once, and gives the planner a real size.
+    ``codec`` is Parquet's, for tables whose size on disk matters more than the time to write them.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.sqltext import lit
+from webloom.session import checkpointed
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 REQUEST_SCHEMA = "url STRING, method STRING, headers MAP<STRING,STRING>"
@@ -20,14 +21,9 @@ RECORDING_SCHEMA = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rebalance an input of fewer splits than cores; an input with enough splits is left where it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def pages(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(spark.read.schema(PAGE_SCHEMA).parquet(f"{folder}/pages.parquet"))
+    """The stored pages; the size of a split is the reader's setting (spark.sql.files.maxPartitionBytes)."""
+    return spark.read.schema(PAGE_SCHEMA).parquet(f"{folder}/pages.parquet")
 
 
 def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") -> DataFrame:
@@ -56,6 +52,26 @@ def har_entries(documents: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
+def har_documents(requests: DataFrame, key: str | None = None, name: str = "webloom", version: str = "1.2") -> DataFrame:
+    """(key, json): requests with their responses as HAR documents, the inverse of ``har_entries``.
+
+    One document per value of ``key`` (one in all without it), entries in the order of ``seq``; a document is one row, so the key should
+    bound it, as a page or session does.  Expects the columns of ``netlog.har_join``: url, method, headers, post_data, ts, status, status_text,
+    response_headers; those that are missing are left out of the entries.
+    """
+    given = set(requests.columns)
+    own = [("url", "url"), ("method", "method"), ("headers", "headers"), ("post_data", "postData"), ("ts", "timestamp")]
+    answer = [("status", "status"), ("status_text", "statusText"), ("response_headers", "headers")]
+    response = F.struct(*[F.col(c).alias(n) for c, n in answer if c in given])
+    fields = [F.col(c).alias(n) for c, n in own if c in given]
+    if "status" in given:
+        fields.append(F.when(F.col("status").isNotNull(), response).alias("response"))
+    keyed = requests.withColumn("key_", F.lit(None).cast("string") if key is None else F.col(key))
+    entries = keyed.groupBy("key_").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("e"))), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("s"))
+    log = F.struct(F.lit(version).alias("version"), F.struct(F.lit(name).alias("name"), F.lit("1.0").alias("version")).alias("creator"), F.transform("s", lambda x: x["e"]).alias("entries"))
+    return entries.select(F.col("key_").alias(key or "key"), F.to_json(F.struct(log.alias("log"))).alias("json"))
+
+
 def recording_actions(documents: DataFrame, column: str = "json") -> DataFrame:
     """(keep…, start_url, duration, action_no, action columns); recordings without actions give no rows."""
     keep = [c for c in documents.columns if c != column]
@@ -111,8 +127,13 @@ def sitemap_pick(sites: DataFrame, responses: DataFrame) -> DataFrame:
             )
         ).alias("priority", "place"),
     )
-    answers = responses.where("status = 200").groupBy(F.col("url").alias("place")).agg(F.min("xml").alias("xml"))
-    best = places.join(answers, "place").groupBy("url").agg(F.min_by(F.struct("place", "xml"), "priority").alias("b"))
+    # the choice needs no bodies; they are fetched for the chosen places only
+    answers = responses.where("status = 200").select(F.col("url").alias("place")).distinct()
+    best = places.join(answers, "place").groupBy("url").agg(F.min_by("place", "priority").alias("place"))
+    chosen = checkpointed(best.select("place").distinct())
+    bodies = responses.where("status = 200").join(chosen, responses["url"] == chosen["place"], "left_semi")
+    bodies = bodies.groupBy(F.col("url").alias("place")).agg(F.min("xml").alias("xml"))
+    best = best.join(bodies, "place").select("url", F.struct("place", "xml").alias("b"))
     out = sites.select("url").distinct().join(best, "url", "left")
     found = F.coalesce(F.col("b.xml"), F.lit("")) != ""
     return out.select(

@@ -87,7 +87,10 @@ def write_export(pages: DataFrame, kind: str, path: str, format: str = "json", s
 
 
 def write_documents(df: DataFrame, path: str, format: str = "parquet", mode: str = "error") -> None:
-    """HTML, text or Markdown documents, one row per page."""
+    """HTML, text or Markdown documents, one row per page; ``text`` writes the column ``content`` alone, a form feed line behind each."""
+    if format == "text":
+        df.select(F.concat("content", F.lit("\n\f")).alias("value")).where("value IS NOT NULL").write.mode(mode).text(path)
+        return
     if format not in ("parquet", "json"):
         raise ValueError(f"unknown document format: {format!r}")
     df.write.mode(mode).format(format).save(path)

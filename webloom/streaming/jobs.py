@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from webloom.operators.netlog import ws_payloads
 from webloom.session import shared_folder
 
 
@@ -58,10 +57,6 @@ def first_seen(pages: DataFrame, late: str | None = None, ts: str = "ts") -> Dat
     return pages.withWatermark(ts, late).dropDuplicatesWithinWatermark(["url"])
 
 
-def payloads(messages: DataFrame, length: int = 200) -> DataFrame:
-    return ws_payloads(messages, length)
-
-
 def start(
     stream: DataFrame, folder: str, mode: str = "append", extract: Callable[[DataFrame], DataFrame] | None = None, once: bool = False
 ) -> StreamingQuery:
