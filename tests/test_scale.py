@@ -6,7 +6,7 @@ from contextlib import redirect_stdout
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.operators import audit, content, dom, extract, netlog, recon
+from webloom.operators import audit, content, crawl, dom, extract, netlog, recon
 from webloom.operators.skew import hot_keys, next_value, previous_value, running_max, salted_join
 from webloom.sources import readers
 from webloom.streaming import jobs
@@ -21,7 +21,7 @@ def plan(df):
 
 @pytest.fixture
 def stored(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return readers.pages(spark, sf_dir)
 
 
 @pytest.mark.parametrize(
@@ -31,6 +31,9 @@ def stored(spark, sf_dir):
         lambda p: extract.extract_links(p, absolute=True),
         lambda p: dom.element_table(p),
         lambda p: audit.a11y_summary(p),
+        lambda p: audit.heading_order(p),
+        lambda p: dom.nth_child(dom.dom(p), "li", 2),
+        lambda p: dom.select(dom.dom(p), "li:nth-child(odd)"),
         lambda p: audit.seo_audit(p),
         lambda p: recon.recon(p),
         lambda p: content.smart_document(p),
@@ -59,12 +62,34 @@ def test_url_filter_reaches_the_scan(stored):
 def test_salted_join_with_a_hot_key(spark):
     left = spark.range(20000).select("id", F.expr("IF(id % 3 = 0, 'hot', concat('k', id % 997))").alias("k"))
     right = spark.range(900).select(F.expr("concat('k', id)").alias("k"), F.col("id").alias("v")).union(spark.sql("SELECT 'hot', -1L"))
-    assert [r["k"] for r in hot_keys(left, "k").collect()] == ["hot"]
-    got = salted_join(left, right, "k", "id").groupBy().agg(F.count("*"), F.count("v"), F.sum("v")).first()
+    assert [tuple(r) for r in hot_keys(left, "k", rows=500).collect()] == [("hot", 14)]
+    # a key of a thousandth of the rows is spread as well where tasks are to be that small
+    assert hot_keys(left, "k", rows=10).where("k = 'k1' AND salts_ = 2").count() == 1
+    got = salted_join(left, right, "k", "id", rows=500).groupBy().agg(F.count("*"), F.count("v"), F.sum("v")).first()
     want = left.join(right, "k", "left").groupBy().agg(F.count("*"), F.count("v"), F.sum("v")).first()
     assert got == want
 
 
+def moved(df):
+    """What every exchange of the plan carries."""
+    import re
+
+    return re.findall(r"\) Exchange\nInput \[\d+\]: \[([^\n]*)\]", plan(df))
+
+
+def test_no_html_crosses_the_network(spark, stored):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        urls = stored.select(F.col("page_id").alias("line_no"), "url")
+        narrow = crawl.one_per_url(stored, extract.link_targets(stored))
+        found = [crawl.batch_urls(urls, stored, "h1"), crawl.link_edges(stored, domain="example.com"), narrow, audit.broken_links(stored, stored.select("url", F.lit(200).alias("status")))]
+        carried = [c for df in found for c in moved(df)]
+        assert carried and not any("html#" in c or "els#" in c or "toks#" in c for c in carried)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_two_level_windows_equal_plain_ones(spark):
     from pyspark.sql import Window
 

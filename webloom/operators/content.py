@@ -67,11 +67,9 @@ def _rendered(style: str, scope: str) -> str:
     heading = in_list("x.tag", ["h1", "h2", "h3", "h4", "h5", "h6"])
     blocks = in_list("x.tag", "p div section article main header footer nav aside table ul ol dl blockquote figure form address pre details fieldset center".split())
     depth = "size(filter(x.anc, u -> els[u].tag IN ('ul', 'ol')))"
-    inside_parent = "slice(els, els[try_element_at(x.anc, -1)].i + 2, x.i - els[try_element_at(x.anc, -1)].i)"
-    ordinal = f"size(filter({inside_parent}, y -> y.tag = 'li' AND size(y.anc) = size(x.anc)))"
     bullet = (
         f"concat(repeat({lit(st['indent'])}, greatest({depth} - 1, 0)), "
-        f"IF(try_element_at(x.anc, -1) IS NOT NULL AND els[try_element_at(x.anc, -1)].tag = 'ol', concat({ordinal}, '. '), {lit(st['bullet'])}))"
+        f"IF(try_element_at(x.anc, -1) IS NOT NULL AND els[try_element_at(x.anc, -1)].tag = 'ol', concat(x.item, '. '), {lit(st['bullet'])}))"
     )
     image = f"concat('![', coalesce({attr('alt')}, ''), '](', coalesce({attr('src')}, ''), ')')"
     opens = (
@@ -90,20 +88,31 @@ def _rendered(style: str, scope: str) -> str:
         f" WHEN x.tag = 'code' THEN '`' WHEN x.tag IN ('td', 'th') THEN ' ' WHEN {heading} OR {blocks} THEN '\\n\\n' ELSE '' END"
     )
     inner = f"slice(els, {scope}.i + 2, {scope}.z - {scope}.i - 1)"
-    hidden = f"transform(filter({inner}, x -> x.tag IN ('head', 'template')), x -> struct(x.s AS s, x.e AS e))"
-    verbatim = f"transform(filter({inner}, x -> x.tag = 'pre'), x -> struct(x.s AS s, x.e AS e))"
-    shown = f"IF(exists(pre, h -> p.pos > h.s AND p.pos < h.e), {decode_entities('p.tok')}, {collapse_space(decode_entities('p.tok'))})"
+    # what lies inside hidden or verbatim elements: their places and the text tokens are sorted together, and a token
+    # looks at its neighbours, so the work does not grow with the number of such elements times that of tokens
+    def marks(tags: str, mark: int) -> str:
+        outermost = f"filter({inner}, x -> x.tag IN ({tags}) AND x.e > x.s + 1 AND NOT exists(x.anc, u -> els[u].tag IN ({tags})))"
+        return f"flatten(transform({outermost}, x -> transform(sequence(x.s + 1, x.e - 1), q -> struct(q AS pos, {mark} AS mark, CAST(NULL AS STRING) AS tok))))"
+
+    tokens = (
+        f"filter(transform(slice(toks, {scope}.s + 2, greatest({scope}.e - {scope}.s - 1, 0)), (t, j) -> struct({scope}.s + 1 + j AS pos, 2 AS mark, "
+        f"IF({H.is_text('t')}, t, NULL) AS tok)), p -> p.tok IS NOT NULL)"
+    )
+    near = "(get(es, j - {0}).pos = p.pos AND get(es, j - {0}).mark = {1})"
+    hidden = f"(coalesce({near.format(1, 0)}, false) OR coalesce({near.format(2, 0)}, false))"
+    shown = f"IF(coalesce({near.format(1, 1)}, false), {decode_entities('p.tok')}, {collapse_space(decode_entities('p.tok'))})"
+    kept = f"transform(es, (p, j) -> IF(p.mark < 2 OR {hidden}, NULL, struct(p.pos AS pos, 1 AS kind, 0 AS rank, {shown} AS f)))"
+    texts = let("es", f"array_sort(concat({marks("'head', 'template'", 0)}, {marks("'pre'", 1)}, {tokens}))", f"filter({kept}, p -> p IS NOT NULL)")
     fragments = (
         "concat("
         f"transform({inner}, x -> struct(x.s AS pos, 1 AS kind, 0 AS rank, {opens} AS f)), "
         f"transform(filter({inner}, x -> x.s < x.e), x -> struct(x.e AS pos, 0 AS kind, -x.s AS rank, {closes} AS f)), "
-        f"transform(filter(transform(slice(toks, {scope}.s + 2, greatest({scope}.e - {scope}.s - 1, 0)), (t, j) -> struct({scope}.s + 1 + j AS pos, t AS tok)), "
-        f"p -> {H.is_text('p.tok')} AND NOT exists(hid, h -> p.pos > h.s AND p.pos < h.e)), p -> struct(p.pos AS pos, 1 AS kind, 0 AS rank, {shown} AS f)))"
+        f"{texts})"
     )
     joined = f"array_join(transform(array_sort({fragments}), f -> f.f), '')"
     tidy = f"regexp_replace({joined}, {lit(r'\n[ \t]+(?=\n|$)')}, '\\n')"
     tidy = f"regexp_replace({tidy}, {lit(r'\n{3,}')}, '\\n\\n')"
-    return let("hid", hidden, let("pre", verbatim, js_trim(tidy)))
+    return js_trim(tidy)
 
 
 _WHOLE = "struct(-1 AS i, size(els) AS z, -1 AS s, size(toks) AS e)"

@@ -33,7 +33,7 @@ def stream_monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_network_idle", ORACLES["network_idle"])
 def stream_network_idle(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = events(spark, sf_dir).selectExpr("ts", "concat('https://app.example.com/u/', user_id) AS page_url")
-    out = jobs.replay(spark, jobs.network_idle(requests, f"{GAP} microseconds"), "complete")
+    out = jobs.replay_closed(spark, requests, lambda stream: jobs.network_idle(stream, f"{GAP} microseconds", "1 hour"), "page_url IS NOT NULL")
     return out.select("page_url", F.expr("unix_micros(start)").alias("start_us"), F.expr("unix_micros(idle_at)").alias("idle_at_us"), "n")
 
 

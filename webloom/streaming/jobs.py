@@ -74,6 +74,28 @@ def start(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def replay_closed(spark: SparkSession, source: DataFrame, job: Callable[[DataFrame], DataFrame], keep: str, ts: str = "ts", folder: str | None = None) -> DataFrame:
+    """Run an append job over all that has arrived and have it give its last windows and sessions too.
+
+    In append mode a window comes out once the watermark has passed it, which the last ones wait for.  A closing row far
+    in the future, in a folder that the job reads beside its source, moves the watermark there.  All its other columns are NULL;
+    ``keep`` is the condition that its own results do not meet.  It is applied to the results, as the optimiser would
+    move a filter of the job itself below the watermark.
+    """
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    closing = f"{folder}/closing"
+    rows = spark.createDataFrame([("2900-01-01 00:00:00",)], "t_ STRING").select(
+        *[F.to_timestamp("t_").cast(f.dataType).alias(f.name) if f.name == ts else F.lit(None).cast(f.dataType).alias(f.name) for f in source.schema]
+    )
+    rows.limit(0).write.parquet(closing)
+    whole = source.unionByName(spark.readStream.schema(source.schema).parquet(closing))
+    start(job(whole), folder, "append", once=True).awaitTermination()
+    for _ in range(2):  # the first row moves the watermark, the batch of the second one sees it
+        rows.write.mode("append").parquet(closing)
+        start(job(whole), folder, "append", once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").where(keep).drop("batch")
+
+
 def replay(
     spark: SparkSession,
     stream: DataFrame,
