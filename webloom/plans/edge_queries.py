@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions import text as T
-from webloom.operators import audit, dom, extract, netlog, recon, tables
+from webloom.operators import aria, audit, content, dom, extract, forms, netlog, recon, tables
+from webloom.plans import fixtures as fx
 from webloom.plans.registry import query, table
-from webloom.sources import readers
+from webloom.session import shared_folder
+from webloom.sources import readers, sinks
 
 
 def _parts(spark: SparkSession, sf_dir: str, html: str, url: str = "'http://h.example/x/y'") -> DataFrame:
@@ -152,3 +156,80 @@ def har_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     entries = readers.har_entries(readers.har_documents(netlog.har_join(sent, got), "page_no"))
     whole = entries.where("status = 200 AND response_headers['c'] = 'd' AND headers['a'] = 'b'")
     return whole.groupBy(F.col("page_no").cast("bigint").alias("page_no")).agg(F.count("*").alias("entries"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
+
+
+MIXED = """WITH m AS (SELECT p_partkey AS page_id, p_partkey % 5 <> 0 AS is_https, 1 + CAST(p_partkey % 4 = 0 AS BIGINT) AS n FROM part)"""
+
+
+@query("mixed_content_found", MIXED + """
+SELECT page_id, is_https, CASE WHEN is_https THEN n END AS count, CASE WHEN is_https THEN true END AS has_mixed_content FROM m""")
+def mixed_content_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.mixed_content(fx.media_pages(spark, sf_dir)).drop("resources")
+
+
+@query("a11y_counts", """
+SELECT p_partkey AS page_id, CAST(3 + p_partkey % 2 AS BIGINT) AS total_issues, CAST(p_partkey % 2 AS BIGINT) AS missing_alt, CAST(1 AS BIGINT) AS missing_label, CAST(0 AS BIGINT) AS heading_skip,
+  CAST(1 AS BIGINT) AS button_no_name, CAST(1 AS BIGINT) AS empty_link, p_size % 2 = 0 AS has_main, p_size % 3 = 0 AS has_nav FROM part""")
+def a11y_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = (
+        "concat('<img src=x', IF(p_partkey % 2 = 0, ' alt=y', ''), '><input name=q><label>n <input></label><button></button><a>t</a>', "
+        "IF(p_size % 2 = 0, '<main></main>', ''), IF(p_size % 3 = 0, '<nav></nav>', ''))"
+    )
+    return audit.a11y_summary(_parts(spark, sf_dir, html))
+
+
+@query("count_elements_some", """
+SELECT p_partkey AS page_id, CAST(p_size % 4 AS BIGINT) AS n FROM part""")
+def count_elements_some(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return content.count_elements(_parts(spark, sf_dir, "concat('<p>a</p>', repeat('<table><tr><td>1</table>', CAST(p_size % 4 AS INT)))"), "table")
+
+
+@query("export_images_whole", """
+SELECT p_partkey AS page_id, 'http://h.example/i/' || p_partkey || '.png' AS src, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE '' END AS alt FROM part""")
+def export_images_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    pages = _parts(spark, sf_dir, "concat('<img src=\"/i/', p_partkey, '.png\"', IF(p_partkey % 2 = 0, concat(' alt=\"', p_name, '\"'), ''), '>')")
+    sinks.write_export(pages, "images", folder)
+    return spark.read.schema("page_id BIGINT, src STRING, alt STRING").json(folder)
+
+
+@query("documents_as_text", """
+SELECT p_partkey AS page_id, '# ' || trim(p_name) AS first_line FROM part""")
+def documents_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/sink-{uuid.uuid4().hex}"
+    pages = _parts(spark, sf_dir, "concat('<h1>', p_name, '</h1><p>', p_partkey, '</p>')")
+    sinks.write_documents(content.html_to_markdown(pages), folder, "text")
+    read = spark.read.text(folder, lineSep="\n\f\n").select(F.split("value", "\n\n").alias("p"))
+    return read.select(F.col("p")[1].cast("bigint").alias("page_id"), F.col("p")[0].alias("first_line"))
+
+
+@query("form_fields_named", """
+SELECT p_partkey AS page_id, unnest(['a' || p_size, 'b', 'c']) AS name, unnest(['text', 'textarea', 'select']) AS tag FROM part""")
+def form_fields_named(spark: SparkSession, sf_dir: str) -> DataFrame:
+    html = "concat('<form id=f><input name=a', p_size, '><textarea name=b><i>x</i></textarea><select name=c><option>1</select></form>')"
+    out = forms.extract_forms(_parts(spark, sf_dir, html)).select("page_id", F.explode("fields").alias("f"))
+    return out.select("page_id", "f.name", F.when(F.col("f.name").startswith("a"), "text").when(F.col("f.name") == "b", "textarea").otherwise("select").alias("tag"))
+
+
+@query("actions_in_order", """
+SELECT event_id AS seq, row_number() OVER (ORDER BY ts, event_id) AS place FROM events""")
+def actions_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.actions(spark, sf_dir).select("seq", "ts", "event_type")
+    merged = netlog.merged_actions(rows.where("event_type = 'click'"), rows.where("event_type <> 'click'"))
+    # places from the order of the partitions, checked against the order of the times
+    placed = merged.select("seq", F.monotonically_increasing_id().alias("id"))
+    counts = placed.groupBy(F.shiftright("id", 33).alias("part")).agg(F.count("*").alias("n"))
+    before = counts.join(counts.select(F.col("part").alias("p_"), F.col("n").alias("m_")), F.col("p_") < F.col("part"), "left").groupBy("part").agg(F.coalesce(F.sum("m_"), F.lit(0)).alias("before"))
+    out = placed.withColumn("part", F.shiftright("id", 33)).join(before, "part")
+    return out.select("seq", (F.col("before") + F.col("id").bitwiseAND((1 << 33) - 1) + 1).alias("place"))
+
+
+@query("aria_text_fallback", """
+SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'listitem' WHEN 1 THEN 'row' ELSE 'generic' END AS container_used, CAST(1 AS BIGINT) AS n FROM part""")
+def aria_text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = (
+        "concat('- main:\\n  - ', CASE p_partkey % 3 WHEN 0 THEN 'listitem' WHEN 1 THEN 'row' ELSE 'generic' END, "
+        "':\\n    - heading \"', p_name, '\"\\n    - link \"x\"\\n  - generic:\\n    - text: no')"
+    )
+    snapshots = table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", f"{text} AS snapshot")
+    return aria.container_blocks(snapshots).groupBy("page_id", "container_used").agg(F.count("*").alias("n"))
