@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, has_date, js_trim
 from webloom.functions import html as H
-from webloom.operators.dom import attr, dom, rows_of
+from webloom.operators.dom import attr, dom
 
 # Implied roles of HTML tags.
 ROLES = {

@@ -6,7 +6,6 @@ Every document comes from one source row, so nothing is grouped and a very frequ
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from webloom.plans.registry import table
 
