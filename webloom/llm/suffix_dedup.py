@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import textops as X
 from webloom.llm.deep_shallow import sort_suffixes
-from webloom.session import checkpointed
+from webloom.llm.tables import discard, written
 
 LENGTH = 200
 GRAM = 40
@@ -190,17 +190,21 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Dat
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.where(F.octet_length("text") >= length).select("doc_id", "text")
     anchors = texts.mapInArrow(partial(_anchors, length=length), f"doc_id {kind}, anchor bigint, times int")
-    counts = checkpointed(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"))
-    known = anchors.select("doc_id", "anchor").join(counts, "anchor").groupBy(F.col("doc_id").alias("d_")).agg(F.collect_set(F.struct("anchor", "times")).alias("known"))
+    counts = written(anchors.groupBy("anchor").agg(F.sum("times").alias("times")).where("times > 1"))
+    known = anchors.select("doc_id", "anchor").join(counts, "anchor").groupBy(F.col("doc_id").alias("d_"))
+    known = written(known.agg(F.collect_set(F.struct("anchor", "times")).alias("known")))
     joined = texts.join(known, texts["doc_id"].eqNullSafe(known["d_"])).select("doc_id", "text", X.row_key().alias("key_"), "known")
-    contexts = checkpointed(joined.mapInArrow(partial(_contexts, length=length, hot=hot), CONTEXT.format(kind=kind)))
+    contexts = written(joined.mapInArrow(partial(_contexts, length=length, hot=hot), CONTEXT.format(kind=kind)), "zstd")
     named = ["group", "name", "back", "windows"]
     different = contexts.groupBy(*named).agg(F.max("body").alias("body"), F.count("*").alias("copies"))
     sorted_ = different.repartition("group").sortWithinPartitions("group")
-    found = checkpointed(sorted_.mapInArrow(partial(_repeated, length=length), FOUND))
+    found = written(sorted_.mapInArrow(partial(_repeated, length=length), FOUND))
     placed = contexts.drop("body").join(found, named)
     spans = F.transform("runs", lambda r: F.struct((F.col("first") + r["lo"]).alias("lo"), (F.col("first") + r["hi"] - 1 + length).alias("hi")))
-    return placed.select("doc_id", "key_", F.explode(spans).alias("span")).groupBy(F.col("doc_id").alias("doc_id_"), F.col("key_").alias("found_")).agg(F.collect_set("span").alias("spans"))
+    rows = placed.select("doc_id", "key_", F.explode(spans).alias("span")).groupBy(F.col("doc_id").alias("doc_id_"), F.col("key_").alias("found_"))
+    out = written(rows.agg(F.collect_set("span").alias("spans")))
+    discard(counts, known, contexts, found)
+    return out
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
