@@ -167,7 +167,6 @@ def trained(labelled: DataFrame, rows: int = TRAIN_ROWS, langs: int = MAX_LANGS)
 def _predict(batches, model: ByteCNN, keep: list[str]):
     known = np.array(model.langs, object)
     for batch in batches:
-        names, scores = [], []
         letters = np.asarray(batch.column("has_letter_"))
         for block in X.blocks(batch.column("text"), 1 << 18):
             total = np.zeros((len(block), max(1, len(known))))
@@ -179,9 +178,9 @@ def _predict(batches, model: ByteCNN, keep: list[str]):
             e = np.exp(z - z.max(axis=1, keepdims=True))
             p = e / e.sum(axis=1, keepdims=True)
             ok = letters[block.first : block.first + len(block)] & (len(known) > 0)
-            names += list(np.where(ok, known[p.argmax(axis=1)], UNKNOWN)) if len(known) else [UNKNOWN] * len(block)
-            scores += list(np.where(ok, p.max(axis=1), 0.0))
-        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*keep, "lang_pred", "score"])
+            names = list(np.where(ok, known[p.argmax(axis=1)], UNKNOWN)) if len(known) else [UNKNOWN] * len(block)
+            own = [pa.array(names, pa.string()), pa.array(np.where(ok, p.max(axis=1), 0.0))]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).slice(block.first, len(block)) for c in keep], *own], [*keep, "lang_pred", "score"])
 
 
 def predict(docs: DataFrame, model: ByteCNN, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

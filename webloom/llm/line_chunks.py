@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import textops as X
-from webloom.session import checkpointed
+from webloom.llm.tables import discard, written
 
 
 class Lines:
@@ -99,16 +99,18 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     keyed = docs.where("text IS NOT NULL").select("doc_id", "text", X.row_key().alias("key_"))
     chunk = CHUNK.format(kind=kind)
-    found = checkpointed(keyed.mapInArrow(_hashes, chunk))
-    twice = checkpointed(found.groupBy("h1", "h2").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_"))
+    found = written(keyed.mapInArrow(_hashes, chunk))
+    twice = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n_")).where("n_ > 1").drop("n_"))
     candidates = found.join(twice, ["h1", "h2"]).groupBy("doc_id_", "key_").agg(F.collect_set("chunk").alias("chunks"))
     meet = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (keyed["key_"] == candidates["key_"])
-    bodies = checkpointed(keyed.join(candidates, meet).select("doc_id", "text", keyed["key_"], "chunks").mapInArrow(_texts, chunk + ", body binary"))
+    bodies = written(keyed.join(candidates, meet).select("doc_id", "text", keyed["key_"], "chunks").mapInArrow(_texts, chunk + ", body binary"), "zstd")
     place = F.struct("doc_id_", "key_", "chunk")
     groups = bodies.groupBy("h1", "h2").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first"))
-    confirmed = checkpointed(groups.where("low = high").select("h1", "h2", "first"))
+    confirmed = written(groups.where("low = high").select("h1", "h2", "first"))
     later = bodies.drop("body").join(confirmed, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id_", "key_").agg(F.collect_set("chunk").alias("chunks"))
+    out = written(later.groupBy("doc_id_", "key_").agg(F.collect_set("chunk").alias("chunks")))
+    discard(found, twice, bodies, confirmed)
+    return out
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Jaccard similarity of t or more, one part of the one and the same part of the ot
 mean of the parts' ratios.  Within a part, members stand in one global order, common ones last.  Similar parts of n members
 share ``SHARED`` of their first n - ceil(t n) + ``SHARED`` members (all they must share, if that is less): these prefix
 members are the keys.  A set is keyed for every number of parts that a similar smaller set could use.
+
+Members are dealt to parts and ordered by hash, so what two similar sets do not share falls evenly on their parts and keys.  From
+t = 0.8 on a part of 48 members or more keeps too few shared keys with a chance below 1e-3, and so do more than half of four or more parts
+with one below 1e-12; a set of which fewer than half of the parts have shared keys enough is therefore sent nowhere.
 """
 
 from __future__ import annotations
@@ -15,7 +19,9 @@ from webloom.llm import textops as X
 
 PART = 96
 WHOLE = 256
-SHARED = 3
+SHARED = 4
+BINS = 24
+BINNED = 100
 U = np.uint64
 TOP = U(1 << 63)
 
@@ -62,6 +68,21 @@ def level_of(size: int) -> int:
     return 0 if size <= WHOLE else int(np.ceil(np.log2(size / PART)))
 
 
+def minima(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds per set): the least member of each of ``BINS`` bins, for sets of ``BINNED`` members or more.
+
+    Two sets share a bin's minimum with a chance of their similarity, so at 0.8 or more fewer than ``SHARED`` of them are shared with
+    a chance below 1e-11: a set whose minima nobody shares needs no further look.
+    """
+    size = np.diff(bounds)
+    row = np.repeat(np.arange(len(size)), size)
+    value = X.mixed(members + U(0xA0761D6478BD642F))
+    least = np.full((len(size), BINS), U(2**64 - 1))
+    np.minimum.at(least, (row, (value % U(BINS)).astype(np.int64)), X.mixed(value))
+    used = (least != U(2**64 - 1)) & (size >= BINNED)[:, None]
+    return X.mixed(least + np.arange(BINS, dtype=U))[used], np.concatenate([[0], np.cumsum(used.sum(axis=1))])
+
+
 def levels(size: int, num: int, den: int) -> list[int]:
     """Levels under which a set meets similar sets: its own, for larger ones, and that of the smallest similar one."""
     return sorted({level_of(int(ceil_share(size, num, den))), level_of(size)})
@@ -105,5 +126,8 @@ def sent(kept: np.ndarray, part: np.ndarray, size: np.ndarray, num: int, den: in
     """
     least = np.minimum(SHARED, ceil_share(size, num, den))
     count = np.bincount(part[kept], minlength=len(size))
+    enough = (count >= least) & (size > 0)
+    if len(size) >= 4 and 100 * num >= 80 * den and 2 * enough.sum() < (size > 0).sum():
+        return np.zeros(len(kept), bool)
     order = np.cumsum(kept) - np.concatenate([[0], np.cumsum(count)])[part]  # 1 for a part's first kept key
     return kept & (order <= count[part] - least[part] + 1)

@@ -6,6 +6,7 @@ eight bytes per text byte stay small whatever an Arrow batch holds.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -53,6 +54,19 @@ class Block:
         return len(self.offsets) - 1
 
 
+#: Caches of this Python worker that other work may drop.
+CACHES: list[dict] = []
+
+
+def give_back() -> None:
+    """Drops the caches of operators that this worker ran before; workers outlive tasks, jobs and operators."""
+    if any(CACHES):
+        for cache in CACHES:
+            cache.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def binary_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -70,6 +84,7 @@ def binary_parts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
 
 def blocks(column: pa.Array, limit: int = BLOCK) -> Iterator[Block]:
     """Runs of whole rows of at most ``limit`` bytes; a longer text stands alone."""
+    give_back()
     offsets, data = binary_parts(column)
     row, rows = 0, len(offsets) - 1
     while row < rows:

@@ -14,10 +14,12 @@ import itertools
 import numpy as np
 import regex
 
+from webloom.llm import textops as X
+
 _RUNS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _ODD_BLANKS = regex.compile("[\x1c-\x1f]")
 _MARKS = ".,;:!?#$%&*"
-MAX_WORDS, MAX_RUNS = 400_000, 1_200_000
+MAX_WORDS, MAX_RUNS = 300_000, 1_000_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -84,10 +86,11 @@ class WordTokens:
 
 
 _HELD: dict[str, WordTokens] = {}
+X.CACHES.append(_HELD)
 
 
 def word_tokens(path: str) -> WordTokens:
-    """The worker's own tokenizer for a file; its caches live as long as the worker."""
+    """The worker's own tokenizer for a file; its caches live until the worker turns to other work."""
     if path not in _HELD:
         _HELD.clear()
         _HELD[path] = WordTokens(path)
