@@ -108,9 +108,8 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     groups = bodies.groupBy("h1", "h2").agg(F.min("body").alias("low"), F.max("body").alias("high"), F.min(place).alias("first"))
     confirmed = written(groups.where("low = high").select("h1", "h2", "first"))
     later = bodies.drop("body").join(confirmed, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    out = written(later.groupBy("doc_id_", "key_").agg(F.collect_set("chunk").alias("chunks")))
-    discard(found, twice, bodies, confirmed)
-    return out
+    discard(found, twice)
+    return later.groupBy("doc_id_", "key_").agg(F.collect_set("chunk").alias("chunks"))
 
 
 def _with_repeats(docs: DataFrame) -> DataFrame:
