@@ -349,6 +349,18 @@ def test_jaccard_components_equal_all_pairs(spark, monkeypatch, group, small):
     assert sorted([tuple(r) for r in got.collect()], key=key) == sorted(plain_components(rows, 3, 90, 100), key=key)
 
 
+@pytest.mark.parametrize("n,num", [(3, 90), (5, 80)])
+def test_links_across_the_least_binned_size(spark, n, num):
+    sizes = [(105, 97), (100, 90), (100, 99), (110, 99), (101, 101), (99, 90)] + [(100, 80), (123, 99), (110, 88)] * (num == 80)
+    rows = []
+    for k, (a, b) in enumerate(sizes):
+        made = [f"s{k}w{j}" for j in range(a + n - 1)]
+        rows += [(2 * k, " ".join(made)), (2 * k + 1, " ".join(made[: b + n - 1]))]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id BIGINT, text STRING"), n, num).select("doc_id", "size", "component_id")
+    want = sorted(plain_components(rows, n, num, 100))
+    assert sorted(tuple(r) for r in got.collect()) == want and all(c == d - d % 2 for d, _, c in want)
+
+
 def test_one_document_of_each_group_stays(spark, odd):
     got = sorted(r["doc_id"] for r in jaccard_join.one_per_group(odd.where("doc_id IS NOT NULL")).collect())
     assert got == [1, 2, 3, 4, 5, 6, 7, 7, 9, 10, 11, 12, 13, 14]

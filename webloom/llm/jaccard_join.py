@@ -69,12 +69,12 @@ def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(_signed(values)))
 
 
-def _signatures(batches, n: int):
+def _signatures(batches, n: int, num: int, den: int):
     for batch in batches:
         for block in X.blocks(batch.column("text")):
             members, bounds = N.gram_sets(block, n)
             rows = slice(block.first, block.first + len(block))
-            own = [pa.array(_signed(N.set_id(members, bounds))), pa.array(np.diff(bounds)), _lists(*N.minima(members, bounds))]
+            own = [pa.array(_signed(N.set_id(members, bounds))), pa.array(np.diff(bounds)), _lists(*N.minima(members, bounds, num, den))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id")[rows], batch.column("key_")[rows], *own], ["doc_id", "key_", "node", "size", "bins"])
 
 
@@ -199,7 +199,7 @@ def linked(docs: DataFrame, n: int = 3, num: int = 90, den: int = 100, group: in
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     common = common_members(texts, n)
-    signed = written(texts.withColumn("key_", X.row_key()).mapInArrow(partial(_signatures, n=n), f"doc_id {kind}, key_ bigint, node bigint, size bigint, bins array<bigint>"))
+    signed = written(texts.withColumn("key_", X.row_key()).mapInArrow(partial(_signatures, n=n, num=num, den=den), f"doc_id {kind}, key_ bigint, node bigint, size bigint, bins array<bigint>"))
     classes = written(signed.where("size > 0").groupBy("node").agg(F.min("doc_id").alias("first")))
     # one document per class; repeated rows of it meet again as one class
     head = classes.select(F.col("first").alias("doc_id"), F.col("node").alias("n_"))

@@ -68,8 +68,8 @@ def level_of(size: int) -> int:
     return 0 if size <= WHOLE else int(np.ceil(np.log2(size / PART)))
 
 
-def minima(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, bounds per set): the least member of each of ``BINS`` bins, for sets of ``BINNED`` members or more.
+def minima(members: np.ndarray, bounds: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds per set): the least member of each of ``BINS`` bins, for sets that can be similar to one of ``BINNED`` members or more.
 
     Two sets share a bin's minimum with a chance of their similarity, so at 0.8 or more fewer than ``SHARED`` of them are shared with
     a chance below 1e-11: a set whose minima nobody shares needs no further look.
@@ -79,7 +79,7 @@ def minima(members: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
     value = X.mixed(members + U(0xA0761D6478BD642F))
     least = np.full((len(size), BINS), U(2**64 - 1))
     np.minimum.at(least, (row, (value % U(BINS)).astype(np.int64)), X.mixed(value))
-    used = (least != U(2**64 - 1)) & (size >= BINNED)[:, None]
+    used = (least != U(2**64 - 1)) & (size >= ceil_share(BINNED, num, den))[:, None]
     return X.mixed(least + np.arange(BINS, dtype=U))[used], np.concatenate([[0], np.cumsum(used.sum(axis=1))])
 
 
