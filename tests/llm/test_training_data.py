@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_scan, line_chunks, skip_chain_crf, suffix_decontaminate, suffix_dedup, warc
+from webloom.llm import ngram_sets as N
 from webloom.llm import textops as X
 from webloom.llm.deep_shallow import sort_suffixes
 from webloom.llm.queries import tokenizer_file
@@ -361,6 +362,31 @@ def test_links_across_the_least_binned_size(spark, n, num):
     assert sorted(tuple(r) for r in got.collect()) == want and all(c == d - d % 2 for d, _, c in want)
 
 
+@pytest.mark.parametrize("shared,own,num", [(270, 30, 90), (1350, 150, 90), (240, 60, 80), (960, 240, 80)])
+def test_sets_of_a_template_and_own_members_meet_it(shared, own, num):
+    rng = np.random.default_rng(shared)
+    for _ in range(100):
+        made = rng.integers(0, 1 << 63, shared + own, dtype=np.uint64)
+        template = np.sort(made[:shared])
+        sets = [N.ordered(template, template), N.ordered(np.sort(made), template)]
+        both = np.intersect1d(*[N.keys(m, num, 100) for m in sets])
+        met = []
+        for m in sets:
+            to = set()
+            for level in N.levels(len(m), num, 100):
+                _, cuts, keys, part = N.keyed(m, level, num, 100)
+                to |= set(keys[N.sent(np.isin(keys, both), part, np.diff(cuts), num, 100)].tolist())
+            met.append(to)
+        assert met[0] & met[1]
+
+
+def test_copies_of_a_template_with_own_text_are_linked(spark):
+    template = [f"t{j}" for j in range(272)]
+    rows = [(k, " ".join(template + [f"d{k}w{j}" for j in range(30 * (k > 0))])) for k in range(41)]
+    got = jaccard_join.linked(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).select("doc_id", "size", "component_id")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(plain_components(rows, 3, 90, 100)) == [(k, 300 if k else 270, 0) for k in range(41)]
+
+
 def test_one_document_of_each_group_stays(spark, odd):
     got = sorted(r["doc_id"] for r in jaccard_join.one_per_group(odd.where("doc_id IS NOT NULL")).collect())
     assert got == [1, 2, 3, 4, 5, 6, 7, 7, 9, 10, 11, 12, 13, 14]

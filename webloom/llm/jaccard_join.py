@@ -2,7 +2,7 @@
 
 1. Every text becomes a set of n-grams; equal sets are one class from here on, so exact copies meet nobody.
 2. Classes that share hardly any of the least members of 24 bins with another class are done.  Of the rest, each
-   class's prefix keys (``ngram_sets``) are counted; only those that two classes share, and enough of them per part, matter.
+   class's prefix keys (``ngram_sets``) are counted; only those that two classes share, and enough of them in a part, matter.
 3. Classes are sent to their keys, small sets whole, large ones part by part, with members cut to 16 bits: a cut
    member can only be taken for another one, so an overlap is never underrated.  A key with more than ``GROUP`` classes is
    cut into blocks, and each pair of blocks is a group of its own, so a task holds two blocks at most.

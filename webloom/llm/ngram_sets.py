@@ -6,9 +6,8 @@ mean of the parts' ratios.  Within a part, members stand in one global order, co
 share ``SHARED`` of their first n - ceil(t n) + ``SHARED`` members (all they must share, if that is less): these prefix
 members are the keys.  A set is keyed for every number of parts that a similar smaller set could use.
 
-Members are dealt to parts and ordered by hash, so what two similar sets do not share falls evenly on their parts and keys.  From
-t = 0.8 on a part of 48 members or more keeps too few shared keys with a chance below 1e-3, and so do more than half of four or more parts
-with one below 1e-12; a set of which fewer than half of the parts have shared keys enough is therefore sent nowhere.
+Every part that keeps enough shared keys is sent, however few of a set's parts do: the one similar part may be the only one, as common
+members stand last and a set's own members may fill the keys of its other parts.
 """
 
 from __future__ import annotations
@@ -120,14 +119,11 @@ def keys(members: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def sent(kept: np.ndarray, part: np.ndarray, size: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Which keys a part is sent to, given which of them another set has too.
+    """Which keys the parts are sent to, given which of them another set has too.
 
     A similar part shares at least ``SHARED`` of them (or all it must share); the first of those it shares has that many less one behind it.
     """
     least = np.minimum(SHARED, ceil_share(size, num, den))
     count = np.bincount(part[kept], minlength=len(size))
-    enough = (count >= least) & (size > 0)
-    if len(size) >= 4 and 100 * num >= 80 * den and 2 * enough.sum() < (size > 0).sum():
-        return np.zeros(len(kept), bool)
     order = np.cumsum(kept) - np.concatenate([[0], np.cumsum(count)])[part]  # 1 for a part's first kept key
     return kept & (order <= count[part] - least[part] + 1)
