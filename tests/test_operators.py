@@ -239,3 +239,16 @@ def test_flat_selectors_equal_the_element_list(page):
         assert content.count_elements(p, selector).exceptAll(tree).count() == 0
     assert content.count_elements(p, "a").orderBy("page_id").collect() == [(0, 2), (1, 0)]
     assert [r["value"] for r in extract.extract_attr(p, "a", "class").orderBy("pos").collect()] == ["x y", "x"]
+
+
+def test_large_har_keys_are_split_by_seq(spark):
+    from webloom.sources import readers
+
+    rows = [(s, "hot" if s % 4 else "cold" if s % 8 else None, f"http://h/{s}", "GET") for s in range(-20, 60)]
+    docs = readers.har_documents(spark.createDataFrame(rows, "seq BIGINT, page STRING, url STRING, method STRING"), "page", most=16).cache()
+    entries = [(r["page"], r["part"], r["entry_no"], r["url"]) for r in readers.har_entries(docs).collect()]
+    for key in ("hot", "cold", None):
+        mine = sorted(e[1:] for e in entries if e[0] == key)
+        assert [u for _, _, u in mine] == [u for _, k, u, _ in rows if k == key]
+        assert {p for p, _, _ in mine} == ({-2, -1, 0, 1, 2, 3} if key == "hot" else {0}) and max(n for _, n, _ in mine) < 16
+    assert docs.count() == 8

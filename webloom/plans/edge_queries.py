@@ -151,11 +151,11 @@ SELECT CAST(page_no AS BIGINT) AS page_no, count(*) AS entries, min(url) AS firs
   SELECT o_custkey % 7 AS page_no, 'http://h/' || o_orderkey AS url FROM orders) GROUP BY 1""")
 def har_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = table(spark, sf_dir, "orders")
-    sent = orders.selectExpr("o_orderkey AS seq", "o_custkey % 7 AS page_no", "concat('http://h/', o_orderkey) AS url", "'GET' AS method", "map('a', 'b') AS headers")
+    sent = orders.selectExpr("o_orderkey AS seq", "o_custkey AS customer", "concat('http://h/', o_orderkey) AS url", "'GET' AS method", "map('a', 'b') AS headers")
     got = orders.selectExpr("o_orderkey AS seq", "o_orderkey AS ts", "concat('http://h/', o_orderkey) AS url", "200 AS status", "'OK' AS status_text", "map('c', 'd') AS headers")
-    entries = readers.har_entries(readers.har_documents(netlog.har_join(sent, got), "page_no"))
+    entries = readers.har_entries(readers.har_documents(netlog.har_join(sent, got), "customer"))
     whole = entries.where("status = 200 AND response_headers['c'] = 'd' AND headers['a'] = 'b'")
-    return whole.groupBy(F.col("page_no").cast("bigint").alias("page_no")).agg(F.count("*").alias("entries"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
+    return whole.groupBy((F.col("customer") % 7).cast("bigint").alias("page_no")).agg(F.count("*").alias("entries"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
 MIXED = """WITH m AS (SELECT p_partkey AS page_id, p_partkey % 5 <> 0 AS is_https, 1 + CAST(p_partkey % 4 = 0 AS BIGINT) AS n FROM part)"""

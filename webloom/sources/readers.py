@@ -52,11 +52,12 @@ def har_entries(documents: DataFrame, column: str = "json") -> DataFrame:
     )
 
 
-def har_documents(requests: DataFrame, key: str | None = None, name: str = "webloom", version: str = "1.2") -> DataFrame:
-    """(key, json): requests with their responses as HAR documents, the inverse of ``har_entries``.
+def har_documents(requests: DataFrame, key: str | None = None, name: str = "webloom", version: str = "1.2", most: int = 100_000) -> DataFrame:
+    """(key, part, json): requests with their responses as HAR documents, the inverse of ``har_entries``.
 
-    One document per value of ``key`` (one in all without it), entries in the order of ``seq``; a document is one row, so the key should
-    bound it, as a page or session does.  Expects the columns of ``netlog.har_join``: url, method, headers, post_data, ts, status, status_text,
+    One document per value of ``key`` (one in all without it), entries in the order of ``seq``; its part is 0.  A key with more than
+    ``most`` entries has a document for each range of ``most`` values of ``seq`` instead, numbered in their order, so a
+    row holds ``most`` entries at most as long as ``seq`` tells a key's entries apart.  Expects the columns of ``netlog.har_join``: url, method, headers, post_data, ts, status, status_text,
     response_headers; those that are missing are left out of the entries.
     """
     given = set(requests.columns)
@@ -67,9 +68,13 @@ def har_documents(requests: DataFrame, key: str | None = None, name: str = "webl
     if "status" in given:
         fields.append(F.when(F.col("status").isNotNull(), response).alias("response"))
     keyed = requests.withColumn("key_", F.lit(None).cast("string") if key is None else F.col(key))
-    entries = keyed.groupBy("key_").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("e"))), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("s"))
+    # one row per ``most`` rows of the table at most
+    large = keyed.groupBy("key_").agg(F.count("*").alias("n_")).where(F.col("n_") > most).select(F.col("key_").alias("large_"), F.lit(True).alias("is_large_"))
+    split = keyed.join(F.broadcast(large), F.col("key_").eqNullSafe(F.col("large_")), "left")
+    split = split.withColumn("part", F.expr(f"IF(is_large_, (seq - pmod(seq, {most}L)) DIV {most}L, 0L)"))
+    entries = split.groupBy("key_", "part").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("e"))), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("s"))
     log = F.struct(F.lit(version).alias("version"), F.struct(F.lit(name).alias("name"), F.lit("1.0").alias("version")).alias("creator"), F.transform("s", lambda x: x["e"]).alias("entries"))
-    return entries.select(F.col("key_").alias(key or "key"), F.to_json(F.struct(log.alias("log"))).alias("json"))
+    return entries.select(F.col("key_").alias(key or "key"), "part", F.to_json(F.struct(log.alias("log"))).alias("json"))
 
 
 def recording_actions(documents: DataFrame, column: str = "json") -> DataFrame:
