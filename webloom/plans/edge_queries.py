@@ -51,6 +51,14 @@ def edge_deep_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.select("page_id", dom.doc_expr(dom.first_of("p", dom.text())).alias("text"), *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
 
 
+@query("edge_deep_nesting_all", """
+SELECT p_partkey AS page_id, p_name AS text, CAST(1 AS BIGINT) AS direct, CAST(1 AS BIGINT) AS outer FROM part""")
+def edge_deep_nesting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    doc = dom.dom(_parts(spark, sf_dir, "concat('<section>', repeat('<div>', 520), '<p>', p_name)"))
+    counts = {"direct": dom.count_of("div > p"), "outer": dom.count_of("section p")}
+    return doc.select("page_id", dom.doc_expr(dom.first_of("p", dom.text())).alias("text"), *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
+
+
 @query("edge_attributes", """
 SELECT p_partkey AS page_id, 'it''s' AS alt, 'a>b ' || p_size AS title, 'a&copy=1' AS href FROM part""")
 def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
