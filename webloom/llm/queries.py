@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, skip_chain_crf, suffix_decontaminate, suffix_dedup, warc
+from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, mixing, skip_chain_crf, suffix_decontaminate, suffix_dedup, warc
 from webloom.llm.registry import query, table
 
 
@@ -142,3 +142,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_source_mixing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixing.mixture(table(spark, sf_dir, "documents"), odds=mixing.fuller_first())
+    return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
