@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, mixing, skip_chain_crf, suffix_decontaminate, suffix_dedup, warc
+from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, mixing, prefix_intervals, skip_chain_crf, structure_repair, suffix_decontaminate, suffix_dedup, warc
 from webloom.llm.registry import query, table
 
 
@@ -148,3 +148,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixture(table(spark, sf_dir, "documents"), odds=mixing.fuller_first())
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@query("op12_structure_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure_repair.report(table(spark, sf_dir, "conversations"))
+
+
+@query("op11_prefix_intervals")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_intervals.report(table(spark, sf_dir, "conversations"))
