@@ -116,8 +116,8 @@ def test_very_deep_page_and_long_raw_text(page):
     raw = "<p>a</p><script>" + "var x = '<b>';\n" * 60000 + "</script><!--" + "<i>" * 60000 + "--><p>" + "word &amp; " * 60000 + "</p>"
     p = page(deep, raw)
     doc = dom.dom(p)
-    rows = doc.select("page_id", F.size("els").alias("n"), F.expr("array_max(transform(els, x -> size(x.anc)))").alias("d")).orderBy("page_id").collect()
-    assert [tuple(r) for r in rows] == [(0, 5002, 512), (1, 3, 0)]
+    rows = doc.select("page_id", F.size("els").alias("n"), F.expr("array_max(transform(els, x -> x.d))").alias("d")).orderBy("page_id").collect()
+    assert [tuple(r) for r in rows] == [(0, 5002, 5000), (1, 3, 0)]
     texts = dom.text_content(doc, "div, p").orderBy("page_id", "pos").select(F.length("text").alias("n")).collect()
     assert [r["n"] for r in texts] == [5000, 3, 1, 60000 * 7 - 1]
 
@@ -132,7 +132,7 @@ def test_element_invariants(page, seed):
         docs.append("".join(rng.choice([f"<{t}>", f"</{t}>", "text", "<", f"<{t} x='>' y>"]) for t in rng.choices(tags, k=rng.randint(0, 60))))
     p = page(*docs)
     bad = dom.dom(p).where(
-        "exists(els, x -> x.e < x.s OR x.z <= x.i OR exists(x.anc, u -> els[u].e < x.e OR els[u].s >= x.s OR els[u].z < x.z))"
+        "exists(els, x -> x.e < x.s OR x.z <= x.i OR x.p >= x.i OR (x.p >= 0 AND (els[x.p].e < x.e OR els[x.p].s >= x.s OR els[x.p].z < x.z OR els[x.p].d <> x.d - 1)))"
     )
     assert bad.count() == 0
     whole = p.select(F.expr(f"array_join({H.tokens('html')}, '') = html").alias("same"))

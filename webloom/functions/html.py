@@ -1,7 +1,7 @@
 """HTML as Spark SQL expressions: tokens, elements, attributes, text.
 
 A page stays one row.  ``tokens`` splits the HTML into an array, ``elements`` folds that array into the
-element list (start, end, ancestors), and the rest reads slices of the two arrays.  Nothing here shuffles, so a corpus
+element list (start, end, parent, depth), and the rest reads slices of the two arrays.  Nothing here shuffles, so a corpus
 is parsed at scan speed whatever its size; only the rows an operator asks for are exploded.
 """
 
@@ -59,8 +59,6 @@ _IMPLIED = {
     10: (["body"], ["head"], ["template"]),
 }
 _CHUNK, _FAN = 16, 16
-# Of elements nested deeper than this the outermost ancestors and the parent are listed; content and ends are as ever.
-LISTED = 512
 
 
 def tokens(html: str) -> str:
@@ -99,15 +97,17 @@ def is_text(t: str) -> str:
 
 
 def elements(toks: str, inline: list[str] | None = None) -> str:
-    """Element list of a token array, in document order: array<struct<i, z, s, e, own, tag, anc, nth, item>>.
+    """Element list of a token array, in document order: array<struct<i, z, s, e, own, tag, p, d, nth, item>>.
 
     A fold over the tags keeps the stack of open elements.  ``s`` and ``e`` are token positions of the start tag and of
     the end (the end tag itself when ``own``, else the token before which the element ends); void and
     raw-text elements end where they start.  ``i`` is the element's own list position and ``z`` the one after its last
-    descendant, so descendants are a slice of the list; ``anc`` holds the list positions of the ancestors, outermost first;
+    descendant, so descendants are a slice of the list and an ancestor is an interval around (``functions.intervals``); ``p`` is the
+    list position of the parent, -1 at the root, and ``d`` the number of ancestors;
     ``nth`` is the place among the children of its parent and ``item`` that among its list items, from 1, if no element was left out.
-    The fold is nested three deep (runs of 16 tags, 16 runs, all): each step copies its accumulator, so the accumulator
-    of the innermost one, which runs per tag, stays small.  Inline elements never change where
+    The fold is nested three deep (runs of 16 tags, 16 runs, all), as each step copies its accumulator.  So an accumulator holds
+    what its own run has opened only, and how many of the elements open before the run are left; those are read from the
+    accumulators around it, so a tag costs the same at any depth.  Inline elements never change where
     other elements start or end, so with ``inline`` given all others of them are left out of the list.
     """
     kept = "true"
@@ -128,97 +128,139 @@ def elements(toks: str, inline: list[str] | None = None) -> str:
         + let("n", tag_name("t"), f"IF(n <> '' AND {kept}, {tag}, NULL)")
         + " END), g -> g IS NOT NULL)"
     )
-    opened_closes = "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list('z', r[1])}" for c, r in _IMPLIED.items()) + " ELSE false END"
-    open_stops = "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list('%s', r[2])}" for c, r in _IMPLIED.items()) + " ELSE false END"
-    end_stops = (
-        f"CASE t.cls WHEN 1 THEN {in_list('z', ['table', 'template'])}"
-        f" WHEN 2 THEN {in_list('z', ['ul', 'ol', 'menu', 'dir', *SCOPE])}"
-        f" WHEN 3 THEN {in_list('z', ['button', *SCOPE])} WHEN 4 THEN {in_list('z', SCOPE)}"
-        f" ELSE {in_list('z', [*BLOCK, *SCOPE, 'button', 'select'])} END"
-    )
-    size = "size(a.tg)"
-    top = "try_element_at(a.tg, -1)"
-    # how many open elements survive the tag
-    kept_by_end = (
-        f"IF({top} = t.tag, {size} - 1, "
-        + let(
-            "m",
-            "array_position(reverse(a.tg), t.tag)",
-            f"IF(m = 0 OR exists(slice(a.tg, {size} - m + 2, m), z -> {end_stops}), {size}, {size} - m)",
-        )
-        + ")"
-    )
-    no_open_p = in_list(top, [t for t in BLOCK if t != "p"])
-    kept_by_start = (
-        f"CASE WHEN t.cls = 0 OR {size} = 0 OR (t.cls = 1 AND {no_open_p}) OR {open_stops.replace('%s', top)} THEN {size}"
-        f" WHEN NOT exists(a.tg, z -> {opened_closes}) THEN {size} ELSE "
-        + let(
-            "b",
-            f"array_max(transform(a.tg, (z, j) -> IF({open_stops.replace('%s', 'z')}, j, -1)))",
-            f"array_min(transform(a.tg, (z, j) -> IF(j > b AND {opened_closes}, j, {size})))",
-        )
-        + " END"
-    )
-    keep = f"CAST(IF(t.closes, {kept_by_end}, {kept_by_start}) AS INT)"
-    leaf = f"(t.void OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR exists(a.tg, z -> {in_list('z', FOREIGN)}))))"
-    base = {v: f"IF(k = {size}, a.{v}, slice(a.{v}, 1, k))" for v in ("st", "tg")}
-    ended = (
-        f"IF(k = {size}, a.cl, concat(a.cl, transform(slice(a.st, k + 1, {size} - k), "
-        "(z, j) -> struct(z AS i, t.s AS e, t.closes AND j = 0 AS own, a.n AS z))))"
-    )
-    # children seen so far per open element (and of the document, first), list items in the upper half
-    counts = f"IF(k = {size}, a.cn, slice(a.cn, 1, k + 1))"
-    seen = f"element_at(a.cn, k + 1) + IF(t.tag = 'li', {1 << 32} + 1, 1)"
-    counted = "concat(slice(a.cn, 1, k), array(c))"
-    listed = f"IF(k <= {LISTED}, {base['st']}, concat(slice(a.st, 1, {LISTED - 1}), array(element_at(a.st, k))))"
-    own = f"struct(a.n AS i, t.s AS s, t.tag AS tag, %s AS x, {listed} AS anc, c AS c)"
-    on_end = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, {counts} AS cn, a.n AS n, a.m AS m, a.op AS op, "
-        f"{ended} AS cl)"
-    )
-    on_leaf = (
-        f"struct({base['st']} AS st, {base['tg']} AS tg, {counted} AS cn, a.n + 1 AS n, a.m AS m, "
-        f"array_append(a.op, {own % '-1'}) AS op, {ended} AS cl)"
-    )
-    on_start = (
-        f"struct(array_append({base['st']}, a.n) AS st, array_append({base['tg']}, t.tag) AS tg, array_append({counted}, 0L) AS cn, "
-        f"a.n + 1 AS n, a.m + 1 AS m, array_append(a.op, {own % 'a.m'}) AS op, {ended} AS cl)"
-    )
-    on_start, on_leaf = let("c", seen, on_start), let("c", seen, on_leaf)
-    step = let("k", keep, f"CASE WHEN t.closes THEN IF(k = {size}, a, {on_end}) WHEN {leaf} THEN {on_leaf} ELSE {on_start} END")
-    opened, closed = "array<struct<i:int,s:int,tag:string,x:int,anc:array<int>,c:bigint>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
+    step = let("k", _kept(), f"CASE WHEN t.closes THEN IF(k = {_OPEN}, a, {_after('end')}) WHEN {_leaf()} THEN {_after('leaf')} ELSE {_after('start')} END")
+    opened, closed = "array<struct<i:int,s:int,tag:string,x:int,p:int,d:int,c:bigint>>", "array<struct<i:int,e:int,own:boolean,z:int>>"
+    none = "CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, CAST(array() AS array<bigint>) AS cn"
 
-    def state(v: str) -> str:
-        return f"{v}.st AS st, {v}.tg AS tg, {v}.cn AS cn, {v}.n AS n, {v}.m AS m"
+    def within(v: str, depth: str) -> str:
+        """The accumulator of a run, before its first tag."""
+        found = f"CAST(array() AS {depth.format(opened)}) AS op, CAST(array() AS {depth.format(closed)}) AS cl"
+        return f"struct({v} AS kb, {none}, %s.c AS c, %s.tt AS tt, %s.ti AS ti, %s.n AS n, %s.m AS m, {found})"
 
-    def empty(depth: str) -> str:
-        return f"CAST(array() AS {depth.format(opened)}) AS op, CAST(array() AS {depth.format(closed)}) AS cl"
+    def joined_to(v: str, kept: str, counted: str) -> str:
+        """The accumulator around a run, after it."""
+        onto = f"concat(slice({v}.%s, 1, {kept}), f.%s)"
+        return f"{onto % ('st', 'st')} AS st, {onto % ('tg', 'tg')} AS tg, concat(slice({v}.cn, 1, {counted}), f.cn) AS cn, f.c AS c, f.tt AS tt, f.ti AS ti, f.n AS n, f.m AS m"
 
     per_tag = (
-        f"aggregate(slice(g, u * {_CHUNK * _FAN} + w * {_CHUNK} + 1, {_CHUNK}), struct({state('c')}, {empty('{}')}), (a, t) -> {step}, "
-        f"f -> struct({state('f')}, array_append(c.op, f.op) AS op, array_append(c.cl, f.cl) AS cl))"
+        f"aggregate(slice(gu, w * {_CHUNK} + 1, {_CHUNK}), {within('c.kb + size(c.st)', '{}').replace('%s', 'c')}, (a, t) -> {step}, "
+        f"f -> struct(least(f.kb, c.kb) AS kb, {joined_to('c', 'greatest(f.kb - c.kb, 0)', 'greatest(f.kb - c.kb, 0)')}, array_append(c.op, f.op) AS op, array_append(c.cl, f.cl) AS cl))"
     )
     runs = f"sequence(0, least({_FAN - 1}, greatest(size(g) - u * {_CHUNK * _FAN} - 1, 0) DIV {_CHUNK}))"
     per_run = (
-        f"aggregate({runs}, struct({state('o')}, {empty('array<{}>')}), (c, w) -> {per_tag}, "
-        f"f -> struct({state('f')}, array_append(o.op, flatten(f.op)) AS op, array_append(o.cl, flatten(f.cl)) AS cl))"
+        f"aggregate({runs}, {within('size(o.st)', 'array<{}>').replace('%s', 'o')}, (c, w) -> {per_tag}, "
+        f"f -> struct({joined_to('o', 'f.kb', 'f.kb - 1')}, array_append(o.op, flatten(f.op)) AS op, array_append(o.cl, flatten(f.cl)) AS cl))"
     )
+    per_run = let("gu", f"slice(g, u * {_CHUNK * _FAN} + 1, {_CHUNK * _FAN})", let("al", "array_distinct(o.tg)", per_run))
+    # the document itself is the lowest entry of the stack
     start = (
-        "struct(CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, array(0L) AS cn, "
-        f"0 AS n, 0 AS m, {empty('array<{}>')})"
+        "struct(array(-1) AS st, array('') AS tg, CAST(array() AS array<bigint>) AS cn, 0L AS c, '' AS tt, -1 AS ti, 0 AS n, 0 AS m, "
+        f"CAST(array() AS array<{opened}>) AS op, CAST(array() AS array<{closed}>) AS cl)"
     )
     fold = f"aggregate(sequence(0, greatest(size(g) - 1, 0) DIV {_CHUNK * _FAN}), {start}, (o, u) -> {per_run})"
-    ends = f"array_sort(concat(flatten(r.cl), transform(r.st, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
+    left = "filter(r.st, z -> z >= 0)"
+    ends = f"array_sort(concat(flatten(r.cl), transform({left}, z -> struct(z AS i, size({toks}) AS e, false AS own, r.n AS z))))"
     joined = let(
         "q",
         ends,
         "transform(flatten(r.op), o -> struct(o.i AS i, IF(o.x < 0, o.i + 1, q[o.x].z) AS z, o.s AS s, "
-        "IF(o.x < 0, o.s, q[o.x].e) AS e, o.x >= 0 AND q[o.x].own AS own, o.tag AS tag, o.anc AS anc, "
+        "IF(o.x < 0, o.s, q[o.x].e) AS e, o.x >= 0 AND q[o.x].own AS own, o.tag AS tag, o.p AS p, o.d AS d, "
         f"CAST(o.c % {1 << 32} AS INT) AS nth, CAST(o.c DIV {1 << 32} AS INT) AS item))",
     )
     return let("g", tags, let("r", fold, joined))
 
 
+# In the steps of the fold ``a``, ``c`` and ``o`` are the accumulators of the run, of the runs around it and of all: st, tg and cn are the positions and
+# tags of the elements that a run has opened and not closed and what was counted of the children of all entries from the one they stand on to the
+# one below the top; kb is how many entries of the accumulator around are left, c, tt and ti are the count, tag and position of the top, n and m the elements and
+# the elements with an end so far.  ``al`` are the distinct tags of o, ``t`` is the tag, ``k`` the number of entries that survive it.
+_OPEN = "(a.kb + size(a.st))"
+_FAR = "least(a.kb, c.kb)"  # entries left of o
+_NEAR = "concat(slice(c.tg, 1, greatest(a.kb - c.kb, 0)), a.tg)"  # tags of the others
+
+
+def _by_class(rules: dict[int, list[str]], tag: str) -> str:
+    return "CASE t.cls " + " ".join(f"WHEN {c} THEN {in_list(tag, names)}" for c, names in rules.items()) + " ELSE false END"
+
+
+def _kept() -> str:
+    """Number of entries that survive the tag."""
+    # an end tag ends the innermost open element of its name, unless a boundary of its class lies between
+    stop = {1: ["table", "template"], 2: ["ul", "ol", "menu", "dir", *SCOPE], 3: ["button", *SCOPE], 4: SCOPE, 5: [*BLOCK, *SCOPE, "button", "select"]}
+    stops = _by_class(stop, "z")
+
+    def last_in(tags: str, held: str, without: str) -> str:
+        found = f"IF(exists(slice({tags}, size({tags}) - m + 2, m), z -> {stops}), {_OPEN}, {held} + size({tags}) - m)"
+        return let("m", f"array_position(reverse({tags}), t.tag)", f"IF(m > 0, {found}, {without})")
+
+    far = f"IF(array_contains(al, t.tag), {let('fs', f'slice(o.tg, 1, {_FAR})', last_in('fs', '0', _OPEN))}, {_OPEN})"
+    by_end = f"IF(a.tt = t.tag, {_OPEN} - 1, {let('ns', _NEAR, last_in('ns', _FAR, f'IF(exists(ns, z -> {stops}), {_OPEN}, {far})'))})"
+    # a start tag ends the outermost of the elements it closes above the nearest boundary of its class
+    closed = _by_class({c: r[1] for c, r in _IMPLIED.items()}, "z")
+    # a block has closed the open p, so there is none to look for below it
+    bounds = {c: [*r[2], *(t for t in BLOCK if c == 1 and t not in ("p", *r[2]))] for c, r in _IMPLIED.items()}
+    bound = _by_class(bounds, "z")
+
+    def outermost(tags: str, held: str) -> str:
+        b = f"array_max(transform({tags}, (z, j) -> IF({bound}, j, -1)))"
+        return let("b", b, f"{held} + array_min(transform({tags}, (z, j) -> IF(j > b AND {closed}, j, size({tags}))))")
+
+    searched = (
+        f"CASE WHEN exists(al, z -> {closed}) AND NOT exists(ns, z -> {bound}) THEN {let('fs', f'concat(slice(o.tg, 1, {_FAR}), ns)', outermost('fs', '0'))}"
+        f" WHEN NOT exists(ns, z -> {closed}) THEN {_OPEN} ELSE {outermost('ns', _FAR)} END"
+    )
+    by_start = f"IF(t.cls = 0 OR a.tt = '' OR {_by_class(bounds, 'a.tt')}, {_OPEN}, {let('ns', _NEAR, searched)})"
+    return f"CAST(IF(t.closes, {by_end}, {by_start}) AS INT)"
+
+
+def _leaf() -> str:
+    """Whether a start tag is a whole element: void, raw text, or closed in itself inside foreign content."""
+    foreign = in_list("z", FOREIGN)
+    around = f"exists({_NEAR}, z -> {foreign}) OR (exists(al, z -> {foreign}) AND exists(slice(o.tg, 1, {_FAR}), z -> {foreign}))"
+    return f"(t.void OR (t.sc AND ({in_list('t.tag', FOREIGN)} OR {around})))"
+
+
+def _after(what: str) -> str:
+    """The accumulator after an end tag, a whole element or a start tag."""
+    def entry(name: str) -> str:
+        return f"IF(k > c.kb, c.{name}[k - 1 - c.kb], o.{name}[k - 1])"
+
+    unchanged = "struct(a.kb AS kb, a.st AS st, a.tg AS tg, a.cn AS cn, a.c AS c, a.tt AS tt, a.ti AS ti)"
+    own = "struct(a.kb AS kb, slice(a.st, 1, k - a.kb) AS st, slice(a.tg, 1, k - a.kb) AS tg, slice(a.cn, 1, k - a.kb) AS cn, a.cn[k - a.kb] AS c, a.tg[k - a.kb - 1] AS tt, a.st[k - a.kb - 1] AS ti)"
+    # down to what was open before the run; the entry on which the run stands has its count in the run
+    count = "CASE WHEN k = a.kb THEN a.cn[0] WHEN k >= c.kb THEN c.cn[k - c.kb] ELSE o.cn[k - 1] END"
+    none = "CAST(array() AS array<int>) AS st, CAST(array() AS array<string>) AS tg, CAST(array() AS array<bigint>) AS cn"
+    before = f"struct(k AS kb, {none}, {count} AS c, {entry('tg')} AS tt, {entry('st')} AS ti)"
+    base = f"CASE WHEN k = {_OPEN} THEN {unchanged} WHEN k > a.kb THEN {own} ELSE {before} END"
+    deep = "concat(slice(o.st, k + 1, greatest(least(a.kb, c.kb) - k, 0)), slice(c.st, greatest(k - c.kb, 0) + 1, greatest(a.kb - greatest(k, c.kb), 0)), a.st)"
+    popped = f"IF(k >= a.kb, slice(a.st, k - a.kb + 1, {_OPEN} - k), {deep})"
+    ended = f"IF(k = {_OPEN}, a.cl, concat(a.cl, transform({popped}, (z, j) -> struct(z AS i, t.s AS e, t.closes AND j = 0 AS own, a.n AS z))))"
+    if what == "end":
+        # most end tags end the top element alone
+        r = "size(a.st) - 1"
+        below = f"IF({r} > 0, a.%s[{r} - 1], IF(a.kb > c.kb, c.%s[a.kb - 1 - c.kb], o.%s[a.kb - 1]))"
+        one = (
+            f"struct(a.kb AS kb, slice(a.st, 1, {r}) AS st, slice(a.tg, 1, {r}) AS tg, slice(a.cn, 1, {r}) AS cn, a.cn[{r}] AS c, {below.replace('%s', 'tg')} AS tt, "
+            f"{below.replace('%s', 'st')} AS ti, a.n AS n, a.m AS m, a.op AS op, array_append(a.cl, struct(a.ti AS i, t.s AS e, true AS own, a.n AS z)) AS cl)"
+        )
+        many = let("s", base, f"struct(s.kb AS kb, s.st AS st, s.tg AS tg, s.cn AS cn, s.c AS c, s.tt AS tt, s.ti AS ti, a.n AS n, a.m AS m, a.op AS op, {ended} AS cl)")
+        return f"IF(k = {_OPEN} - 1 AND k >= a.kb, {one}, {many})"
+
+    def opened(v: str, closed: str) -> str:
+        """The accumulator with the element added to the entries of ``v``."""
+        # children seen so far in the lower half, list items in the upper one
+        seen = f"{v}.c + IF(t.tag = 'li', {1 << 32} + 1, 1)"
+        element = f"struct(a.n AS i, t.s AS s, t.tag AS tag, {'-1' if what == 'leaf' else 'a.m'} AS x, {v}.ti AS p, k - 1 AS d, y AS c)"
+        if what == "leaf":
+            rest = f"{v}.st AS st, {v}.tg AS tg, {v}.cn AS cn, y AS c, {v}.tt AS tt, {v}.ti AS ti, a.n + 1 AS n, a.m AS m"
+        else:
+            rest = f"array_append({v}.st, a.n) AS st, array_append({v}.tg, t.tag) AS tg, array_append({v}.cn, y) AS cn, 0L AS c, t.tag AS tt, a.n AS ti, a.n + 1 AS n, a.m + 1 AS m"
+        return let("y", seen, f"struct({v}.kb AS kb, {rest}, array_append(a.op, {element}) AS op, {closed} AS cl)")
+
+    # most start tags end nothing
+    return f"IF(k = {_OPEN}, {opened('a', 'a.cl')}, {let('s', base, opened('s', ended))})"
+
+
 def start_tags(toks: str, names: list[str] | None = None) -> str:
     """Start tags in the shape of the element list, without ends and ancestors: enough to test tags and attributes."""
     wanted = f"{tag_name('t')} <> ''" if names is None else in_list(tag_name("t"), names)
@@ -226,7 +268,7 @@ def start_tags(toks: str, names: list[str] | None = None) -> str:
     found = f"filter(transform({toks}, (t, j) -> IF(startswith(t, '<') AND NOT startswith(t, '</') AND {wanted}, {tag}, NULL)), g -> g IS NOT NULL)"
     return (
         f"transform({found}, (g, j) -> struct(j AS i, j + 1 AS z, g.s AS s, g.s AS e, false AS own, g.tag AS tag, "
-        "CAST(array() AS array<int>) AS anc, 0 AS nth, 0 AS item))"
+        "-1 AS p, 0 AS d, 0 AS nth, 0 AS item))"
     )
 
 

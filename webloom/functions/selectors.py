@@ -1,8 +1,8 @@
 """Element selection as a predicate over the element list.
 
 A selector is a comma-separated union of paths; a path is tag/#id/.class/[attribute] steps joined by a blank
-(descendant) or ``>`` (child).  ``predicate`` turns it into one boolean expression about an element; ancestors are read
-from ``anc``, so a descendant test is a look at the element's own ancestors, never a join of elements with elements.
+(descendant) or ``>`` (child).  ``predicate`` turns it into one boolean expression about an element.  A descendant step collects the elements
+that the steps before it match, once per page, and looks whether one of them encloses the element; nothing is joined.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from dataclasses import dataclass, field
 
 from webloom.functions.html import BLOCK
+from webloom.functions.intervals import enclosing, inside
 from webloom.functions.sqltext import lit
 
 _PART = re.compile(
@@ -69,18 +70,21 @@ def tags_of(selector: str) -> set[str] | None:
 
 def predicate(selector: str, x: str = "x", rooted: bool = False) -> str:
     """Boolean SQL text about element ``x``; reads ``els`` and the attribute maps ``ats``.  ``rooted``: the first step has no parent."""
-    return "(" + " OR ".join(_path(path, x, 0, rooted) for path in parse(selector)) + ")"
+    return "(" + " OR ".join(_path(path, x, rooted) for path in parse(selector)) + ")"
 
 
-def _path(path: list[Step], x: str, depth: int, rooted: bool = False) -> str:
+def enclosed_by(selector: str, x: str = "x") -> str:
+    """Boolean SQL text: some ancestor of element ``x`` matches."""
+    return inside(f"{x}.i", enclosing(predicate(selector, "a")))
+
+
+def _path(path: list[Step], x: str, rooted: bool = False) -> str:
     here = _matches(path[-1], x)
     if len(path) == 1:
-        return f"({here} AND size({x}.anc) = 0)" if rooted else here
+        return f"({here} AND {x}.d = 0)" if rooted else here
     if path[-1].child:
-        parent = "els[try_element_at(%s.anc, -1)]" % x
-        return f"({here} AND size({x}.anc) > 0 AND {_path(path[:-1], parent, depth, rooted)})"
-    v = f"d{depth}"
-    return f"({here} AND exists({x}.anc, {v} -> {_path(path[:-1], f'els[{v}]', depth + 1, rooted)}))"
+        return f"({here} AND {x}.p >= 0 AND {_path(path[:-1], f'get(els, {x}.p)', rooted)})"
+    return f"({here} AND {inside(f'{x}.i', enclosing(_path(path[:-1], 'a', rooted)))})"
 
 
 def attribute_of(x: str, name: str) -> str:

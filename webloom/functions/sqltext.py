@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterable
 
@@ -32,6 +33,34 @@ def let(name: str, value: str, body: str) -> str:
     return f"aggregate(CAST(array() AS array<int>), {value}, (acc_, elem_) -> acc_, {name} -> {body})"
 
 
+_ONCE: dict[str, str] = {}
+_ONCE_NAME = re.compile(r"\bonce_[0-9a-f]{16}\b")
+
+
+def once(value: str) -> str:
+    """A name for SQL text over the columns of a row, which ``doc_expr`` binds once per row however often and deep inside a lambda it stands."""
+    name = "once_" + hashlib.sha256(value.encode()).hexdigest()[:16]
+    _ONCE[name] = value
+    return name
+
+
+def with_shared(text: str) -> str:
+    """Binds the names of ``once`` in front of the text, those that others need first."""
+    order: list[str] = []
+
+    def visit(name: str) -> None:
+        if name not in order:
+            for needed in sorted(set(_ONCE_NAME.findall(_ONCE[name]))):
+                visit(needed)
+            order.append(name)
+
+    for name in sorted(set(_ONCE_NAME.findall(text))):
+        visit(name)
+    for name in reversed(order):
+        text = let(name, _ONCE[name], text)
+    return text
+
+
 _SLICED = re.compile(r"slice\((toks|txt|els),")
 
 
@@ -48,7 +77,7 @@ def in_memory(text: str) -> str:
 
 def doc_expr(text: str) -> Column:
     """Column of SQL text over the parsed columns of a page."""
-    return F.expr(in_memory(text))
+    return F.expr(in_memory(with_shared(text)))
 
 
 def first_few(array: str, n: int | None) -> str:

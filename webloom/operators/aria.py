@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from webloom.functions.intervals import count_enclosing, enclosing
 from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, has_date, js_trim
 from webloom.functions import html as H
@@ -34,7 +35,7 @@ def _role(x: str) -> str:
 def aria_snapshot(pages: DataFrame) -> DataFrame:
     """(page_id, snapshot): indented tree of roles; headings, links, buttons and images carry their name in quotes."""
     doc = dom(pages).withColumn("roles", doc_expr(f"transform(els, x -> {_role('x')})"))
-    indent = "repeat('  ', size(filter(x.anc, u -> roles[u] IS NOT NULL)))"
+    indent = f"repeat('  ', {count_enclosing('x.i', enclosing('roles[a.i] IS NOT NULL'))})"
     name = js_trim(collapse_space(f"IF(x.tag = 'img', coalesce({attr('alt')}, ''), {H.text_content('x')})"))
     level = "IF(roles[x.i] = 'heading' AND x.tag RLIKE '^h[1-6]$', concat(' [level=', substr(x.tag, 2), ']'), '')"
     named = f"IF(n = '', '', concat(' \"', replace(n, '\"', {lit(chr(39))}), '\"'))"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
-from webloom.functions.selectors import predicate
+from webloom.functions.intervals import count_enclosing, enclosing, inside, nearest
+from webloom.functions.selectors import enclosed_by, predicate
 from webloom.functions.sqltext import doc_expr, in_list, let, lit
 from webloom.functions.text import collapse_space, decode_entities, js_trim, word_count
 from webloom.operators.dom import attr, count_of, dom, has, keep_pages, tagged, text
@@ -66,10 +67,10 @@ def _rendered(style: str, scope: str) -> str:
     st = _STYLE[style]
     heading = in_list("x.tag", ["h1", "h2", "h3", "h4", "h5", "h6"])
     blocks = in_list("x.tag", "p div section article main header footer nav aside table ul ol dl blockquote figure form address pre details fieldset center".split())
-    depth = "size(filter(x.anc, u -> els[u].tag IN ('ul', 'ol')))"
+    depth = count_enclosing("x.i", enclosing("a.tag IN ('ul', 'ol')"))
     bullet = (
         f"concat(repeat({lit(st['indent'])}, greatest({depth} - 1, 0)), "
-        f"IF(try_element_at(x.anc, -1) IS NOT NULL AND els[try_element_at(x.anc, -1)].tag = 'ol', concat(x.item, '. '), {lit(st['bullet'])}))"
+        f"IF(coalesce(get(els, x.p).tag = 'ol', false), concat(x.item, '. '), {lit(st['bullet'])}))"
     )
     image = f"concat('![', coalesce({attr('alt')}, ''), '](', coalesce({attr('src')}, ''), ')')"
     opens = (
@@ -91,7 +92,7 @@ def _rendered(style: str, scope: str) -> str:
     # what lies inside hidden or verbatim elements: their places and the text tokens are sorted together, and a token
     # looks at its neighbours, so the work does not grow with the number of such elements times that of tokens
     def marks(tags: str, mark: int) -> str:
-        outermost = f"filter({inner}, x -> x.tag IN ({tags}) AND x.e > x.s + 1 AND NOT exists(x.anc, u -> els[u].tag IN ({tags})))"
+        outermost = f"filter({inner}, x -> x.tag IN ({tags}) AND x.e > x.s + 1 AND NOT {inside('x.i', enclosing(f'a.tag IN ({tags})'))})"
         return f"flatten(transform({outermost}, x -> transform(sequence(x.s + 1, x.e - 1), q -> struct(q AS pos, {mark} AS mark, CAST(NULL AS STRING) AS tok))))"
 
     tokens = (
@@ -149,10 +150,9 @@ def collapsible_census(pages: DataFrame) -> DataFrame:
     doc = dom(pages).withColumn("main", doc_expr(_first_long(EXPAND_CONTAINERS)))
     body = f"coalesce(main.x, get(filter(els, x -> x.tag = 'body'), 0))"
     doc = doc.withColumn("box", doc_expr(body)).withColumn("scope", doc_expr(f"IF(box IS NULL, els, {H.descendants('box')})"))
-    in_nav = f"({predicate(NAVIGATION)} OR exists(x.anc, u -> {predicate(NAVIGATION, 'els[u]')}))"
-    in_link = "exists(x.anc, u -> els[u].tag = 'a' AND %s)" % f"{attr('href', 'els[u]')} IS NOT NULL"
-    in_any_link = "exists(x.anc, u -> els[u].tag = 'a')"
-    closed_details = "try_element_at(filter(x.anc, u -> els[u].tag = 'details'), -1)"
+    in_nav = f"({predicate(NAVIGATION)} OR {enclosed_by(NAVIGATION)})"
+    in_link, in_any_link = enclosed_by("a[href]"), enclosed_by("a")
+    details = nearest("x.i", enclosing("a.tag = 'details'"))
     label = f"lower({text()})"
     says_more = " OR ".join(
         f"{label} = {lit(t)} OR startswith({label}, {lit(t + ' ')}) OR endswith({label}, {lit(' ' + t)})" for t in EXPAND_TEXTS
@@ -165,7 +165,7 @@ def collapsible_census(pages: DataFrame) -> DataFrame:
         "details_closed": count(predicate("details:not([open])")),
         "aria_collapsed": count(f"{predicate("[aria-expanded='false']")} AND NOT {in_nav} AND x.tag <> 'a' AND NOT {in_link}"),
         "summary_closed": count(
-            f"x.tag = 'summary' AND {closed_details} IS NOT NULL AND {attr('open', f'els[{closed_details}]')} IS NULL"
+            f"x.tag = 'summary' AND {let('near_', details, "near_ IS NOT NULL AND ats[near_]['open'] IS NULL")}"
         ),
         "aria_controls": count(f"{predicate('button[aria-controls]')} AND NOT {in_nav} AND coalesce({attr('aria-expanded')} = 'false', false)"),
         "collapse_class": " + ".join(count(f"{predicate(s)} AND NOT {in_nav}") for s in COLLAPSE_SELECTORS),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
+from webloom.functions.intervals import enclosing, nearest
 from webloom.functions.selectors import attribute_of, inline_tags, is_flat, predicate, tags_of
 from webloom.functions.sqltext import doc_expr, first_few, lit
 from webloom.functions.text import js_trim
@@ -102,8 +103,7 @@ def token_table(pages: DataFrame) -> DataFrame:
 def element_table(pages: DataFrame) -> DataFrame:
     """(page_id, start_pos, end_pos, own_end, tag, id, classes, attrs, depth, parent_start)"""
     struct = (
-        "struct(x.s AS start_pos, x.e AS end_pos, x.own AS own_end, x.tag AS tag, ats[x.i] AS attrs, size(x.anc) AS depth, "
-        "els[try_element_at(x.anc, -1)].s AS parent_start)"
+        "struct(x.s AS start_pos, x.e AS end_pos, x.own AS own_end, x.tag AS tag, ats[x.i] AS attrs, x.d AS depth, get(els, x.p).s AS parent_start)"
     )
     out = rows_of(dom(pages), f"transform(els, x -> {struct})", "page_id")
     classes = doc_expr(f"filter(split(coalesce(attrs['class'], ''), {lit(r'[ \t\r\n\f]+')}), c -> c <> '')")
@@ -117,8 +117,7 @@ def text_content(doc: DataFrame, selector: str) -> DataFrame:
 
 def closest(doc: DataFrame, selector: str, ancestor: str) -> DataFrame:
     """(page_id, pos, closest_pos, closest_tag): nearest ancestor-or-self that matches, NULL when there is none."""
-    chain = "concat(transform(x.anc, i -> els[i]), array(x))"
-    near = f"try_element_at(filter({chain}, y -> {predicate(ancestor, 'y')}), -1)"
+    near = f"IF({predicate(ancestor)}, x, get(els, {nearest('x.i', enclosing(predicate(ancestor, 'a')))}))"
     return select(doc, selector, {"closest_pos": f"{near}.s", "closest_tag": f"{near}.tag"})
 
 

@@ -199,7 +199,7 @@ def list_frames(pages: DataFrame) -> DataFrame:
 
 def shadow_select(pages: DataFrame, host: str, inner: str) -> DataFrame:
     """(page_id, host_pos, pos, tag, text, html) of matches inside the declarative shadow root of a host."""
-    roots = f"filter({H.descendants('h')}, r -> r.tag = 'template' AND {attr('shadowrootmode', 'r')} IS NOT NULL AND try_element_at(r.anc, -1) = h.i)"
+    roots = f"filter({H.descendants('h')}, r -> r.tag = 'template' AND {attr('shadowrootmode', 'r')} IS NOT NULL AND r.p = h.i)"
     hits = (
         f"transform(filter({H.descendants('root')}, x -> {predicate(inner)}), x -> "
         f"struct(h.s AS host_pos, x.s AS pos, x.tag AS tag, {text()} AS text, {H.inner_html('toks', 'x')} AS html))"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
-from webloom.functions.selectors import predicate
+from webloom.functions.intervals import enclosing, last_reaching, nearest
+from webloom.functions.selectors import enclosed_by, predicate
 from webloom.functions.sqltext import doc_expr, let, lit
 from webloom.functions.text import collapse_space, js_trim
 from webloom.functions.urls import url_join
@@ -59,10 +60,6 @@ def _fields_in(x: str) -> str:
     return f"transform(filter({H.descendants(x)}, y -> y.tag IN ('input', 'textarea', 'select')), y -> {_field('y')})"
 
 
-def _above(x: str, selector: str) -> str:
-    return f"exists({x}.anc, u -> {predicate(selector, 'els[u]')})"
-
-
 def extract_forms(pages: DataFrame) -> DataFrame:
     """(page_id, form_no, id, name, action, method, type, selector, fields ARRAY<STRUCT>).
 
@@ -81,20 +78,25 @@ def extract_forms(pages: DataFrame) -> DataFrame:
     by_id = f"concat(x.tag, coalesce(concat('#', {_or_null(attr('id'))}), ''))"
     none = "CAST(NULL AS STRING)"
     roles = (
-        f"transform(filter(els, x -> {predicate('[role=form]')} AND x.tag <> 'form' AND NOT {_above('x', 'form')}), x -> "
+        f"transform(filter(els, x -> {predicate('[role=form]')} AND x.tag <> 'form' AND NOT {enclosed_by('form')}), x -> "
         f"struct({_or_null(attr('id'))} AS id, {label} AS name, {none} AS action, {none} AS method, 'role-form' AS type, "
         f"{by_id} AS selector, {_fields_in('x')} AS fields))"
     )
     doc = doc.withColumn(
-        "orphans", doc_expr(f"filter(els, x -> x.tag IN ('input', 'textarea', 'select') AND NOT {_above('x', 'form, [role=form]')})")
+        "orphans", doc_expr(f"filter(els, x -> x.tag IN ('input', 'textarea', 'select') AND NOT {enclosed_by('form, [role=form]')})")
     )
-    named = " OR ".join(f"coalesce({attr(a, 'els[u]')}, '') <> ''" for a in ("id", "aria-label", "role"))
-    shared = "(j > 0 AND coalesce(get(orphans, j - 1).i > u, false)) OR coalesce(get(orphans, j + 1).i < els[u].z, false)"
-    inside = "slice(x.anc, greatest(coalesce(array_max(transform(x.anc, (u, d) -> IF(els[u].tag IN ('html', 'body'), d, -1))), -1), -1) + 2, size(x.anc))"
-    group = f"try_element_at(filter({inside}, u -> {named} OR els[u].tag NOT IN ('div', 'span') OR {shared}), -1)"
+    named = " OR ".join(f"coalesce({attr(a, 'a')}, '') <> ''" for a in ("id", "aria-label", "role"))
+    every, page = enclosing("true"), enclosing("a.tag IN ('html', 'body')")
+    # the innermost ancestor below the body that has a name or a meaning, or that holds the field before or the one behind as well
+    telling = [
+        nearest("x.i", enclosing(f"{named} OR a.tag NOT IN ('div', 'span')")),
+        f"IF(j = 0, NULL, {last_reaching('get(orphans, j - 1).i', 'x.i', every)})",
+        f"IF(j + 1 = size(orphans), NULL, {last_reaching('x.i', 'get(orphans, j + 1).i', every)})",
+    ]
+    group = let("top", f"coalesce({nearest('x.i', page)}, -1)", f"array_max(filter(array({', '.join(telling)}), u -> u > top))")
     doc = doc.withColumn(
         "grouped",
-        doc_expr(f"transform(orphans, (x, j) -> struct(coalesce({group}, try_element_at(x.anc, -1), x.i) AS g, {_field('x')} AS field))"),
+        doc_expr(f"transform(orphans, (x, j) -> struct(coalesce({group}, nullif(x.p, -1), x.i) AS g, {_field('x')} AS field))"),
     )
     first_class = f"concat('.', get(split({js_trim(f"coalesce({attr('class')}, '')")}, ' +'), 0))"
     css = (
@@ -165,7 +167,7 @@ def match_form_fields(pages: DataFrame, wanted: list[str], form: str = "form") -
 def labelled(y: str) -> str:
     """True when a label names the field: ``for`` its id, or around it.  Needs the array ``label_ids``."""
     by_for = f"coalesce({attr('id', y)}, '') <> '' AND array_contains(label_ids, {attr('id', y)})"
-    return f"(({by_for}) OR exists({y}.anc, u -> els[u].tag = 'label'))"
+    return f"(({by_for}) OR {enclosed_by('label', y)})"
 
 
 LABEL_IDS = f"filter(transform(filter(els, x -> x.tag = 'label'), x -> coalesce({attr('for')}, '')), f -> f <> '')"

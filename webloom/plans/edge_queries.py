@@ -9,15 +9,17 @@ from pyspark.sql import functions as F
 
 from webloom.functions import html as H
 from webloom.functions import text as T
+from webloom.functions.intervals import enclosing, nearest
+from webloom.functions.selectors import predicate
 from webloom.operators import aria, audit, content, dom, extract, forms, netlog, recon, tables
 from webloom.plans import fixtures as fx
 from webloom.plans.registry import query, table
-from webloom.session import shared_folder
+from webloom.session import shared_folder, spread
 from webloom.sources import readers, sinks
 
 
 def _parts(spark: SparkSession, sf_dir: str, html: str, url: str = "'http://h.example/x/y'") -> DataFrame:
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", f"{url} AS url", f"{html} AS html")
+    return spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS page_id", f"{url} AS url", f"{html} AS html")
 
 
 @query("edge_titles", """
@@ -42,15 +44,6 @@ def edge_custom_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.select(dom.dom(pages), "p", {"text": dom.text()}).select("page_id", "text")
 
 
-@query("edge_deep_nesting", """
-SELECT p_partkey AS page_id, p_name AS text, CAST(1 AS BIGINT) AS direct, CAST(1 AS BIGINT) AS outer FROM part WHERE p_partkey % 10 = 0""")
-def edge_deep_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = _parts(spark, sf_dir, "concat('<section>', repeat('<div>', 600), '<p>', p_name)").where("page_id % 10 = 0")
-    doc = dom.dom(pages)
-    counts = {"direct": dom.count_of("div > p"), "outer": dom.count_of("section p")}
-    return doc.select("page_id", dom.doc_expr(dom.first_of("p", dom.text())).alias("text"), *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
-
-
 @query("edge_deep_nesting_all", """
 SELECT p_partkey AS page_id, p_name AS text, CAST(1 AS BIGINT) AS direct, CAST(1 AS BIGINT) AS outer FROM part""")
 def edge_deep_nesting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +52,19 @@ def edge_deep_nesting_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return doc.select("page_id", dom.doc_expr(dom.first_of("p", dom.text())).alias("text"), *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
 
 
+@query("edge_deep_ancestors", """
+SELECT p_partkey AS page_id, p_name AS text, CAST(300 AS INT) AS section_pos, CAST(601 AS INT) AS depth, CAST(1 AS BIGINT) AS under_section, CAST(1 AS BIGINT) AS under_id FROM part""")
+def edge_deep_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An ancestor in the middle of 600 levels, asked on every row of part."""
+    html = "concat(repeat('<div>', 300), '<section id=\"s', p_partkey, '\">', repeat('<div>', 300), '<p>', p_name)"
+    doc = dom.dom(_parts(spark, sf_dir, html))
+    near = "get(els, " + nearest("x.i", enclosing(predicate("section", "a"))) + ")"
+    found = dom.select(doc, "section p", {"text": dom.text(), "section_pos": f"{near}.s", "depth": "x.d"})
+    counts = {"under_section": dom.count_of("section > div p"), "under_id": dom.count_of("div [id^=s] div div p")}
+    counted = doc.select("page_id", *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
+    return found.join(counted, "page_id").select("page_id", "text", "section_pos", "depth", "under_section", "under_id")
+
+
 @query("edge_attributes", """
 SELECT p_partkey AS page_id, 'it''s' AS alt, 'a>b ' || p_size AS title, 'a&copy=1' AS href FROM part""")
 def edge_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,7 +157,7 @@ def links_checked_in_full(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT p_partkey AS page_id, p_partkey % 4 <> 3 AS dated FROM part""")
 def dates_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "CASE p_partkey % 4 WHEN 0 THEN 'Posted January 5, 2024' WHEN 1 THEN '5 Mar 2021 news' WHEN 2 THEN '2020-01-31' ELSE 'May be 12 20245' END"
-    return table(spark, sf_dir, "part").selectExpr("p_partkey AS page_id", f"{T.has_date(text)} AS dated")
+    return spread(table(spark, sf_dir, "part")).selectExpr("p_partkey AS page_id", f"{T.has_date(text)} AS dated")
 
 
 @query("har_documents", """

@@ -11,6 +11,7 @@ from webloom.functions import urls as U
 from webloom.functions.sqltext import lit
 from webloom.operators import aria, audit, content, crawl, dom, extract, recon
 from webloom.plans.registry import query, table
+from webloom.session import spread
 from webloom.sources import readers, sinks
 
 # The token pattern as the checking engine spells it, and the token table built with it.
@@ -35,7 +36,7 @@ TITLE_SQL = f"trim(regexp_replace({TITLE}, '\\s+', ' ', 'g'))"
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.pages(spark, sf_dir)
+    return spread(readers.pages(spark, sf_dir))
 
 
 @query("links_per_host", f"""
