@@ -15,7 +15,9 @@ from webloom.functions.urls import RFC3986, file_name, glob_match, netloc, url_j
 from webloom.operators.dom import attr, dom, text
 from webloom.operators.extract import link_hrefs, link_targets
 from webloom.operators.skew import salted_join
-from webloom.session import checkpointed
+from webloom.session import bucketed, checkpointed, forget
+
+HEAD_EVERY = 16  # pages from one head of a list to the next, about
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -44,14 +46,18 @@ def link_edges(pages: DataFrame, follow: str | None = None, exclude: str | None
 
 
 def _followed(edges: DataFrame, follow: str | None, exclude: str | None, domain: str | None) -> DataFrame:
-    edges = edges.where(~F.col("dst_url").startswith("javascript:") & ~F.col("dst_url").startswith("mailto:"))
+    return edges.where(doc_expr(_follows("dst_url", follow, exclude, domain)))
+
+
+def _follows(url: str, follow: str | None, exclude: str | None, domain: str | None) -> str:
+    tests = [f"NOT startswith({url}, 'javascript:')", f"NOT startswith({url}, 'mailto:')"]
     if follow:
-        edges = edges.where(doc_expr(glob_match("dst_url", follow)))
+        tests.append(glob_match(url, follow))
     if exclude:
-        edges = edges.where(~doc_expr(glob_match("dst_url", exclude)))
+        tests.append(f"NOT {glob_match(url, exclude)}")
     if domain is not None:
-        edges = edges.where(doc_expr(f"{netloc('dst_url')} IN ({lit(domain)}, '')"))
-    return edges
+        tests.append(f"{netloc(url)} IN ({lit(domain)}, '')")
+    return " AND ".join(f"({t})" for t in tests)
 
 
 def _texts(selector: str | None) -> str:
@@ -69,27 +75,42 @@ def crawl(
     """(url, depth, title, extracted, error): breadth-first from ``seed`` within its domain.
 
     A URL counts once, at the first level it is seen; only the exact string identifies it.  URLs without a
-    stored page give an ``error`` row.  The pages of the domain are parsed once, to targets, title and texts, and written; a level is
-    one join of the frontier with the edges, one distinct and one anti join.
+    stored page give an ``error`` row.  The pages of the domain are parsed once, to targets, title and texts, and lie in buckets of their URL
+    with their targets, as do the URLs visited.  A level joins the frontier with the pages, takes the distinct targets and
+    leaves out the visited ones: only the frontier and its targets move.
     """
     spark = pages.sparkSession
     domain = re.match(RFC3986, seed)[4] or ""
-    source = of_domain(pages, domain)
-    doc = dom(source, ["title"] if extract is None else [extract, "title"])
-    doc = doc.select("page_id", "url", doc_expr(link_hrefs()).alias("hrefs"), doc_expr(H.title("toks")).alias("title"), doc_expr(_texts(extract)).alias("extracted"))
-    stored = checkpointed(one_per_url(source, doc).drop("page_id"))
-    edges = _followed(stored.select(F.col("url").alias("src_url"), F.explode("hrefs").alias("dst_url")), follow, exclude, domain)
-    edges = checkpointed(edges.distinct())
-    visited = spark.createDataFrame([(seed, 0)], "url string, depth int")
-    frontier = visited
+    stored, names = site(pages, domain, extract, follow, exclude)
+    first = spark.createDataFrame([(seed, 0)], "url string, depth int")
+    visited, visits = bucketed(first, "url")
     for level in range(1, depth + 1):
-        reached = edges.join(frontier, edges.src_url == frontier.url, "left_semi").select(F.col("dst_url").alias("url")).distinct()
-        frontier = checkpointed(reached.join(visited, "url", "left_anti").withColumn("depth", F.lit(level)))
-        if frontier.isEmpty():
+        new = next_level(stored, visited, level)
+        before = visited.count()
+        visited, _ = bucketed(new, "url", name=visits)
+        if visited.count() == before:
             break
-        visited = visited.unionByName(frontier)
-    out = visited.join(stored.drop("hrefs"), "url", "left")
-    return out.withColumn("error", F.when(F.col("title").isNull(), F.lit("page not stored")))
+    out = visited.join(stored.drop("targets"), "url", "left").withColumn("error", F.when(F.col("title").isNull(), F.lit("page not stored")))
+    forget(spark, names, visits)
+    return out
+
+
+def site(pages: DataFrame, domain: str, extract: str | None = None, follow: str | None = None, exclude: str | None = None) -> tuple[DataFrame, str]:
+    """(url, targets, title, extracted) of the pages of a domain in buckets of the URL, and the table's name; targets are those a crawl may follow."""
+    doc = dom(of_domain(pages, domain), ["title"] if extract is None else [extract, "title"])
+    page = [doc_expr(f"array_distinct({link_hrefs()})").alias("hrefs"), doc_expr(H.title("toks")).alias("title"), doc_expr(_texts(extract)).alias("extracted")]
+    doc = doc.select("page_id", "url", *page)
+    # the page with the lowest page_id counts; copies are reduced before they move
+    doc = doc.groupBy("url").agg(F.min_by(F.struct("hrefs", "title", "extracted"), "page_id").alias("d"))
+    kept = doc_expr(f"filter(d.hrefs, h -> {_follows('h', follow, exclude, domain)})")
+    return bucketed(doc.select("url", kept.alias("targets"), "d.title", "d.extracted"), "url")
+
+
+def next_level(stored: DataFrame, visited: DataFrame, level: int) -> DataFrame:
+    """(url, depth): targets of the pages that ``visited`` reached at the level before and that it does not hold yet."""
+    frontier = visited.where(F.col("depth") == level - 1).select("url")
+    reached = stored.join(frontier, "url", "left_semi").select(F.explode("targets").alias("url")).distinct()
+    return reached.join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
 
 
 def crawl_documents(crawled: DataFrame) -> DataFrame:
@@ -105,8 +126,10 @@ def paginate(pages: DataFrame, start: DataFrame, next_selector: str, extract: st
     ``start`` is (url); any number of chains run side by side.  Returns the items (start_url, page_no, pos, item), duplicates
     kept, and the counts (start_url, pages, n_items); ``pages`` counts the next-links taken.
 
-    A page has one next page at most, so a walk of n pages takes log2(n) joins: what is known of every chain is put behind itself with steps of
-    twice the length each time.  A chain that comes back to a page goes on up to ``max_pages``; without a limit it ends there.
+    A page has one next page at most, so the stored pages are lists.  Some of them are heads: the starts, pages without one page before
+    them, and one in ``HEAD_EVERY`` by hash.  Every other page finds the head before it by pointers that jump twice as far each time, a number of rounds that the
+    distance of heads bounds, whatever the length of the lists; the walks are then made over the heads alone and spread out over the pages behind each.
+    A chain that comes back to a page goes on up to ``max_pages``; without a limit it ends there.
     """
     doc = dom(pages, [next_selector, extract])
     nxt = f"get(filter(els, x -> {predicate(next_selector)}), 0)"
@@ -114,33 +137,61 @@ def paginate(pages: DataFrame, start: DataFrame, next_selector: str, extract: st
     link = f"get(transform(array({nxt}), x -> IF(x IS NULL, NULL, struct({attr('disabled')} AS d, {attr('class')} AS c, {attr('href')} AS h))), 0)"
     doc = doc.select("page_id", "url", doc_expr(_texts(extract)).alias("items"), doc_expr(link).alias("x"))
     doc = doc.withColumn("next_url", doc_expr(f"IF(x IS NULL OR {disabled} OR x.h IS NULL, NULL, {url_join('url', 'x.h')})"))
-    doc = checkpointed(one_per_url(pages, doc).select("url", "items", "next_url"))
-    steps = doc.select("url", "next_url")
-    walked = start.select(F.col("url").alias("start_url"), "url", F.lit(1).cast("bigint").alias("page_no")).distinct().join(steps.select("url"), "url", "left_semi")
-    # hops of `length` links between stored pages; those that lead nowhere are left out
-    hops = steps.where("next_url IS NOT NULL").join(steps.select(F.col("url").alias("next_url")), "next_url", "left_semi").select("url", F.col("next_url").alias("far"))
-    length = 1
-    while max_pages is None or length < max_pages:
-        walked, hops = checkpointed(walked), checkpointed(hops)
-        more = salted_join(walked, hops, "url", "start_url", how="inner").select("start_url", F.col("far").alias("url"), (F.col("page_no") + length).alias("page_no"))
+    # the page with the lowest page_id counts; copies are reduced before they move
+    doc = doc.groupBy("url").agg(F.min_by(F.struct("items", "next_url"), "page_id").alias("d")).select("url", "d.*")
+    doc = checkpointed(doc)
+    starts = checkpointed(start.select("url").distinct())
+    segments, hops = _segments(doc, starts)
+    walked = checkpointed(starts.join(doc.select("url"), "url", "left_semi").select(F.col("url").alias("start_url"), F.col("url").alias("head"), F.lit(1).cast("bigint").alias("page_no")))
+    newest, all_heads = walked, walked
+    while True:  # what is known of every walk is put behind itself with jumps over twice as many heads
+        more = all_heads.join(hops, "head").select("start_url", F.col("far").alias("head"), (F.col("page_no") + F.col("len")).alias("page_no"))
         if max_pages is None:  # a chain that comes back ends where it does
-            more = more.join(walked.select("start_url", "url"), ["start_url", "url"], "left_anti").groupBy("start_url", "url").agg(F.min("page_no").alias("page_no"))
+            more = more.join(all_heads.select("start_url", "head"), ["start_url", "head"], "left_anti").groupBy("start_url", "head").agg(F.min("page_no").alias("page_no"))
         else:
             more = more.where(F.col("page_no") <= max_pages)
-        more = checkpointed(more)
-        if more.isEmpty():
+        newest = checkpointed(more)
+        if newest.isEmpty():
             break
-        walked = walked.unionByName(more.select(walked.columns))
-        onward = hops.select(F.col("url").alias("far"), F.col("far").alias("further"))
-        hops = hops.join(onward, "far").select("url", F.col("further").alias("far"))
-        length *= 2
-    rows = salted_join(checkpointed(walked), doc, "url", "start_url", how="inner")
+        all_heads = all_heads.unionByName(newest)
+        onward = hops.select(F.col("head").alias("far"), F.col("far").alias("further"), F.col("len").alias("more_"))
+        hops = checkpointed(hops.join(onward, "far").select("head", F.col("further").alias("far"), (F.col("len") + F.col("more_")).alias("len")))
+    rows = salted_join(all_heads, segments, "head", "start_url", how="inner").withColumn("page_no", F.col("page_no") + F.col("behind"))
+    if max_pages is not None:
+        rows = rows.where(F.col("page_no") <= max_pages)
     out = rows.select("start_url", "page_no", F.posexplode_outer("items").alias("pos", "item")).where("item IS NOT NULL")
     clicks = F.sum(F.col("next_url").isNotNull().cast("bigint"))
     counts = rows.groupBy("start_url").agg(clicks.alias("pages"), F.sum(F.size("items")).cast("bigint").alias("n_items"))
     return out.withColumn("page_no", F.col("page_no").cast("int")), counts
 
 
+def _segments(doc: DataFrame, starts: DataFrame, every: int = HEAD_EVERY) -> tuple[DataFrame, DataFrame]:
+    """((head, behind, url, items, next_url), (head, far, len)): the pages from each head to the one before the next, and the jump there.
+
+    Pages before which no head stands lie on rounds that no start leads to; they are left out.
+    """
+    links = doc.where("next_url IS NOT NULL").select("url", "next_url").join(doc.select(F.col("url").alias("next_url")), "next_url", "left_semi")
+    links = checkpointed(links)
+    before = links.groupBy(F.col("next_url").alias("url")).agg(F.count("*").alias("n_"), F.min("url").alias("before_"))
+    nodes = doc.select("url").join(before, "url", "left").join(starts.withColumn("start_", F.lit(True)), "url", "left")
+    head = F.coalesce(F.col("n_") != 1, F.lit(True)) | F.coalesce("start_", F.lit(False)) | (F.pmod(F.xxhash64("url"), F.lit(every)) == 0)
+    known = checkpointed(nodes.select("url", F.when(head, F.col("url")).otherwise(F.col("before_")).alias("to"), F.when(head, 0).otherwise(1).cast("bigint").alias("behind"), head.alias("done")))
+    left = None
+    while True:
+        open_ = known.where("NOT done")
+        now = open_.count()
+        if now in (0, left):  # as many as before: what is left never meets a head
+            break
+        left = now
+        on = known.select(F.col("url").alias("to"), F.col("to").alias("further"), F.col("behind").alias("more_"), F.col("done").alias("ends_"))
+        moved = open_.join(on, "to").select("url", F.col("further").alias("to"), (F.col("behind") + F.col("more_")).alias("behind"), F.col("ends_").alias("done"))
+        known = checkpointed(known.where("done").unionByName(moved))
+    segments = checkpointed(known.where("done").select("url", F.col("to").alias("head"), "behind").join(doc, "url"))
+    last = segments.groupBy("head").agg(F.max_by("url", "behind").alias("url"), (F.max("behind") + 1).alias("len"))
+    hops = checkpointed(last.join(links, "url").select("head", F.col("next_url").alias("far"), "len"))
+    return segments, hops
+
+
 def batch_urls(urls: DataFrame, pages: DataFrame, extract: str | None = None) -> DataFrame:
     """(line_no, url, texts, title, error): one row per requested URL, duplicates included.
 

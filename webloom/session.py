@@ -56,6 +56,30 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def bucketed(df: DataFrame, key: str, buckets: int | None = None, name: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder in buckets of ``key``, and the table's name; with ``name`` the rows are added to that table.
+
+    Joins and aggregates on ``key`` with as many shuffle partitions as there are buckets (spark.sql.shuffle.partitions by default) read it
+    where it lies, without an exchange.  The caller forgets the name when it is done; files stay for the frames that read them.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    fresh = name is None
+    name = name or f"webloom_{uuid.uuid4().hex}"
+    writer = df.repartition(buckets, key).write.format("parquet").bucketBy(buckets, key).sortBy(key)
+    if fresh:
+        writer.option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name)
+    else:
+        writer.mode("append").saveAsTable(name)
+    return spark.table(name), name
+
+
+def forget(spark: SparkSession, *names: str) -> None:
+    """Takes the names of ``bucketed`` tables out of the catalog; their files lie outside it."""
+    for name in names:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def checkpointed(df: DataFrame, codec: str | None = None) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
