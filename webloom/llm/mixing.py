@@ -65,12 +65,12 @@ def source_targets(stored: DataFrame, weights: tuple[int, ...], most: int) -> Da
     per = stored.groupBy("source").agg(F.sum("size").alias("source_size"))
     ranked = numbered(per, [F.col("source").asc_nulls_last()], "source_no")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights)).cast("int") + 1)
-    ranked = written(ranked.withColumn("weight", weight))
-    items = ranked.select(F.lit(0).alias("all_"), (F.col("source_size") * float(most)).alias("cap"), F.col("weight").alias("mass"), F.lit(1).alias("many_"))
-    totals = ranked.groupBy(F.lit(0).alias("all_")).agg(F.sum("source_size").cast("double").alias("total"))
+    ranked = written(ranked.withColumn("weight", weight).withColumn("all_", F.lit(0)))
+    items = ranked.select("all_", (F.col("source_size") * float(most)).alias("cap"), F.col("weight").alias("mass"), F.lit(1).alias("many_"))
+    totals = ranked.groupBy("all_").agg(F.sum("source_size").cast("double").alias("total"))
     level = levels(items, totals, "all_")
     target = F.least(F.col("source_size") * float(most), F.col("level") * F.col("weight"))
-    return written(ranked.join(level, F.lit(0) == F.col("all_")).select("source_no", "source", "source_size", target.alias("target")))
+    return written(ranked.join(level, "all_").select("source_no", "source", "source_size", target.alias("target")))
 
 
 def _picked(classes: DataFrame) -> DataFrame:
