@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators.extract import link_targets
+from webloom.plans import fixtures as fx
 from webloom.plans.fixtures import EPOCH
 from webloom.plans.log_queries import EV, GAP
-from webloom.plans.page_queries import DECODE, HREF, LINKS, ORIGIN
+from webloom.plans.page_queries import DECODE, HREF, LINKS, ORIGIN, pages
 from webloom.plans.registry import ORACLES, query
-from webloom.sources.readers import page_stream
+from webloom.session import shared_folder
+from webloom.sources.readers import PAGE_SCHEMA, page_stream
 from webloom.streaming import jobs
+from webloom.streaming.kv_store import kv_live, live_keys, with_map_state
 
 EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
@@ -60,5 +65,43 @@ def stream_record_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_extract_links", f"""
 WITH {LINKS} SELECT page_id, {ORIGIN} || {DECODE.format(HREF)} AS href FROM links""")
 def stream_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = jobs.first_seen(page_stream(spark, sf_dir, "pages.parquet"))
-    return jobs.replay(spark, pages, extract=link_targets).select("page_id", "href")
+    return jobs.extract_new(spark, page_stream(spark, sf_dir, "pages.parquet"), link_targets).select("page_id", "href")
+
+
+@query("stream_new_pages", """
+SELECT page_id, coalesce(nullif(regexp_extract(html, '<h1>([^<]*)</h1>', 1), ''), '') AS h1 FROM pages""")
+def stream_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that come again in later files, with other ids and contents, are not taken again."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    stored = pages(spark, sf_dir)
+    again = stored.select((F.col("page_id") + 1_000_000).alias("page_id"), "url", F.concat(F.lit("<h1>again</h1>"), "html").alias("html"))
+    for part in (stored.where("page_id % 2 = 0"), again.where("page_id % 2 = 0"), stored.where("page_id % 2 = 1"), again):
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(PAGE_SCHEMA).option("maxFilesPerTrigger", 1).parquet(folder)
+    first_heading = lambda p: p.select("page_id", F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("h1"))
+    return jobs.extract_new(spark, stream, first_heading)
+
+
+def _kv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operations in four files, one a micro-batch, so that clears meet keys that are state already."""
+    folder = f"{shared_folder(spark)}/ops-{uuid.uuid4().hex}"
+    ops = fx.kv_ops(spark, sf_dir).select("store", "seq", "op", "key", "value")
+    for part in range(4):
+        ops.where(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+@query("stream_kv_live", ORACLES["kv_fold"])
+def stream_kv_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with with_map_state(spark):
+        out = jobs.replay(spark, kv_live(_kv_stream(spark, sf_dir)), "update", ["store", "key"])
+    return out.where("NOT gone").select("store", "key", "value")
+
+
+@query("stream_kv_state_size", f"SELECT store, count(*) AS n FROM ({ORACLES['kv_fold']}) GROUP BY store")
+def stream_kv_state_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys in the state of the stream, which are the live ones: those of cleared stores have been freed."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    with with_map_state(spark):
+        jobs.start(kv_live(_kv_stream(spark, sf_dir)), folder, "update", once=True).awaitTermination()
+        return live_keys(spark, folder).groupBy("store").agg(F.count("*").alias("n"))

@@ -57,6 +57,48 @@ def first_seen(pages: DataFrame, late: str | None = None, ts: str = "ts") -> Dat
     return pages.withWatermark(ts, late).dropDuplicatesWithinWatermark(["url"])
 
 
+def first_seen_keys(pages: DataFrame, late: str = "30 days") -> DataFrame:
+    """(url, page_id, path): pages of a file stream whose URL has not come before, without what they hold.
+
+    ``path`` is the file that holds the page.  URLs are remembered for ``late`` after their file was written, so the state is bounded; a URL
+    that comes again later is new.
+    """
+    keys = pages.select("url", "page_id", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_modification_time").alias("arrived"))
+    return keys.withWatermark("arrived", late).dropDuplicatesWithinWatermark(["url"]).drop("arrived")
+
+
+def of_keys(pages: DataFrame, keys: DataFrame, extract: Callable[[DataFrame], DataFrame], few: int = 100_000) -> DataFrame:
+    """Rows of ``extract`` for the pages that ``keys`` (page_id, url) names; no page crosses the network.
+
+    Up to ``few`` keys go to every task, which then parses their pages only.  More of them meet the extracted rows instead, which carry page_id:
+    all pages are parsed where they lie, and only results move.
+    """
+    if keys.count() <= few:
+        return extract(pages.join(F.broadcast(keys), ["page_id", "url"], "left_semi"))
+    return extract(pages).join(keys.select("page_id"), "page_id", "left_semi")
+
+
+def extract_new(
+    spark: SparkSession, pages: DataFrame, extract: Callable[[DataFrame], DataFrame], folder: str | None = None, late: str = "30 days", few: int = 100_000
+) -> DataFrame:
+    """Rows of ``extract`` for the first page of every URL in a file stream that has arrived, as a table.
+
+    Which pages are new is decided on keys; their HTML is read from their files once that is known.
+    """
+    folder = folder or f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def rows(keys: DataFrame) -> DataFrame:
+        found = keys.persist()
+        # files of one micro-batch
+        paths = [r["path"] for r in found.select("path").distinct().collect()]
+        stored = spark.read.schema(pages.schema)
+        source = stored.parquet(*paths) if paths else spark.createDataFrame([], pages.schema)
+        return of_keys(source, found.select("page_id", "url"), extract, few)
+
+    start(first_seen_keys(pages, late), folder, "append", rows, once=True).awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").drop("batch")
+
+
 def start(
     stream: DataFrame, folder: str, mode: str = "append", extract: Callable[[DataFrame], DataFrame] | None = None, once: bool = False
 ) -> StreamingQuery:
