@@ -63,16 +63,18 @@ def url_join(base: str, given: str) -> str:
         "CASE WHEN startswith(r.p, '/') THEN r.p "
         "ELSE concat(IF(b.p = '', '/', regexp_replace(b.p, '[^/]*$', '')), r.p) END"
     )
+    # a reference with the scheme of the base gets it in lower case, one with another scheme stays as it is
+    own = f"IF(lower(r.s) = lower(b.s), concat(lower(r.s), substr({ref}, length(r.s) + 1)), {ref})"
     full = let(
         "b",
         _parts(base),
         let(
             "r",
             _parts(ref),
-            f"CASE WHEN r.s = '' AND b.s <> '' AND NOT {in_list('lower(b.s)', RELATIVE_SCHEMES)} THEN {ref} WHEN r.s <> '' AND (lower(r.s) <> lower(b.s) OR r.slashes <> '') THEN " + ref
-            + " WHEN r.slashes <> '' AND r.a <> '' THEN concat(b.s, ':', " + ref + ")"
-            + f" WHEN r.p = '' THEN concat(b.s, ':', b.slashes, b.p, IF({query} <> '', {query}, {base_query}), {fragment})"
-            + f" ELSE concat(b.s, ':', b.slashes, {_without_dots(merged, "startswith(r.p, '/')")}, {query}, {fragment}) END",
+            f"CASE WHEN r.s = '' AND b.s <> '' AND NOT {in_list('lower(b.s)', RELATIVE_SCHEMES)} THEN {ref} WHEN r.s <> '' AND (lower(r.s) <> lower(b.s) OR r.slashes <> '') THEN {own}"
+            + " WHEN r.slashes <> '' AND r.a <> '' THEN concat(lower(b.s), ':', " + ref + ")"
+            + f" WHEN r.p = '' THEN concat(lower(b.s), ':', b.slashes, b.p, IF({query} <> '', {query}, {base_query}), {fragment})"
+            + f" ELSE concat(lower(b.s), ':', b.slashes, {_without_dots(merged, "startswith(r.p, '/')")}, {query}, {fragment}) END",
         ),
     )
     plain = f"{origin(base)} <> '' AND {ref} RLIKE {lit('^/[^/]')} AND NOT contains({ref}, '/.') AND NOT contains({ref}, '//') AND NOT {ref} RLIKE {lit('[?#]$')}"

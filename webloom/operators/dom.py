@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.functions import html as H
@@ -73,6 +73,20 @@ def select(doc: DataFrame, selector: str, columns: dict[str, str] | None = None,
     return rows_of(doc, f"transform({found}, x -> {struct})", *keep)
 
 
+def limit(rows: DataFrame, n: int, order: str = "pos", by: str = "page_id") -> DataFrame:
+    """The first ``n`` rows of every page in ``order``, all of them for 0; for the rows of any operator.
+
+    The rank is cut off in front of the exchange as well, so no page sends more than ``n`` rows from a task.  Rows equal in ``order`` are taken in any order.
+    ``select`` has a limit of its own, which costs no exchange.
+    """
+    if n < 0:
+        raise ValueError("a limit is 0 or more")
+    if not n:
+        return rows
+    ranked = rows.withColumn("rank_in_page_", F.row_number().over(Window.partitionBy(by).orderBy(order)))
+    return ranked.where(F.col("rank_in_page_") <= n).drop("rank_in_page_")
+
+
 def text(x: str = "x") -> str:
     return js_trim(H.text_content(x))
 

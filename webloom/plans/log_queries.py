@@ -104,6 +104,35 @@ def web_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.web_vitals(fx.timings(spark, sf_dir))
 
 
+def _host_vitals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vitals with the host, one of which has a third of them, and the hour of a navigation."""
+    out = audit.web_vitals(fx.timings(spark, sf_dir)).withColumn("event_id", F.regexp_extract("page_url", r"/e/(\d+)$", 1).cast("bigint"))
+    return out.selectExpr("IF(event_id % 3 = 0, 'hot', concat('h', event_id % 40)) AS host", "event_id DIV 1000 AS hour", *audit.VITALS)
+
+
+@query("vitals_p75", """
+WITH v AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'h' || event_id % 40 END AS host, value AS lcp, CAST(floor(value) AS BIGINT) * 10 AS ttfb FROM events),
+ m AS (SELECT host, 'ttfb' AS metric, CAST(ttfb AS DOUBLE) AS value FROM v)
+SELECT host, metric, count(*) AS n, true AS within_bound FROM m GROUP BY host, metric""")
+def vitals_p75(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p75 per host from sketches per host and hour; held against the exact ranks of the value, one hundredth off at most."""
+    rows = _host_vitals(spark, sf_dir)
+    hourly = audit.vitals_sketches(rows, ["host", "hour"], metrics=["ttfb"])
+    found = audit.vitals_quantile(audit.merged_sketches(hourly, ["host"]))
+    ranks = rows.where("ttfb IS NOT NULL").join(found.select("host", "value"), "host").groupBy("host").agg(
+        (F.count_if(F.col("ttfb") < F.col("value")) / F.count("*")).alias("below"), (F.count_if(F.col("ttfb") <= F.col("value")) / F.count("*")).alias("upto")
+    )
+    return found.join(ranks, "host").select("host", "metric", "n", ((F.col("below") <= 0.76) & (F.col("upto") >= 0.74)).alias("within_bound"))
+
+
+@query("vitals_p75_by_hour", """
+WITH v AS (SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'h' || event_id % 40 END AS host, event_id // 1000 AS hour, CAST(200 + CAST(floor(value) AS BIGINT) * 50 AS DOUBLE) AS value FROM events)
+SELECT host, hour, 'load_complete' AS metric, count(*) AS n, list_sort(list(value))[CAST(ceil(0.75 * count(*)) AS BIGINT)] AS value FROM v GROUP BY host, hour""")
+def vitals_p75_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of fewer values than the sketch holds are exact."""
+    return audit.vitals_quantile(audit.vitals_sketches(_host_vitals(spark, sf_dir), ["host", "hour"], metrics=["load_complete"]))
+
+
 @query("resource_summary", """
 SELECT 'https://app.example.com/u/' || user_id AS page_url, CASE event_type WHEN 'click' THEN 'fetch' WHEN 'view' THEN 'img' WHEN 'error' THEN 'other' ELSE 'script' END AS initiator_type,
   count(*) AS n, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS bytes FROM events GROUP BY 1, 2""")

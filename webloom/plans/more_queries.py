@@ -12,7 +12,7 @@ from webloom.operators import aria, audit, content, state, tables
 from webloom.plans import fixtures as fx
 from webloom.plans.page_queries import pages
 from webloom.plans.registry import query, table
-from webloom.session import shared_folder
+from webloom.session import checkpointed, shared_folder
 from webloom.sources import readers, sinks
 
 
@@ -97,6 +97,20 @@ def url_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.url_list(spark, folder).groupBy("url").agg(F.count("*").alias("n"))
 
 
+@query("url_list_order", "SELECT url, 2 * row_number() OVER (ORDER BY page_id) - 1 AS line_no FROM pages")
+def url_list_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of one file, a blank one before each URL, keep their places over many splits of it."""
+    folder = _folder(spark)
+    lines = pages(spark, sf_dir).select("page_id", "url").coalesce(1).sortWithinPartitions("page_id")
+    lines.select(F.explode(F.array(F.lit("  "), "url")).alias("line")).write.text(folder)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        return checkpointed(readers.url_list(spark, folder))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 @query("sink_json", "SELECT c_custkey, c_name, c_acctbal FROM customer")
 def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)

@@ -526,6 +526,12 @@ def limit_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dom.select(dom.dom(pages(spark, sf_dir), ["a"]), "a", {"href": dom.attr("href")}, limit=2).select("page_id", "href")
 
 
+@query("limit_rows", f"""
+WITH {LINKS} SELECT page_id, {DECODE.format(HREF)} AS href FROM links WHERE n < 3""")
+def limit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dom.limit(extract.extract_links(pages(spark, sf_dir)), 3).select("page_id", "href")
+
+
 @query("document_order", f"""
 WITH {TOKS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ordinal, {TAG} AS tag FROM toks WHERE regexp_matches(tok, '^<(?:li|h1|p)>')""")
 def document_order(spark: SparkSession, sf_dir: str) -> DataFrame:

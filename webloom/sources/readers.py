@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.functions.sqltext import lit
+from webloom.operators.ordinals import with_offsets
 from webloom.session import checkpointed
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
@@ -31,9 +32,19 @@ def page_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet") ->
 
 
 def url_list(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, url): trimmed, blank lines dropped, duplicates kept; line_no only tells rows apart."""
-    lines = spark.read.text(path).select(F.trim("value").alias("url")).where("url <> ''")
-    return lines.select(F.monotonically_increasing_id().alias("line_no"), "url")
+    """(line_no, url): trimmed, blank lines dropped, duplicates kept; line_no is the line's place from 0, files in order of their names.
+
+    A split of a file counts its lines, and the lines before it are added from one number per split; no line moves.
+    """
+    piece = ["_metadata.file_path", "_metadata.file_block_start"]
+    lines = spark.read.text(path).select(F.trim("value").alias("url"), *[F.col(c).alias(c.split(".")[1]) for c in piece], F.monotonically_increasing_id().alias("place_"))
+    keys = ["file_path", "file_block_start"]
+    # the places of a split's lines follow on from its first one
+    sizes = lines.groupBy(*keys).agg(F.min("place_").alias("first_"), F.count("*").alias("n_"))
+    firsts = {(r[0], r[1]): r[2] for r in sizes.select(*keys, "first_").collect()}
+    starts = spark.createDataFrame([(*k, v) for k, v in firsts.items()], "file_path STRING, file_block_start BIGINT, first_ BIGINT")
+    placed = with_offsets(lines.join(F.broadcast(starts), keys), sizes, keys, "n_")
+    return placed.where("url <> ''").select((F.col("offset_") + F.col("place_") - F.col("first_")).alias("line_no"), "url")
 
 
 def request_log(df: DataFrame) -> DataFrame:
