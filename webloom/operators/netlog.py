@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.functions.sqltext import lit
 from webloom.functions.urls import glob_match, glob_regex
+from webloom.operators.ordinals import numbered
 from webloom.operators.skew import next_value, previous_value, running_max, salted_join
 
 MERGE_LAST = "map_from_entries(transform(array_distinct(concat(map_keys({a}), map_keys({b}))), k -> struct(k AS key, coalesce({b}[k], {a}[k]) AS value)))"
@@ -104,6 +105,13 @@ def merged_actions(server: DataFrame, browser: DataFrame) -> DataFrame:
     return merged.orderBy(F.coalesce("ts", F.lit(0)), "source", "seq")
 
 
+def numbered_actions(server: DataFrame, browser: DataFrame) -> DataFrame:
+    """The merged actions with ``action_no``, their place from 0; counted per range of the order, no task sees all of them."""
+    merged = server.withColumn("source", F.lit(0)).unionByName(browser.withColumn("source", F.lit(1)), allowMissingColumns=True)
+    ordered = merged.withColumn("at_", F.coalesce("ts", F.lit(0)))
+    return numbered(ordered, ["at_", "source", "seq"], "action_no").drop("at_")
+
+
 def replay_delays(actions: DataFrame, speed: float = 1.0) -> DataFrame:
     """Actions (session_id, bucket, ts in ms, seq, …) with the pause before each in seconds; 0 when time does not advance."""
     out = previous_value(actions, ["session_id"], "bucket", ["ts", "seq"], "ts", "previous_ts")

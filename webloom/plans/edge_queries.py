@@ -172,6 +172,27 @@ def har_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.groupBy((F.col("customer") % 7).cast("bigint").alias("page_no")).agg(F.count("*").alias("entries"), F.min("url").alias("first_url"), F.max("url").alias("last_url"))
 
 
+@query("har_round_trip", """
+WITH e AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE 'u' || user_id END AS session, 'https://api.example.com/' || event_type || '/' || event_id AS url, props, value, user_id, event_type FROM events)
+SELECT session, CASE WHEN session = 'hot' AND (SELECT count(*) FROM e WHERE session = 'hot') > 500 THEN event_id // 500 ELSE 0 END AS part,
+  row_number() OVER (PARTITION BY session, CASE WHEN session = 'hot' AND (SELECT count(*) FROM e WHERE session = 'hot') > 500 THEN event_id // 500 ELSE 0 END ORDER BY event_id) - 1 AS entry_no,
+  url, CASE WHEN event_type = 'purchase' THEN 'POST' ELSE 'GET' END AS method, CAST(user_id AS VARCHAR) AS user, props AS post_data, value AS ts,
+  CASE WHEN event_type <> 'view' THEN 200 + event_id % 5 END AS status, CASE WHEN event_type <> 'view' THEN 'OK "' || event_id || '"' END AS status_text,
+  CASE WHEN event_type <> 'view' THEN props END AS etag FROM e""")
+def har_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entry with its place, headers, body and response; the session with a third of all entries is cut into parts."""
+    answered = "event_type <> 'view'"
+    sent = table(spark, sf_dir, "events").selectExpr(
+        "event_id AS seq", "IF(event_id % 3 = 0, 'hot', concat('u', user_id)) AS session", "concat('https://api.example.com/', event_type, '/', event_id) AS url",
+        "IF(event_type = 'purchase', 'POST', 'GET') AS method", "map('x-user', CAST(user_id AS STRING), 'a', 'b') AS headers", "props AS post_data", "value AS ts",
+        f"IF({answered}, CAST(200 + event_id % 5 AS INT), NULL) AS status", f"IF({answered}, concat('OK \"', event_id, '\"'), NULL) AS status_text",
+        f"IF({answered}, map('etag', props), NULL) AS response_headers",
+    )
+    out = readers.har_entries(readers.har_documents(sent, "session", most=500))
+    entry = F.col("entry_no").cast("bigint").alias("entry_no")
+    return out.select("session", "part", entry, "url", "method", F.expr("headers['x-user']").alias("user"), "post_data", "ts", "status", "status_text", F.expr("response_headers['etag']").alias("etag"))
+
+
 MIXED = """WITH m AS (SELECT p_partkey AS page_id, p_partkey % 5 <> 0 AS is_https, 1 + CAST(p_partkey % 4 = 0 AS BIGINT) AS n FROM part)"""
 
 

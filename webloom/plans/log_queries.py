@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.operators import audit, netlog, state
+from webloom.operators import audit, netlog, rules, state
 from webloom.plans import fixtures as fx
 from webloom.plans.registry import query, table
 from webloom.sources import readers
@@ -47,6 +47,44 @@ def har_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("seq", "status", "status_text")
 
 
+_RULES = """
+ r AS (SELECT CAST(p_partkey AS BIGINT) AS rule_no, CASE p_partkey % 6 WHEN 0 THEN 'https://api.example.com/*/' || p_partkey WHEN 1 THEN '*/error/' || p_partkey % 97
+   WHEN 2 THEN 'https://api.example.com/click/' || p_partkey || '?' WHEN 3 THEN '*.example.com/[vp]*/' || p_partkey % 50 || '[0-4]' WHEN 4 THEN 'http://other.example.org/' || p_partkey || '*'
+   ELSE 'https://*.example.com/[!ce]*/' || p_partkey END AS pattern FROM part)"""
+
+
+def _url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rule per part: by start, by end, with single characters and classes."""
+    pattern = (
+        "CASE p_partkey % 6 WHEN 0 THEN concat('https://api.example.com/*/', p_partkey) WHEN 1 THEN concat('*/error/', p_partkey % 97) WHEN 2 THEN concat('https://api.example.com/click/', p_partkey, '?') "
+        "WHEN 3 THEN concat('*.example.com/[vp]*/', p_partkey % 50, '[0-4]') WHEN 4 THEN concat('http://other.example.org/', p_partkey, '*') ELSE concat('https://*.example.com/[!ce]*/', p_partkey) END"
+    )
+    return table(spark, sf_dir, "part").selectExpr("CAST(p_partkey AS BIGINT) AS rule_no", f"{pattern} AS pattern")
+
+
+@query("rule_matches", f"""
+WITH {_RULES}, u AS (SELECT DISTINCT 'https://api.example.com/' || event_type || '/' || user_id AS url FROM events),
+ m AS (SELECT u.url, rule_no FROM u JOIN r ON u.url GLOB r.pattern)
+SELECT rule_no, count(*) AS n FROM events e JOIN m ON m.url = 'https://api.example.com/' || e.event_type || '/' || e.user_id GROUP BY rule_no""")
+def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.matched_rules(fx.requests(spark, sf_dir), _url_rules(spark, sf_dir)).groupBy("rule_no").agg(F.count("*").alias("n"))
+
+
+@query("first_rules", f"""
+WITH {_RULES}, u AS (SELECT DISTINCT 'https://api.example.com/' || event_type || '/' || user_id AS url FROM events),
+ m AS (SELECT u.url, min(rule_no) AS rule_no FROM u JOIN r ON u.url GLOB r.pattern GROUP BY 1)
+SELECT e.event_id AS seq, rule_no FROM events e LEFT JOIN m ON m.url = 'https://api.example.com/' || e.event_type || '/' || e.user_id""")
+def first_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.first_rule(fx.requests(spark, sf_dir), _url_rules(spark, sf_dir)).select("seq", "rule_no")
+
+
+@query("action_numbers", """
+SELECT event_id AS seq, row_number() OVER (ORDER BY coalesce(CASE WHEN event_id % 7 <> 0 THEN value END, 0), event_id % 2, event_id) - 1 AS action_no FROM events""")
+def action_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    logs = table(spark, sf_dir, "events").selectExpr("event_id AS seq", "IF(event_id % 7 <> 0, value, NULL) AS ts")
+    return netlog.numbered_actions(logs.where("seq % 2 = 0"), logs.where("seq % 2 = 1")).select("seq", "action_no")
+
+
 @query("har_entries", """
 SELECT event_id AS doc, 0 AS entry_no, 'https://api.example.com/' || event_type || '/' || user_id AS url, 'GET' AS method, props AS post_data, value AS ts, 200 AS status FROM events
 UNION ALL SELECT event_id, 1, 'https://api.example.com/' || user_id, 'POST', NULL, NULL, NULL FROM events""")

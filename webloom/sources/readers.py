@@ -79,9 +79,9 @@ def har_documents(requests: DataFrame, key: str | None = None, name: str = "webl
     if "status" in given:
         fields.append(F.when(F.col("status").isNotNull(), response).alias("response"))
     keyed = requests.withColumn("key_", F.lit(None).cast("string") if key is None else F.col(key))
-    # one row per ``most`` rows of the table at most
+    # written, so that the planner knows how many there are: sent to every task if few, met by key if not
     large = keyed.groupBy("key_").agg(F.count("*").alias("n_")).where(F.col("n_") > most).select(F.col("key_").alias("large_"), F.lit(True).alias("is_large_"))
-    split = keyed.join(F.broadcast(large), F.col("key_").eqNullSafe(F.col("large_")), "left")
+    split = keyed.join(checkpointed(large), F.col("key_").eqNullSafe(F.col("large_")), "left")
     split = split.withColumn("part", F.expr(f"IF(is_large_, (seq - pmod(seq, {most}L)) DIV {most}L, 0L)"))
     entries = split.groupBy("key_", "part").agg(F.array_sort(F.collect_list(F.struct("seq", F.struct(*fields).alias("e"))), lambda a, b: F.when(a["seq"] < b["seq"], -1).when(a["seq"] > b["seq"], 1).otherwise(0)).alias("s"))
     log = F.struct(F.lit(version).alias("version"), F.struct(F.lit(name).alias("name"), F.lit("1.0").alias("version")).alias("creator"), F.transform("s", lambda x: x["e"]).alias("entries"))
