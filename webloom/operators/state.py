@@ -7,6 +7,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udtf
 
 from webloom.functions.sqltext import lit
 from webloom.operators.skew import hot_keys, salted_join
@@ -139,3 +140,13 @@ def eval_expr(df: DataFrame, *expressions: str) -> DataFrame:
 def map_pages(pages: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """Any per-batch pandas function over pages; the slow path, for what the operators cannot say."""
     return pages.mapInPandas(lambda batches: (fn(b) for b in batches), schema)
+
+
+def per_group(df: DataFrame, handler: type, schema: str, by: list[str], order: list[str]) -> DataFrame:
+    """Rows that a user's class makes of every group of ``df``, the rows of a group in order; for what no aggregate or window says.
+
+    ``handler`` is a table function over Arrow: one object per group, ``eval`` gets its rows as record batches one after the other, ``terminate``
+    ends it, both yield Arrow tables with the columns of ``schema``.  A group streams through one task and is never held as a whole, so
+    its size costs time, not memory.
+    """
+    return arrow_udtf(handler, returnType=schema)(df.asTable().partitionBy(*by).orderBy(*order))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +88,36 @@ def action_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return netlog.numbered_actions(logs.where("seq % 2 = 0"), logs.where("seq % 2 = 1")).select("seq", "action_no")
 
 
+class _Streaks:
+    """Per user the longest run of one kind of event and when it began."""
+
+    def __init__(self) -> None:
+        self.user, self.kind, self.length, self.start, self.best = None, None, 0, None, (0, None, None)
+
+    def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        for user, kind, event in zip(*[batch.column(c).to_pylist() for c in ("user_id", "event_type", "event_id")], strict=True):
+            if kind != self.kind:
+                self.kind, self.length, self.start = kind, 0, event
+            self.length += 1
+            self.user = user
+            if self.length > self.best[0]:
+                self.best = (self.length, self.kind, self.start)
+        return iter(())
+
+    def terminate(self) -> Iterator[pa.Table]:
+        length, kind, start = self.best
+        yield pa.table({"user_id": pa.array([self.user], pa.int64()), "length": pa.array([length], pa.int64()), "kind": pa.array([kind], pa.string()), "start": pa.array([start], pa.int64())})
+
+
+@query("event_streaks", """
+WITH n AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS island FROM events),
+ r AS (SELECT user_id, event_type AS kind, min(event_id) AS start, count(*) AS length FROM n GROUP BY user_id, event_type, island)
+SELECT user_id, length, kind, start FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) = 1""")
+def event_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    return state.per_group(events, _Streaks, "user_id BIGINT, length BIGINT, kind STRING, start BIGINT", ["user_id"], ["event_id"])
+
+
 @query("har_entries", """
 SELECT event_id AS doc, 0 AS entry_no, 'https://api.example.com/' || event_type || '/' || user_id AS url, 'GET' AS method, props AS post_data, value AS ts, 200 AS status FROM events
 UNION ALL SELECT event_id, 1, 'https://api.example.com/' || user_id, 'POST', NULL, NULL, NULL FROM events""")
