@@ -114,7 +114,8 @@ def test_mix_of_many_bins_and_reruns(spark):
     words = Counter()
     for r in first:
         words[r["source"], r["target"]] += r["taken"]
-    assert all(abs(taken - target) <= 1 for (_, target), taken in words.items())
+    # as near as the documents of the deciding bins allow
+    assert all(abs(taken - target) <= 3 for (_, target), taken in words.items())
     # an equal share of documents of every size
     for low in range(1, 97, 24):
         part = [r for r in first if r["source"] == "hot" and low <= r["size"] < low + 24]

@@ -5,7 +5,7 @@ Every document has an expected number of copies: the share of its source, dealt
 random odds divided by inclusion odds; the ranking is taken from the front until the source's words are reached.
 
 Hot sources: a source is never sorted or gathered.  The rank is cut into bins of about a thousand documents, whole bins are decided by
-their sums, and only the bin in which the target falls is looked at document by document.
+their sums, and only the bin in which the target falls and the one behind it are looked at document by document.
 """
 
 from __future__ import annotations
@@ -123,11 +123,13 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     place = F.least(F.floor(F.col("q") / (1 + F.col("q")) * F.col("bins")), F.col("bins") - 1)
     binned = drawn.join(state, "source_no").withColumn("bin", place)
     sums = binned.groupBy("source_no", "bin").agg(F.sum("size").alias("in_bin"), F.first("words").alias("words"))
-    running = F.sum("in_bin").over(Window.partitionBy("source_no").orderBy("bin"))
-    # the bin in which the words are reached: all before it are taken whole, none behind it
-    cut = sums.withColumn("upto", running).where("upto > words").groupBy("source_no").agg(F.min(F.struct("bin", (F.col("words") - F.col("upto") + F.col("in_bin")).alias("gap"))).alias("m"))
-    cut = written(cut.select("source_no", F.col("m.bin").alias("cut"), F.greatest("m.gap", F.lit(0.0)).alias("gap")))
-    inside = binned.join(cut, "source_no").where("bin = cut")
+    along = Window.partitionBy("source_no").orderBy("bin")
+    # the bin in which the words are reached: all before it are taken whole, it and the next one fill up, none behind them comes
+    cut = sums.withColumn("upto", F.sum("in_bin").over(along)).withColumn("behind", F.lead("bin").over(along)).where("upto > words")
+    cut = cut.groupBy("source_no").agg(F.min(F.struct("bin", (F.col("words") - F.col("upto") + F.col("in_bin")).alias("gap"), "behind")).alias("m"))
+    cut = written(cut.select("source_no", F.col("m.bin").alias("cut"), F.greatest("m.gap", F.lit(0.0)).alias("gap"), F.coalesce("m.behind", "m.bin").alias("behind")))
+    deciding = (F.col("bin") == F.col("cut")) | (F.col("bin") == F.col("behind"))
+    inside = binned.join(cut, "source_no").where(deciding)
     picks = written(_picked(inside.groupBy("source_no", "q", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))))
     # equal documents of which some are taken: the first of them in any order
     split = picks.where("k > 0 AND k < n").select("source_no", "q", "size")
@@ -139,7 +141,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     out = shared.join(state.drop("words"), "source_no").join(cut.drop("gap"), "source_no", "left").withColumn("bin", place)
     before = F.col("cut").isNull() | (F.col("bin") < F.col("cut"))
     kept = [*out.columns, F.when(F.col("q").isNotNull() & before, 1).otherwise(0).alias("extra")]
-    at_cut = (F.col("q").isNotNull() & (F.col("bin") == F.col("cut"))).eqNullSafe(True)
+    at_cut = (F.col("q").isNotNull() & deciding).eqNullSafe(True)
     chosen = out.where(at_cut).join(picks, ["source_no", "q", "size"]).join(none, "row_", "left")
     chosen = chosen.withColumn("extra", (F.coalesce("among", F.lit(0)) < F.col("k")).cast("int"))
     done = out.where(~at_cut).select(*kept).unionByName(chosen.select(*out.columns, "extra"))
