@@ -13,7 +13,7 @@ from webloom.plans import fixtures as fx
 from webloom.plans.page_queries import pages
 from webloom.plans.registry import query, table
 from webloom.session import checkpointed, shared_folder
-from webloom.sources import readers, sinks
+from webloom.sources import documents_sink, readers, sinks
 
 
 def _folder(spark: SparkSession) -> str:
@@ -148,6 +148,18 @@ def sink_crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("file", "title", "depth")
 
 
+@query("sink_named_documents", """
+SELECT 'c_' || c_custkey || CASE WHEN c_custkey % 3 = 0 THEN ' ä+%' ELSE '' END AS file, '<h1>' || c_name || '</h1>' || chr(10) || c_mktsegment AS content FROM customer""")
+def sink_named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file per customer, written twice; the second job takes the place of the first."""
+    folder = _folder(spark)
+    name = "concat('c_', c_custkey, IF(c_custkey % 3 = 0, ' ä+%', ''))"
+    rows = table(spark, sf_dir, "customer").selectExpr(f"{name} AS file", "concat('<h1>', c_name, '</h1>\n', c_mktsegment) AS content")
+    documents_sink.write_named(rows.withColumn("content", F.lit("old")), folder)
+    documents_sink.write_named(rows, folder, overwrite=True)
+    return documents_sink.read_named(spark, folder)
+
+
 @query("sink_table_rows", """
 SELECT s_suppkey || ',name,balance' AS value FROM supplier UNION ALL SELECT s_suppkey || ',' || s_name || ',"1,' || s_nationkey || '"' FROM supplier""")
 def sink_table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
