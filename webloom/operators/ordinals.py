@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from webloom.session import checkpointed
@@ -14,14 +14,10 @@ def with_offsets(df: DataFrame, sizes: DataFrame, keys: list[str], size: str) ->
     """``df`` with ``offset_``: how many rows stand in the pieces before its own.
 
     ``sizes`` has a row per piece (``keys`` in their order, ``size``).  Pieces are partitions or file splits, so the list is as long as
-    the job has tasks; it is summed up by the driver and sent to every task.
+    the job has tasks; one task sums it up and every task gets it.
     """
-    total, out = 0, []
-    for row in sizes.select(*keys, size).orderBy(*keys).collect():
-        out.append((*row[:-1], total))
-        total += row[-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sizes.select(*keys).schema)
-    offsets = df.sparkSession.createDataFrame(out, f"{schema}, offset_ BIGINT")
+    before = F.sum(size).over(Window.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, F.coalesce(before, F.lit(0)).cast("bigint").alias("offset_"))
     return df.join(F.broadcast(offsets), keys)
 
 
