@@ -133,7 +133,7 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOS
     picks = written(_picked(inside.groupBy("source_no", "q", "size").agg(F.count("*").alias("n"), F.first("gap").alias("gap"))))
     # equal documents of which some are taken: the first of them in any order
     split = picks.where("k > 0 AND k < n").select("source_no", "q", "size")
-    none = shared.sparkSession.createDataFrame([], "row_ BIGINT, among BIGINT")
+    none = shared.where(F.lit(False)).select("row_", F.lit(0).cast("bigint").alias("among"))
     if not split.isEmpty():
         rows = numbered(drawn.join(split, ["source_no", "q", "size"], "left_semi").select("row_", "source_no", "q", "size"), ["source_no", "q", "size"], "at_")
         first = rows.groupBy("source_no", "q", "size").agg(F.min("at_").alias("first_"))
