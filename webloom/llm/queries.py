@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, mixing, prefix_intervals, skip_chain_crf, structure_repair, suffix_decontaminate, suffix_dedup, warc
 from webloom.llm.registry import query, table
+from webloom.llm.repair_sql import CRC, repair_sql
 
 
 def tokenizer_file() -> str:
@@ -150,11 +151,35 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op12_structure_repair")
+@query("op12_structure_repair", repair_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure_repair.report(table(spark, sf_dir, "conversations"))
 
 
-@query("op11_prefix_intervals")
+@query(
+    "op11_prefix_intervals",
+    """
+    WITH t AS (
+      SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS s, """
+    + CRC.format("CAST(conv_id AS VARCHAR)")
+    + """ % 6 AS h
+      FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id
+    ),
+    b AS (SELECT t.conv_id, list_concat(coalesce(a.s[1 : t.h], []), t.s[t.h + 1 :]) AS s FROM t LEFT JOIN t a ON a.conv_id = t.conv_id - t.conv_id % 100),
+    p AS (SELECT conv_id, s, len(s) AS n, unnest(range(0, CAST(len(s) AS BIGINT) + 1)) AS d FROM b),
+    m AS (
+      SELECT s[1 : d] AS prefix, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+      FROM p GROUP BY s[1 : d], d
+    ),
+    c AS (SELECT prefix[1 : d - 1] AS prefix, d - 1 AS d, count(*) AS n_children FROM m WHERE d > 0 GROUP BY 1, 2),
+    w AS (SELECT m.*, coalesce(n_children, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * length(prefix[-1].t) ELSE 0 END AS saved FROM m LEFT JOIN c USING (prefix, d)),
+    u AS (
+      SELECT prefix[1 : k] AS prefix, k AS d, CAST(sum(saved) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+      FROM (SELECT *, unnest(range(0, d + 1)) AS k FROM w) GROUP BY 1, 2
+    )
+    SELECT w.conv_id, w.d AS depth, o.conv_id AS parent_conv_id, w.n_convs, w.n_children, u.n_leaves, u.saved_tokens, w.ends_sha256
+    FROM w JOIN u ON u.prefix = w.prefix AND u.d = w.d LEFT JOIN m o ON w.d > 0 AND o.d = w.d - 1 AND o.prefix = w.prefix[1 : w.d - 1]
+    """,
+)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_intervals.report(table(spark, sf_dir, "conversations"))
