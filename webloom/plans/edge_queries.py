@@ -60,7 +60,7 @@ def edge_deep_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = dom.dom(_parts(spark, sf_dir, html))
     near = "get(els, " + nearest("x.i", enclosing(predicate("section", "a"))) + ")"
     found = dom.select(doc, "section p", {"text": dom.text(), "section_pos": f"{near}.s", "depth": "x.d"})
-    counts = {"under_section": dom.count_of("section > div p"), "under_id": dom.count_of("div [id^=s] div div p")}
+    counts = {"under_section": dom.count_of("div > section p"), "under_id": dom.count_of("[id^=s] p")}
     counted = doc.select("page_id", *[dom.doc_expr(e).alias(n) for n, e in counts.items()])
     return found.join(counted, "page_id").select("page_id", "text", "section_pos", "depth", "under_section", "under_id")
 
