@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_chunks, mixing, prefix_intervals, skip_chain_crf, structure_repair, suffix_decontaminate, suffix_dedup, warc
+from webloom.llm import ball_tree, best_fit, byte_cnn, jaccard_join, license_rules, license_scan, line_repeats, mixing, prefix_intervals, skip_chain_crf, structure_repair, suffix_decontaminate, suffix_dedup, warc
 from webloom.llm.registry import query, table
 from webloom.llm.repair_sql import CRC, repair_sql
 
@@ -131,7 +131,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_line_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_chunks.report(table(spark, sf_dir, "documents"))
+    return line_repeats.report(table(spark, sf_dir, "documents"))
 
 
 @query("op7_ngram_jaccard_join")
