@@ -126,18 +126,16 @@ def repeats(docs: DataFrame, window_words: int = WINDOW_WORDS, line_words: int =
     found = written(keyed.mapInArrow(partial(_found, window_words=window_words, line_words=line_words), unit), "zstd")
     twice = written(found.groupBy("h1", "h2").agg(F.count("*").alias("n_"), F.min(place).alias("first")).where("n_ > 1").drop("n_"))
     named = F.struct("low", "high", "h1", "h2", place.eqNullSafe(F.col("first")).alias("leads"))
-    candidates = written(found.join(twice, ["h1", "h2"]).groupBy("doc_id_", "key_").agg(F.collect_set(named).alias("units")), "zstd")
-    discard(found, twice)
+    candidates = found.join(twice, ["h1", "h2"]).groupBy("doc_id_", "key_").agg(F.collect_set(named).alias("units"))
     meet = F.col("doc_id").eqNullSafe(F.col("doc_id_")) & (keyed["key_"] == candidates["key_"])
     asked = keyed.join(candidates, meet).select("doc_id", "text", keyed["key_"], "units")
     bodies = written(asked.mapInArrow(partial(_bodies, window_words=window_words, line_words=line_words), unit + ", body binary"), "zstd")
-    discard(candidates)
+    discard(found, twice)
     groups = bodies.groupBy("h1", "h2").agg(F.count("*").alias("n_"), F.min("body").alias("least"), F.max("body").alias("most"), F.min(place).alias("first"))
     confirmed = written(groups.where("n_ > 1 AND least = most").select("h1", "h2", "first"))
     later = bodies.drop("body").join(confirmed, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    out = written(later.groupBy("doc_id_", "key_").agg(F.collect_set(F.struct("low", "high")).alias("units")))
-    discard(bodies, confirmed)
-    return out
+    # not written: the plan of the last join is then the same at every size
+    return later.groupBy("doc_id_", "key_").agg(F.collect_set(F.struct("low", "high")).alias("units"))
 
 
 def _with_repeats(docs: DataFrame, window_words: int, line_words: int) -> DataFrame:
