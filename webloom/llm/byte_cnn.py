@@ -4,9 +4,9 @@ A text is cut into windows of ``WINDOW`` bytes (the last one padded); bytes are
 them, each filter's largest value in the window is kept, and a linear layer with softmax gives the languages.  A text's
 logits are the mean over its windows, each weighted by its bytes, so every byte of every text is read.
 
-Training rows are labelled rows only.  Per language about ``TRAIN_ROWS`` of them are drawn by a hash of their id, at most
-``WINDOWS_PER_ROW`` windows spread over the text each, and at most ``MAX_LANGS`` languages, the most frequent ones: these bounds hold
-whatever the table size, so the driver trains on a few MB.
+Training rows are labelled rows only, of every language.  Per language about ``TRAIN_ROWS`` of them are drawn by a hash of id and text (equal
+rows count once) and at most ``WINDOWS_PER_ROW`` windows spread over the text each: these bounds hold whatever the table size, so the
+driver trains on a few hundred KB per language.
 
 Defined cases: text that is null or holds no letter is ``und`` with score 0; null labels and null ids are not learned from; a
 null id is not held out; with no labelled row at all every prediction is ``und``.  Rows are judged one by one, so repeated
@@ -30,7 +30,6 @@ FILTERS = 12
 EMBED = 6
 TRAIN_ROWS = 400
 WINDOWS_PER_ROW = 4
-MAX_LANGS = 64
 EPOCHS = 12
 UNKNOWN = "und"
 
@@ -146,17 +145,19 @@ def _sample(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([ids[p].tobytes() for p in picks], pa.binary())], ["lang", "ids"])
 
 
-def trained(labelled: DataFrame, rows: int = TRAIN_ROWS, langs: int = MAX_LANGS) -> ByteCNN:
-    """A model from (doc_id, text, lang) rows; the bounds are those of the module."""
+def trained(labelled: DataFrame, rows: int = TRAIN_ROWS, langs: int | None = None) -> ByteCNN:
+    """A model from (doc_id, text, lang) rows, about ``rows`` per language; with ``langs`` only the most frequent languages are learned."""
     usable = labelled.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL")
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang")
+    counts = (counts if langs is None else counts.limit(langs)).collect()
     model = ByteCNN(sorted(r["lang"] for r in counts))
     if not counts:
         return model
-    # about `rows` per language, drawn by the id's hash; a language with fewer rows gives them all
+    # about `rows` per language, drawn by the hash of id and text, equal rows once; a language with fewer rows gives them all
     scale = 1 << 20
     share = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(1, min(scale, -(-scale * rows // r["count"])))))])
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(scale)) < share[F.col("lang")])
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id", "text"), F.lit(scale)) < share[F.col("lang")])
+    drawn = drawn.select("lang", "doc_id", "text").distinct()
     got = sorted((r["lang"], bytes(r["ids"])) for r in drawn.select("lang", "text").mapInArrow(_sample, "lang string, ids binary").collect())
     if got:
         place = {x: k for k, x in enumerate(model.langs)}

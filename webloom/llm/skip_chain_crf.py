@@ -252,12 +252,13 @@ def _training(batches):
 
 
 def trained(docs: DataFrame, rows: int = TRAIN_ROWS) -> SkipChainCRF:
-    """A field fitted on the tokens of about ``rows`` documents that hold a digit or an @."""
+    """A field fitted on the tokens of about ``rows`` documents that hold a digit or an @; equal rows count once."""
     usable = docs.where("doc_id IS NOT NULL AND text IS NOT NULL")
     scale = 1 << 30
     count = usable.count()
-    drawn = usable.where(F.pmod(F.xxhash64(F.lit("crf"), "doc_id"), F.lit(scale)) < (min(scale, scale * rows // count) if count else 0))
-    got = drawn.where("text RLIKE '[0-9@]'").select("text").mapInArrow(_training, "features array<int>, label int, l int, r int, e int, a int").collect()
+    drawn = usable.where(F.pmod(F.xxhash64(F.lit("crf"), "doc_id", "text"), F.lit(scale)) < (min(scale, scale * rows // count) if count else 0))
+    drawn = drawn.where("text RLIKE '[0-9@]'").select("doc_id", "text").distinct()
+    got = drawn.select("text").mapInArrow(_training, "features array<int>, label int, l int, r int, e int, a int").collect()
     model = SkipChainCRF()
     model.fit(sorted((list(r["features"]), r["label"], r["l"], r["r"], r["e"], r["a"]) for r in got))
     return model
