@@ -14,7 +14,7 @@ from webloom.plans.log_queries import EV, GAP
 from webloom.plans.page_queries import DECODE, HREF, LINKS, ORIGIN, pages
 from webloom.plans.registry import ORACLES, query
 from webloom.session import shared_folder
-from webloom.sources.readers import PAGE_SCHEMA, page_stream
+from webloom.sources.readers import PAGE_SCHEMA, table_stream
 from webloom.streaming import jobs
 from webloom.streaming.kv_store import kv_live, live_keys, with_map_state
 
@@ -23,7 +23,7 @@ EVENT_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type ST
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event table as a stream; ``ts`` becomes an instant, as watermarks need one."""
-    raw = spark.readStream.schema(EVENT_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    raw = table_stream(spark, sf_dir, "events.parquet", EVENT_SCHEMA)
     return raw.withColumn("ts", F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, {EPOCH}, ts))"))
 
 
@@ -65,7 +65,7 @@ def stream_record_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_extract_links", f"""
 WITH {LINKS} SELECT page_id, {ORIGIN} || {DECODE.format(HREF)} AS href FROM links""")
 def stream_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.extract_new(spark, page_stream(spark, sf_dir, "pages.parquet"), link_targets).select("page_id", "href")
+    return jobs.extract_new(spark, table_stream(spark, sf_dir, "pages.parquet", PAGE_SCHEMA), link_targets).select("page_id", "href")
 
 
 @query("stream_new_pages", """
