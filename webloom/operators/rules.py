@@ -68,7 +68,32 @@ def matched_rules(requests: DataFrame, rules: DataFrame, id_column: str = "seq")
     return requests.select(id_column, "url").join(pairs, "url").select(id_column, "rule_no")
 
 
+def _classes(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule_no, first) of every rule and (rule_no, pattern) of the lowest rule of each class.
+
+    Rules whose patterns are the same match the same URLs, so one of a class is looked up for all of them.
+    """
+    listed = rules.where("pattern IS NOT NULL AND rule_no IS NOT NULL").groupBy("rule_no").agg(F.sort_array(F.collect_set("pattern")).alias("patterns"))
+    listed = checkpointed(listed)
+    firsts = checkpointed(listed.groupBy("patterns").agg(F.min("rule_no").alias("first")))
+    return listed.join(firsts, "patterns").select("rule_no", "first"), firsts.select(F.col("first").alias("rule_no"), F.explode("patterns").alias("pattern"))
+
+
+def rule_counts(requests: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rule_no, n): how many rows of ``requests`` (url) every rule that matches any of them matches.
+
+    The counts of ``matched_rules`` without its pairs, which grow with requests times rules where many rules are alike: distinct URLs meet one rule of a
+    class, and the sums are handed to all of it.
+    """
+    members, firsts = _classes(rules)
+    urls = checkpointed(requests.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n")).withColumn("id", F.col("url")))
+    found = matched_rules(urls, firsts, "id").join(urls.select("id", "n"), "id")
+    return found.groupBy(F.col("rule_no").alias("first")).agg(F.sum("n").alias("n")).join(members, "first").select("rule_no", "n")
+
+
 def first_rule(requests: DataFrame, rules: DataFrame, id_column: str = "seq") -> DataFrame:
     """``requests`` with ``rule_no``, the lowest of the rules that match, NULL where none does."""
-    first = matched_rules(requests, rules, id_column).groupBy(id_column).agg(F.min("rule_no").alias("rule_no"))
+    urls = requests.select("url").where("url IS NOT NULL").distinct().withColumn("id", F.col("url"))
+    of_url = matched_rules(urls, _classes(rules)[1], "id").groupBy(F.col("id").alias("url")).agg(F.min("rule_no").alias("rule_no"))
+    first = requests.select(id_column, "url").join(of_url, "url").groupBy(id_column).agg(F.min("rule_no").alias("rule_no"))
     return requests.join(first, id_column, "left")

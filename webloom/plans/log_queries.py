@@ -70,7 +70,7 @@ WITH {_RULES}, u AS (SELECT DISTINCT 'https://api.example.com/' || event_type ||
  m AS (SELECT u.url, rule_no FROM u JOIN r ON u.url GLOB r.pattern)
 SELECT rule_no, count(*) AS n FROM events e JOIN m ON m.url = 'https://api.example.com/' || e.event_type || '/' || e.user_id GROUP BY rule_no""")
 def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.matched_rules(fx.requests(spark, sf_dir), _url_rules(spark, sf_dir)).groupBy("rule_no").agg(F.count("*").alias("n"))
+    return rules.rule_counts(fx.requests(spark, sf_dir), _url_rules(spark, sf_dir))
 
 
 @query("first_rules", f"""
