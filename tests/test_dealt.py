@@ -2,6 +2,8 @@
 
 from webloom import plans
 from webloom.operators.extract import link_targets
+from webloom.plans import fixtures as fx
+from webloom.session import DEALT_ROWS, SPREAD, dealt
 
 QUERIES = plans.load_queries()[0]
 
@@ -23,3 +25,16 @@ def test_an_event_stream_reads_a_table_of_several_files(spark, tmp_path):
     )
     rows.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
     assert {r["n"] for r in QUERIES["stream_monitor"](spark, str(tmp_path)).collect()} == {10}
+
+
+def test_documents_of_a_small_file_are_written_by_many_tasks(spark, sf_dir):
+    before = spark.conf.get(SPREAD)
+    spark.conf.unset(SPREAD)
+    try:
+        assert spark.read.parquet(f"{sf_dir}/part.parquet").rdd.getNumPartitions() == 1
+        for written in (fx.table_pages, fx.form_pages):
+            assert written(spark, sf_dir).rdd.getNumPartitions() == 2 * spark.sparkContext.defaultParallelism
+        rows = spark.range(DEALT_ROWS * 20 + 1, numPartitions=1)
+        assert dealt(rows).rdd.getNumPartitions() == 21 and dealt(rows).exceptAll(rows).count() == 0
+    finally:
+        spark.conf.set(SPREAD, before)

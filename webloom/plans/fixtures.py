@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from webloom.plans.registry import table
-from webloom.session import spread
+from webloom.session import dealt
 
 EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
 
@@ -18,7 +18,7 @@ def esc(expr: str) -> str:
 
 
 def _pages(df: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    return spread(df).selectExpr(f"CAST({key} AS BIGINT) AS page_id", f"{url} AS url", f"{html} AS html")
+    return dealt(df).selectExpr(f"CAST({key} AS BIGINT) AS page_id", f"{url} AS url", f"{html} AS html")
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
