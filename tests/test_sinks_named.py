@@ -50,3 +50,18 @@ def test_names(spark, tmp_path):
     rows = [(n, f"text of {k}\n\nend") for k, n in enumerate(names) if len(n) < 300 and n]
     write_named(spark.createDataFrame(rows, "file STRING, content STRING").repartition(3), f"file://{tmp_path}/out")
     assert sorted(tuple(r) for r in read_named(spark, str(tmp_path / "out")).collect()) == sorted(rows)
+
+
+def test_a_task_reads_the_folder_of_a_task(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("concat('n', id, IF(id % 3 = 0, ' ä+%', '')) AS file", "IF(id % 10 = 9, NULL, concat('text\n', id)) AS content")
+    write_named(rows.repartition(5, "file"), str(tmp_path))
+    write_named(rows.repartition(7, "file"), str(tmp_path), overwrite=True)
+    (tmp_path / "_pending-x").mkdir()
+    (tmp_path / "_pending-x" / "stray").write_text("x")
+    got = read_named(spark, str(tmp_path))
+    # by bytes of files, all of them would be a hundred tasks of 32 files each, listed by the driver
+    assert got.rdd.getNumPartitions() == 7
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, rows.where("content IS NOT NULL").collect()))
+    assert read_named(spark, str(tmp_path / "_pending-x")).count() == 1
+    (tmp_path / "none").mkdir()
+    assert read_named(spark, str(tmp_path / "none")).count() == 0

@@ -12,7 +12,7 @@ from webloom.operators import aria, audit, content, state, tables
 from webloom.plans import fixtures as fx
 from webloom.plans.page_queries import pages
 from webloom.plans.registry import query, table
-from webloom.session import checkpointed, shared_folder
+from webloom.session import checkpointed, dealt, shared_folder
 from webloom.sources import documents_sink, readers, sinks
 
 
@@ -155,6 +155,7 @@ def sink_named_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark)
     name = "concat('c_', c_custkey, IF(c_custkey % 3 = 0, ' ä+%', ''))"
     rows = table(spark, sf_dir, "customer").selectExpr(f"{name} AS file", "concat('<h1>', c_name, '</h1>\n', c_mktsegment) AS content")
+    rows = dealt(rows, "file")
     documents_sink.write_named(rows.withColumn("content", F.lit("old")), folder)
     documents_sink.write_named(rows, folder, overwrite=True)
     return documents_sink.read_named(spark, folder)

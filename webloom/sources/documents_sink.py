@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -20,6 +21,8 @@ from pyspark.sql.types import StructType
 
 FORMAT = "webloom_documents"
 LONGEST = 200  # bytes of a file name; longer ones are cut and told apart by a hash
+BATCH_ROWS, BATCH_CHARS = 1_000, 8_000_000  # files that a reading task hands on at once, at most
+DROPPING = 16  # folders that a commit drops at once
 
 
 def safe_name(name: str | None) -> str:
@@ -64,9 +67,9 @@ class DocumentsWriter(DataSourceArrowWriter):
         store, root = _at(self.path)
         store.create_dir(root)
         if self.overwrite:
-            for old in store.get_file_info(fs.FileSelector(root)):
-                if old.type == fs.FileType.Directory and old.base_name.startswith("documents-"):
-                    store.delete_dir(old.path)
+            held = store.get_file_info(fs.FileSelector(root))
+            with ThreadPoolExecutor(DROPPING) as pool:
+                list(pool.map(store.delete_dir, [f.path for f in held if f.type == fs.FileType.Directory and f.base_name.startswith("documents-")]))
         for k, done in enumerate(m for m in messages if m is not None and m.files):
             store.move(f"{root}/{self._pending()}/{done.folder}", f"{root}/documents-{self.job[:8]}-{k:05d}")
         self._drop(store, root)
@@ -99,10 +102,57 @@ def write_named(df: DataFrame, path: str, overwrite: bool = False) -> None:
 
 
 def read_named(spark: SparkSession, path: str) -> DataFrame:
-    """(file, content) of the files below a folder of ``write_named``; one of them is a row."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*").text(path, wholetext=True)
-    stored = _decoded(F.col("_metadata.file_name"))  # which Spark spells as in a URI
-    return files.select(_decoded(stored).alias("file"), F.col("value").alias("content"))
+    """(file, content) of the files below a folder of ``write_named``; one of them is a row, empty ones are none.
+
+    A task lists and reads the folder that a task has written, so neither the list of files nor a job over them passes through the driver.
+    """
+    store, root = _at(path.rstrip("/"))
+    # a path as the writer was given it; what Spark's readers hide stays hidden
+    held = [f for f in store.get_file_info(fs.FileSelector(root)) if not _hidden(f.base_name)]
+    tops = [(f.base_name, f.type == fs.FileType.Directory) for f in held]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _at(path.rstrip("/"))
+        for batch in batches:
+            for k in batch.column(0).to_pylist():
+                name, is_folder = tops[k]
+                yield from _in_batches(_files(store, f"{root}/{name}", is_folder))
+
+    files = spark.range(len(tops), numPartitions=max(len(tops), 1)).mapInArrow(read, "file STRING, content STRING")
+    return files.select(_decoded(F.col("file")).alias("file"), "content")
+
+
+def _hidden(name: str) -> bool:
+    return name.startswith((".", "_"))
+
+
+def _files(store: fs.FileSystem, at: str, is_folder: bool) -> Iterator[tuple[str, str]]:
+    """(name, content) of a file, or of all files below a folder."""
+    found = store.get_file_info(fs.FileSelector(at)) if is_folder else [store.get_file_info(at)]
+    for f in found:
+        if is_folder and _hidden(f.base_name):
+            continue
+        if f.type == fs.FileType.Directory:
+            yield from _files(store, f.path, True)
+        elif f.size:
+            with store.open_input_stream(f.path) as source:
+                yield f.base_name, source.read().decode(errors="replace")
+
+
+def _in_batches(files: Iterator[tuple[str, str]]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+    for file, content in files:
+        rows.append((file, content))
+        size += len(content)
+        if len(rows) == BATCH_ROWS or size > BATCH_CHARS:
+            yield _batch(rows)
+            rows, size = [], 0
+    if rows:
+        yield _batch(rows)
+
+
+def _batch(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in (0, 1)], names=["file", "content"])
 
 
 def _decoded(text: Column) -> Column:
