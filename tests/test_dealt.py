@@ -1,6 +1,7 @@
 """Small files that become large documents, and tables that are folders of files."""
 
 from webloom import plans
+from webloom.operators import dom
 from webloom.operators.extract import link_targets
 from webloom.plans import fixtures as fx
 from webloom.session import DEALT_ROWS, SPREAD, dealt
@@ -38,3 +39,20 @@ def test_documents_of_a_small_file_are_written_by_many_tasks(spark, sf_dir):
         assert dealt(rows).rdd.getNumPartitions() == 21 and dealt(rows).exceptAll(rows).count() == 0
     finally:
         spark.conf.set(SPREAD, before)
+
+
+def test_deep_ancestors_are_parsed_once(spark, tmp_path):
+    # page numbers that come twice meet each other's counts, and a page without text has none
+    rows = spark.range(6).selectExpr("IF(id = 5, NULL, id DIV 2) AS p_partkey", "IF(id = 3, NULL, concat('n', id)) AS p_name")
+    rows.toPandas().astype({"p_partkey": "Int64"}).to_parquet(tmp_path / "part.parquet")
+    found = QUERIES["edge_deep_ancestors"](spark, str(tmp_path))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+    got = sorted((r["page_id"], r["text"], r["section_pos"], r["depth"], r["under_section"], r["under_id"]) for r in found.collect())
+    one = (300, 601, 1, 1)
+    assert got == sorted([(0, "n0", *one), (0, "n0", *one), (0, "n1", *one), (0, "n1", *one), (1, "n2", *one), (1, "n2", 300, 601, 0, 0), (2, "n4", *one)])
+
+
+def test_outer_selection_keeps_pages_without_a_match(page):
+    doc = dom.dom(page("<p>a<p>b", "<i>c"))
+    assert [tuple(r) for r in dom.select(doc, "p", {"text": dom.text()}, outer=True).orderBy("page_id", "pos").select("page_id", "text").collect()] == [(0, "a"), (0, "b"), (1, None)]
+    assert dom.select(doc, "p").count() == 2
