@@ -18,3 +18,10 @@ def test_links_of_a_check_are_found_without_element_ends(page):
     status = pages.sparkSession.createDataFrame([("https://h/1", 200), ("https://h/2", 404)], "url STRING, status INT")
     rows = [tuple(r) for r in audit.broken_link_summary(pages, status).orderBy("page_id").collect()]
     assert rows == [(0, 4, 3, 2), (1, 0, 0, 0), (2, 0, 0, 0)]
+
+
+def test_page_checks_count_start_tags(page):
+    pages = page(HTML, "", None, url="https://h/d/")
+    checks = audit.page_checks(pages)
+    assert not _ends(checks)
+    assert [tuple(r)[2:] for r in checks.orderBy("page_id").collect()] == [(2, 1, 4, 3, 14), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]
