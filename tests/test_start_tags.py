@@ -1,6 +1,6 @@
 """Questions about tags and attributes are answered from start tags; the list of elements is not built for them."""
 
-from webloom.operators import audit
+from webloom.operators import audit, extract
 
 HTML = "<title><a href=/no></title><ul><li><a href=/1>x<a href=/2 style='color: red; COLOR:blue'>y<img alt=''><img alt=z></ul><svg><a href=https://o/3 /></svg><p id=i><area href=mailto:b><a name=n>w<div class='c d' style=color:green><script><a href=/no></script><p"
 
@@ -25,3 +25,14 @@ def test_page_checks_count_start_tags(page):
     checks = audit.page_checks(pages)
     assert not _ends(checks)
     assert [tuple(r)[2:] for r in checks.orderBy("page_id").collect()] == [(2, 1, 4, 3, 14), (0, 0, 0, 0, 0), (0, 0, 0, 0, 0)]
+
+
+def test_styles_of_single_steps_need_no_element_ends(page):
+    styles = extract.inline_styles(page(HTML, "<i>"), "a[style], .c")
+    assert not _ends(styles)
+    assert [r["styles"] for r in styles.orderBy("page_id").collect()] == [{"color": "blue"}, {}]
+
+
+def test_paths_still_find_ancestors(page):
+    styles = extract.inline_styles(page(HTML), "li > a[style]")
+    assert _ends(styles) and styles.first()["styles"] == {"color": "blue"}

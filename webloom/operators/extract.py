@@ -229,7 +229,7 @@ def inline_styles(pages: DataFrame, selector: str, properties: list[str] | None
     as_map = let("e", pairs, f"map_from_arrays({keys}, transform({keys}, n -> try_element_at(filter(e, m -> m.k = n), -1).v))")
     if properties:
         as_map = f"map_filter({as_map}, (k, v) -> array_contains(array({', '.join(lit(p) for p in properties)}), k))"
-    return dom(pages, [selector]).select("page_id", doc_expr(as_map).alias("styles"))
+    return tagged(pages, selector).select("page_id", doc_expr(as_map).alias("styles"))
 
 
 def fonts(pages: DataFrame) -> DataFrame:
