@@ -1,6 +1,6 @@
 """Questions about tags and attributes are answered from start tags; the list of elements is not built for them."""
 
-from webloom.operators import audit, extract
+from webloom.operators import audit, extract, recon
 
 HTML = "<title><a href=/no></title><ul><li><a href=/1>x<a href=/2 style='color: red; COLOR:blue'>y<img alt=''><img alt=z></ul><svg><a href=https://o/3 /></svg><p id=i><area href=mailto:b><a name=n>w<div class='c d' style=color:green><script><a href=/no></script><p"
 
@@ -33,6 +33,13 @@ def test_styles_of_single_steps_need_no_element_ends(page):
     assert [r["styles"] for r in styles.orderBy("page_id").collect()] == [{"color": "blue"}, {}]
 
 
+def test_selectors_of_single_steps_need_no_element_ends(page):
+    found = recon.element_selectors(page(HTML, "<i>"), "p, div, area", "click")
+    assert not _ends(found)
+    assert [r["selector"] for r in found.orderBy("pos").collect()] == ["#i", "area", ".c"]
+
+
 def test_paths_still_find_ancestors(page):
     styles = extract.inline_styles(page(HTML), "li > a[style]")
     assert _ends(styles) and styles.first()["styles"] == {"color": "blue"}
+    assert [r["selector"] for r in recon.element_selectors(page(HTML), "p div", "click").collect()] == []

@@ -9,7 +9,7 @@ from webloom.functions.selectors import predicate
 from webloom.functions.sqltext import cut, doc_expr, first_few, in_list, let, lit
 from webloom.functions.text import js_trim
 from webloom.functions.urls import is_internal, url_join
-from webloom.operators.dom import attr, count_of, dom, has, rows_of, text
+from webloom.operators.dom import attr, count_of, dom, has, rows_of, tagged, text
 from webloom.operators.forms import field_type
 
 # Selectors whose presence is reported.
@@ -107,4 +107,4 @@ def element_selectors(pages: DataFrame, selector: str, kind: str) -> DataFrame:
         "overview": _css("x"),
     }[kind]
     rows = f"transform(filter(els, x -> {predicate(selector)}), x -> struct(x.s AS pos, {derived} AS selector))"
-    return rows_of(dom(pages), rows, "page_id")
+    return rows_of(tagged(pages, selector), rows, "page_id")
