@@ -82,13 +82,17 @@ def stream_new_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.extract_new(spark, stream, first_heading)
 
 
-def _kv_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The operations in four files, one a micro-batch, so that clears meet keys that are state already."""
+FILE_ROWS = 250_000  # operations of a file at most, about
+
+
+def _kv_stream(spark: SparkSession, sf_dir: str, file_rows: int = FILE_ROWS) -> DataFrame:
+    """The operations in four micro-batches, so that clears meet keys that are state already; one file each where they are few."""
     folder = f"{shared_folder(spark)}/ops-{uuid.uuid4().hex}"
     ops = fx.kv_ops(spark, sf_dir).select("store", "seq", "op", "key", "value")
+    files = max(1, -(-ops.count() // (4 * file_rows)))
     for part in range(4):
-        ops.where(F.col("seq") % 4 == part).coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+        ops.where(F.col("seq") % 4 == part).repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(ops.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("stream_kv_live", ORACLES["kv_fold"])
